@@ -62,11 +62,19 @@ def run_ledger(
 ) -> DataFrame:
     """Trades with the equity curve, stopped once the account lost max_drawdown.
 
+    """
+    kelly = F.lit(FIXED_POSITION) if kelly is None else kelly
+    return apply_stop(trade_candidates(scored, keys, kelly, method, account=account), keys, account, max_drawdown)
+
+
+def apply_stop(
+    trades: DataFrame, keys: list[str], account: float = ACCOUNT, max_drawdown: float = MAX_DRAWDOWN
+) -> DataFrame:
+    """Cut the candidates of each group at the drawdown limit.
+
     Sizes do not depend on the equity, so the stop is a running maximum of
     "equity before this signal is below the limit".
     """
-    kelly = F.lit(FIXED_POSITION) if kelly is None else kelly
-    trades = trade_candidates(scored, keys, kelly, method, account=account)
     days = Window.partitionBy(*keys).orderBy("bar_date")
     before = F.coalesce(F.sum("pnl").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     trades = trades.withColumn("_breach", (before / account < -max_drawdown).cast("int"))

@@ -222,3 +222,94 @@ dirty AS (
          CASE WHEN rn % 83 = 0 THEN 0.0 ELSE volume END AS volume, rn
   FROM numbered, range(1, 3) c(copy) WHERE copy = 1 OR rn % 101 = 0)
 """
+
+
+# --- scored rows by period, and fold metrics -----------------------------------
+
+
+def scored_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored rows keyed like experiment output: model = symbol, period = year."""
+    return scored(spark, sf).withColumns({"model": F.col("symbol"), "period": F.year("bar_date")})
+
+
+PERIODS_SQL = SCORED_SQL + """,
+sp AS (SELECT *, symbol AS model, CAST(year(bar_date) AS INTEGER) AS period FROM scored)
+"""
+
+
+def metrics_sql(source: str, keys: str, name: str) -> str:
+    """CTE `name` with classification and rank metrics per key."""
+    return f""",
+{name}_c AS (
+  SELECT {keys}, count(*) FILTER (WHERE label = 0 AND NOT pred) AS tn, count(*) FILTER (WHERE label = 0 AND pred) AS fp,
+         count(*) FILTER (WHERE label = 1 AND NOT pred) AS fn, count(*) FILTER (WHERE label = 1 AND pred) AS tp,
+         avg(pow(score - label, 2)) AS brier
+  FROM {source} GROUP BY {keys}),
+{name}_h AS (SELECT {keys}, score, count(*) AS n, sum(label) AS pos FROM {source} GROUP BY {keys}, score),
+{name}_r AS (
+  SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY score DESC) AS n_ge,
+         sum(pos) OVER (PARTITION BY {keys} ORDER BY score DESC) AS pos_ge,
+         sum(n) OVER (PARTITION BY {keys} ORDER BY score) - n / 2.0 + 0.5 AS avg_rank,
+         sum(n) OVER (PARTITION BY {keys}) AS total, sum(pos) OVER (PARTITION BY {keys}) AS p
+  FROM {name}_h),
+{name}_k AS (
+  SELECT {keys}, CAST(max(total) AS BIGINT) AS rows, CAST(max(p) AS BIGINT) AS positives,
+         CASE WHEN max(p) > 0 AND max(total) > max(p)
+              THEN (sum(pos * avg_rank) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(total) - max(p))) ELSE 0.0 END AS roc_auc,
+         CASE WHEN max(p) > 0 AND max(total) > max(p) THEN sum(pos * pos_ge / n_ge) / max(p) ELSE 0.0 END AS pr_auc
+  FROM {name}_r GROUP BY {keys}),
+{name} AS (
+  SELECT *, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0.0) AS "precision",
+         coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0.0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0.0) AS f1
+  FROM {name}_c JOIN {name}_k USING ({keys}))
+"""
+
+
+def state_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored rows with the current state flags."""
+    from tickloom.operators.labels import current_state
+
+    frame = spread(bars_daily(spark, sf), 252 + 23, 1)
+    frame = current_state(transition_target(frame)).filter("home")
+    rows = frame.select(
+        "symbol", "bar_date", "close", "returns", "Volatility_20d", "current_transition",
+        F.col("transition").alias("label"), "rn",
+    ).filter("label IS NOT NULL")
+    return rows.withColumn("score", pseudo_score()).withColumns({
+        "pred": F.col("score") >= 0.9, "model": F.col("symbol"), "period": F.year("bar_date"),
+    })
+
+
+STATE_SQL = PERIODS_SQL + """,
+st AS (SELECT symbol, bar_date, coalesce(greatest(CAST(is_high AS INTEGER) - lag(CAST(is_high AS INTEGER)) OVER (PARTITION BY symbol ORDER BY bar_date), 0), 0) AS state FROM hi),
+ss AS (SELECT sp.*, st.state FROM sp JOIN st USING (symbol, bar_date))
+"""
+
+
+def top_sql(source: str, keys: str, size: str) -> str:
+    return (
+        f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, symbol, bar_date) AS place, "
+        f"count(*) OVER (PARTITION BY {keys}) AS n FROM {source}) t WHERE place <= {size})"
+    )
+
+
+def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    from tickloom.operators.evaluate import fold_summary
+
+    return fold_summary(state_scored(spark, sf), ["model", "period"]).withColumn("horizon", F.lit(1))
+
+
+FOLD_METRICS_SQL = (
+    STATE_SQL
+    + metrics_sql("ss", "model, period", "m")
+    + ", ps AS (SELECT model, period, symbol, label, CAST(state AS DOUBLE) AS score, state = 1 AS pred FROM ss)"
+    + metrics_sql("ps", "model, period", "pb")
+    + f""",
+t5 AS (SELECT model, period, avg(label) AS precision_at_5pct FROM {top_sql('ss', 'model, period', 'greatest(1, ceil(n * 0.05))')} x GROUP BY 1, 2),
+t1 AS (SELECT model, period, avg(label) AS p1 FROM {top_sql('ss', 'model, period', 'greatest(1, ceil(n * 0.01))')} x GROUP BY 1, 2),
+fm AS (
+  SELECT m.*, 1 AS horizon, precision_at_5pct, coalesce(p1 / nullif(m.positives / m.rows::DOUBLE, 0), 0.0) AS lift_1pct,
+         m.positives / m.rows::DOUBLE AS positive_rate, pb.f1 AS baseline_f1
+  FROM m JOIN t5 USING (model, period) JOIN t1 USING (model, period) JOIN pb USING (model, period))
+"""
+)
