@@ -43,7 +43,8 @@ def running(
     """Add inclusive running sums and running maxima of each key in `order`.
 
     `bucket` must not decrease along `order` and must be deterministic, since
-    it is evaluated both for the rows and for the bucket totals.
+    it is evaluated both for the rows and for the bucket totals.  Keys must not
+    be NULL.
     """
     sums, maxima = sums or {}, maxima or {}
     names = [*sums, *maxima]
@@ -58,8 +59,7 @@ def running(
     # One row per bucket: the window over a whole key only sees bucket totals.
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k__bucket"),
+        *keys, "_bucket",
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxima],
     )
@@ -72,10 +72,8 @@ def running(
         *[F.sum(f"_in_{n}").over(inside).alias(f"_l_{n}") for n in sums],
         *[F.max(f"_in_{n}").over(inside).alias(f"_l_{n}") for n in maxima],
     )
-    matches = F.col("_bucket").eqNullSafe(F.col("_k__bucket"))
-    for k in keys:
-        matches = matches & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local.join(carry, matches, "left")
+    # The rows are already partitioned and sorted by (keys, bucket) for the window.
+    joined = local.join(carry, [*keys, "_bucket"], "left")
     return joined.select(
         *[c for c in df.columns if c not in names],
         *[

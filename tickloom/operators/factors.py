@@ -48,7 +48,7 @@ def market_beta(bars: DataFrame, market: DataFrame | None = None, window: int =
 @rolling(lookback=lambda p: p["window"] + 21)
 def size_proxy(bars: DataFrame, window: int = 252) -> DataFrame:
     """Average-rank percentile of the current volatility in its own window."""
-    history = f"_vol_sorted_{window}"
+    history = "_history"
     bars = sorted_history(with_volatility(bars), "Volatility_20d", window, history)
     below = F.size(F.filter(history, lambda v: v < F.col("Volatility_20d")))
     equal = F.size(F.filter(history, lambda v: v == F.col("Volatility_20d")))

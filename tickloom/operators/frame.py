@@ -50,7 +50,7 @@ _STEPS = {
     "trend_regime": [rg.trend_regime],
     "volume": [ta.volume_features],
     "transition": [ta.volatility_dynamics, ta.range_changes, ta.drawdown, ta.return_shock],
-    "mean_reversion": [mr.zscore, mr.hurst, mr.half_life, mr.ou_spread],
+    "mean_reversion": [mr.zscore, mr.half_life, mr.ou_spread],
     "regime_persistence": [rg.return_vol_correlation, rg.regime_transitions],
     "liquidity": [lq.liquidity],
 }
@@ -78,16 +78,19 @@ def build_features(
     frame = spread(bars, LOOKBACK, lookahead, block_rows=block_rows)
     frame = ta.volatility(frame)
     if labels or {"volatility_regime", "regime_persistence"} & set(groups):
-        frame = rg.sorted_history(frame, "Volatility_20d", 252, "_vol_sorted_252")
+        frame = rg.volatility_quantiles(frame, (0.33, 0.67, 0.75) if labels else (0.33, 0.67))
     for group in groups:
         for step in _STEPS[group]:
             frame = step(frame)
     for label in labels:
         frame = label(frame)
+    if "mean_reversion" in groups:
+        # Last of the windows: a Python function ends the shared partitioning.
+        frame = mr.hurst(frame)
     if "regime_persistence" in groups:
-        frame = rg.regime_duration(frame, block_rows)
-    made = [c for c in frame.columns if c not in bars.columns and c not in ("rn", "block", "home", "returns", "_vol_sorted_252")]
-    extra = [c for c in made if c not in feature_names(ALL_GROUPS)]
+        frame = rg.regime_duration(frame)
+    known = {*bars.columns, *feature_names(ALL_GROUPS), "returns", "rn", "block", "home"}
+    extra = [c for c in frame.columns if c not in known and not c.startswith("_")]
     return gather(frame).select(*bars.columns, "returns", *feature_names(groups), *extra)
 
 

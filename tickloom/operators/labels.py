@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.blocks import rolling
-from tickloom.functions.rolling import full, lag, last_n, lead, quantile_of_sorted, series
-from tickloom.operators.regime import sorted_history, with_volatility
+from tickloom.functions.rolling import full, lag, last_n, lead, series
+from tickloom.operators.regime import quantile_name, volatility_quantiles, with_volatility
 
 _LOOKBACK = 252 + 22
 
 
 def _threshold(bars: DataFrame, percentile: float, window: int):
-    history = f"_vol_sorted_{window}"
-    bars = sorted_history(with_volatility(bars), "Volatility_20d", window, history)
-    return bars.withColumn("_threshold", quantile_of_sorted(F.col(history), percentile, window))
+    bars = volatility_quantiles(bars, (percentile,), window)
+    return bars.withColumn("_threshold", F.col(quantile_name(percentile, window)))
 
 
 def _tidy(bars: DataFrame, given: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.blocks import BLOCK_ROWS, gather, rolling, spread
+from tickloom.functions.blocks import gather, rolling, spread
 from tickloom.functions.prefix import running
 from tickloom.functions.rolling import (
     full, lag, last_n, mean_n, quantile_of_sorted, ratio, rows,
@@ -14,14 +14,29 @@ from tickloom.operators.technical import volatility
 
 
 def sorted_history(bars: DataFrame, value: str, n: int, out: str) -> DataFrame:
-    """The last n values in ascending order (NULL until n are known).
+    """The last n values in ascending order (NULL until n are known)."""
+    w = last_n(n)
+    return bars.withColumn(out, full(F.col(value), w, n, F.sort_array(F.collect_list(value).over(w))))
+
+
+def quantile_name(p: float, window: int) -> str:
+    return f"_vol_q{round(p * 1000)}_{window}"
 
-    One sorted array per row serves every quantile and rank of that window.
+
+def volatility_quantiles(bars: DataFrame, probs, window: int = 252) -> DataFrame:
+    """Rolling quantiles of the volatility, NULL until the window is full.
+
+    All of them are read from one sorted array, which is dropped right away so
+    that later windows do not carry it.
     """
-    if out in bars.columns:
+    bars = with_volatility(bars)
+    missing = [p for p in probs if quantile_name(p, window) not in bars.columns]
+    if not missing:
         return bars
-    w = last_n(n)
-    return bars.withColumn(out, full(F.col(value), w, n, F.sort_array(F.collect_list(value).over(w))))
+    bars = sorted_history(bars, "Volatility_20d", window, "_history")
+    return bars.withColumns(
+        {quantile_name(p, window): quantile_of_sorted(F.col("_history"), p, window) for p in missing}
+    ).drop("_history")
 
 
 def with_volatility(bars: DataFrame) -> DataFrame:
@@ -31,17 +46,13 @@ def with_volatility(bars: DataFrame) -> DataFrame:
 @rolling(lookback=lambda p: p["window"] + 21)
 def volatility_regime(bars: DataFrame, window: int = 252, low: float = 0.33, high: float = 0.67) -> DataFrame:
     """1 below the low rolling quantile, 3 above the high one, else 2."""
-    history = f"_vol_sorted_{window}"
     given = bars.columns
-    bars = sorted_history(with_volatility(bars), "Volatility_20d", window, history)
-    vol = F.col("Volatility_20d")
+    bars = volatility_quantiles(bars, (low, high), window)
+    vol, names = F.col("Volatility_20d"), [quantile_name(p, window) for p in (low, high)]
     bars = bars.withColumn(
-        "Vol_Regime",
-        F.when(vol < quantile_of_sorted(F.col(history), low, window), 1)
-        .when(vol > quantile_of_sorted(F.col(history), high, window), 3)
-        .otherwise(2),
+        "Vol_Regime", F.when(vol < F.col(names[0]), 1).when(vol > F.col(names[1]), 3).otherwise(2)
     )
-    return bars if history in given else bars.drop(history)
+    return bars.drop(*[n for n in names if n not in given])
 
 
 @rolling(lookback=50)
@@ -69,7 +80,7 @@ def regime_transitions(bars: DataFrame, window: int = 252) -> DataFrame:
     return bars.withColumns(out).drop("_before")
 
 
-def regime_duration(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def regime_duration(bars: DataFrame) -> DataFrame:
     """1-based position inside the current run of equal regimes.
 
     Runs have no length limit, so the start of the run is carried between
@@ -77,13 +88,13 @@ def regime_duration(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     laid_out = "block" in bars.columns
     if not laid_out:
-        bars = _with_regime(spread(bars, 2 * 252 + 22, block_rows=block_rows))
+        bars = _with_regime(spread(bars, 2 * 252 + 22))
     regime = F.col("Vol_Regime")
     changed = F.coalesce(regime != lag(regime), F.lit(True))
     marked = bars.withColumn("_start", F.when(changed, F.col("rn"))).filter("home")
+    # Home rows lie in their own block, so the layout's exchange and sort are reused.
     carried = running(
-        marked, ["symbol"], F.floor((F.col("rn") - 1) / block_rows), [F.col("rn")],
-        maxima={"_run": F.col("_start")},
+        marked, ["symbol"], F.col("block"), [F.col("bar_date")], maxima={"_run": F.col("_start")}
     )
     result = carried.withColumn("RP_Duration_Days", F.col("rn") - F.col("_run") + 1).drop("_start", "_run")
     return result if laid_out else gather(result)

@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import cut
 from tickloom.operators import evaluate as ev
 from tickloom.operators import folds, frame, labels, ledger
 from tickloom.plans import views
@@ -76,12 +77,12 @@ def _norm_sql(base: str, span: str) -> str:
 
 @query("normalize_zscore", _norm_sql("avg({}) OVER ()", "stddev_samp({}) OVER ()"))
 def normalize_zscore(spark, sf):
-    return rounded(frame.normalize(_small(spark, sf), _SMALL_NAMES, "zscore"), {n: 6 for n in _SMALL_NAMES})
+    return rounded(frame.normalize(cut(_small(spark, sf)), _SMALL_NAMES, "zscore"), {n: 6 for n in _SMALL_NAMES})
 
 
 @query("normalize_minmax", _norm_sql("min({}) OVER ()", "(max({0}) OVER () - min({0}) OVER ())"))
 def normalize_minmax(spark, sf):
-    return rounded(frame.normalize(_small(spark, sf), _SMALL_NAMES, "minmax"), {n: 6 for n in _SMALL_NAMES})
+    return rounded(frame.normalize(cut(_small(spark, sf)), _SMALL_NAMES, "minmax"), {n: 6 for n in _SMALL_NAMES})
 
 
 _FOLDS = views.BARS_SQL + """,
@@ -109,8 +110,8 @@ _SCALER_SQL = (
 
 
 def _fold_features(spark, sf):
-    bars = views.bars_daily(spark, sf)
-    return folds.assign_folds(_small(spark, sf), _folds(bars))
+    rows = cut(_small(spark, sf))
+    return cut(folds.assign_folds(rows, _folds(rows)))
 
 
 @query("fit_scaler", f"{_SCALER_SQL} SELECT fold_id, " + ", ".join(f"round(m_{n}, 6) + 0.0 AS mean_{n}, round(CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1.0 END, 6) + 0.0 AS std_{n}" for n in _SMALL_NAMES) + " FROM st")
@@ -162,7 +163,7 @@ def feature_label_correlation(spark, sf):
     + " FROM lf GROUP BY 1",
 )
 def feature_profile(spark, sf):
-    table = frame.profile(_small(spark, sf), _SMALL_NAMES)
+    table = frame.profile(cut(_small(spark, sf)), _SMALL_NAMES)
     return rounded(table, {c: 4 for c in ("mean", "std", "min", "max", "p25", "p50", "p75")}, ("feature", "n", "n_null"))
 
 
@@ -197,12 +198,12 @@ def assign_folds(spark, sf):
 @query(
     "fold_size_guard",
     f"WITH {_FOLDS}{_ASSIGNED} SELECT symbol, fold_id, split, count(*) AS n FROM asg WHERE (symbol, fold_id) IN "
-    "(SELECT (symbol, fold_id) FROM asg GROUP BY symbol, fold_id HAVING count(*) FILTER (WHERE split = 'train') >= 1100 AND count(*) FILTER (WHERE split = 'test') >= 365) GROUP BY 1, 2, 3",
+    "(SELECT (symbol, fold_id) FROM asg GROUP BY symbol, fold_id HAVING count(*) FILTER (WHERE split = 'train') >= 1100 AND count(*) FILTER (WHERE split = 'test') >= 360) GROUP BY 1, 2, 3",
 )
 def fold_size_guard(spark, sf):
     bars = views.bars_daily(spark, sf)
     assigned = folds.assign_folds(bars.select("symbol", "bar_date"), _folds(bars))
-    kept = folds.keep_large_folds(assigned, 1100, 365, ("symbol", "fold_id"))
+    kept = folds.keep_large_folds(assigned, 1100, 360, ("symbol", "fold_id"))
     return kept.groupBy("symbol", "fold_id", "split").agg(F.count("*").alias("n"))
 
 
@@ -336,10 +337,10 @@ rs AS (SELECT period, rule, label, coalesce(pred, false) AS pred, CAST(coalesce(
 
 def rule_rows(spark, sf):
     built = frame.build_features(views.bars_daily(spark, sf), ("transition",), labels=(labels.transition_target,), lookahead=1)
-    return built.filter("transition IS NOT NULL").select(
+    return cut(built.filter("transition IS NOT NULL").select(
         "symbol", "bar_date", F.year("bar_date").alias("period"), F.col("transition").alias("label"),
         "Volatility_Slope_5d", "Return_Shock_5d", "BB_Width_Change_5d",
-    )
+    ))
 
 
 @query("rule_baselines", f"WITH {_RULE_FEATURES}" + views.metrics_sql("rs", "period, rule", "m") + " SELECT period, rule, round(f1, 6) + 0.0 AS f1, round(pr_auc, 6) + 0.0 AS pr_auc FROM m")

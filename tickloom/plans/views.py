@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.blocks import spread, time_bucket
+from tickloom.functions.lineage import cut
 from tickloom.functions.prefix import number_rows
+from tickloom.operators.evaluate import fold_summary
 from tickloom.operators.factors import market_returns
-from tickloom.operators.labels import transition_target
+from tickloom.operators.labels import current_state, transition_target
 from tickloom.sources.bars import trades_to_bars
 
 
@@ -22,15 +24,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily bars, aggregated from the trades once and stored.
+
+    The window layout reads its input twice (rows and row counts), and most
+    queries read bars more than once, so the aggregation is not repeated.
+    """
     lines = table(spark, sf, "lineitem")
-    return trades_to_bars(
+    return cut(trades_to_bars(
         lines,
         symbol=F.concat("l_returnflag", "l_linestatus"),
         bucket=F.to_date("l_shipdate"),
         price=F.col("l_extendedprice"),
         sequence=F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"),
         volume=F.col("l_quantity"),
-    )
+    ))
 
 
 def price_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,10 +49,10 @@ def price_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars_intraday(spark: SparkSession, sf: str) -> DataFrame:
-    return trades_to_bars(
+    return cut(trades_to_bars(
         price_events(spark, sf), F.col("symbol"), F.date_trunc("HOUR", "ts"), F.col("price"),
         F.col("ts"), F.lit(1.0), time="bar_start",
-    )
+    ))
 
 
 def spots(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +103,12 @@ def pseudo_score():
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Known labels with a deterministic score; no model is involved."""
+    """Known labels with a deterministic score; no model is involved.
+
+    Stored, like the output of a scoring job: every rank metric reads it twice.
+    """
     rows = labelled(spark, sf).filter(F.col("label").isNotNull())
-    return rows.withColumn("score", pseudo_score()).withColumn("pred", F.col("score") >= 0.9)
+    return cut(rows.withColumn("score", pseudo_score()).withColumn("pred", F.col("score") >= 0.9))
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,17 +277,15 @@ def metrics_sql(source: str, keys: str, name: str) -> str:
 
 def state_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Scored rows with the current state flags."""
-    from tickloom.operators.labels import current_state
-
     frame = spread(bars_daily(spark, sf), 252 + 23, 1)
     frame = current_state(transition_target(frame)).filter("home")
     rows = frame.select(
         "symbol", "bar_date", "close", "returns", "Volatility_20d", "current_transition",
         F.col("transition").alias("label"), "rn",
     ).filter("label IS NOT NULL")
-    return rows.withColumn("score", pseudo_score()).withColumns({
+    return cut(rows.withColumn("score", pseudo_score()).withColumns({
         "pred": F.col("score") >= 0.9, "model": F.col("symbol"), "period": F.year("bar_date"),
-    })
+    }))
 
 
 STATE_SQL = PERIODS_SQL + """,
@@ -294,9 +302,7 @@ def top_sql(source: str, keys: str, size: str) -> str:
 
 
 def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    from tickloom.operators.evaluate import fold_summary
-
-    return fold_summary(state_scored(spark, sf), ["model", "period"]).withColumn("horizon", F.lit(1))
+    return cut(fold_summary(state_scored(spark, sf), ["model", "period"]).withColumn("horizon", F.lit(1)))
 
 
 FOLD_METRICS_SQL = (
