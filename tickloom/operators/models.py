@@ -1,15 +1,30 @@
-"""Classifiers on Spark ML: weights, scaling, fitting, calibration, scoring."""
+"""Classifiers on Spark ML: weights, fitting, calibration, scoring.
+
+Spark ML trains each model as distributed jobs over the rows.  Walk-forward
+folds are a short list (one per test year), so the driver loops over fold
+numbers, never over rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel, Pipeline
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import cut
+from tickloom.functions.prefix import number_rows
+from tickloom.operators.evaluate import optimize_threshold
+from tickloom.operators.frame import apply_scaler, fit_scaler
+
 SEED = 42
+CALIBRATION_FOLDS = 3
+# Weighting of each model kind (fixed choice).
+WEIGHTS = {"logistic": "balanced", "random_forest": "balanced", "boosted_a": "fixed", "boosted_b": "imbalance"}
 
 
 def class_weights(rows: DataFrame, label: str, kind: str = "balanced", keys: list[str] | None = None, out: str = "weight") -> DataFrame:
@@ -31,3 +46,173 @@ def class_weights(rows: DataFrame, label: str, kind: str = "balanced", keys: lis
     else:
         raise ValueError(f"unknown weights {kind!r}")
     return joined.withColumn(out, weight).drop("_n", "_p")
+
+
+def assemble(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Feature vector; a missing feature is an error."""
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(rows)
+
+
+def make_model(kind: str, n_rows: int, rounds: int = 300):
+    """Estimator of a kind.  `rounds` shortens boosting, which Spark ML runs one tree after another."""
+    common = dict(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="_pred")
+    if kind == "logistic":
+        # C = 1 with weights that sum to n is a penalty of 1/n per unit weight.
+        return LogisticRegression(
+            regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000,
+            probabilityCol="_prob", rawPredictionCol="_raw", **common,
+        )
+    if kind == "random_forest":
+        return RandomForestClassifier(
+            numTrees=200, maxDepth=6, minInstancesPerNode=10, seed=SEED, probabilityCol="_prob", rawPredictionCol="_raw", **common
+        )
+    if kind in ("boosted_a", "boosted_b"):
+        return GBTClassifier(
+            maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
+            probabilityCol="_prob", rawPredictionCol="_raw", **common,
+        )
+    raise ValueError(f"unknown model {kind!r}")
+
+
+def _probability(name: str = "_prob") -> Column:
+    return vector_to_array(F.col(name))[1]
+
+
+def fit_base(train: DataFrame, kind: str, rounds: int = 300):
+    """Fit on (features, label) rows with the weights of the kind."""
+    weighted = class_weights(train, "label", WEIGHTS[kind])
+    return make_model(kind, weighted.count() if kind == "logistic" else 0, rounds).fit(weighted)
+
+
+@dataclass
+class CalibratedModel:
+    """Base models with one sigmoid each; the score is the mean of their probabilities."""
+
+    bases: list
+    sigmoids: list
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        given = rows.columns
+        terms = []
+        for i, (base, sigmoid) in enumerate(zip(self.bases, self.sigmoids)):
+            rows = _margin(base.transform(rows), f"_m{i}")
+            slope, shift = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+            terms.append(1 / (1 + F.exp(-(F.lit(slope) * F.col(f"_m{i}") + F.lit(shift)))))
+        return rows.select(*given, (sum(terms) / len(terms)).alias("score"))
+
+
+def _margin(scored: DataFrame, out: str) -> DataFrame:
+    """The model's raw value for the positive class; other outputs are dropped."""
+    return scored.withColumn(out, vector_to_array(F.col("_raw"))[1]).drop("_raw", "_prob", "_pred")
+
+
+def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
+    """Split each class evenly in key order; numbered without one task per class."""
+    numbered = number_rows(
+        train, ["label"], F.struct(F.year("bar_date").alias("y"), F.month("bar_date").alias("m")),
+        [F.col("bar_date"), F.col("symbol")], "_at",
+    )
+    return numbered.withColumn("_part", (F.col("_at") % parts).cast("int")).drop("_at")
+
+
+def fit_calibrated(train: DataFrame, kind: str, rounds: int = 300, parts: int = CALIBRATION_FOLDS) -> CalibratedModel:
+    """Base model on the other parts, sigmoid on the part left out.
+
+    The sigmoid is a logistic regression on the margin with smoothed targets:
+    every row enters as a positive and a negative with the target as weight.
+    """
+    split = cut(inner_folds(train, parts))
+    bases, sigmoids = [], []
+    for i in range(parts):
+        base = fit_base(split.filter(F.col("_part") != i), kind, rounds)
+        held = _margin(base.transform(split.filter(F.col("_part") == i)), "margin")
+        sigmoids.append(_fit_sigmoid(held))
+        bases.append(base)
+    return CalibratedModel(bases, sigmoids)
+
+
+def _fit_sigmoid(held: DataFrame):
+    counts = held.agg(F.sum(F.col("label").cast("double")).alias("_p"), F.count("*").alias("_n"))
+    target = F.when(F.col("label") == 1, (F.col("_p") + 1) / (F.col("_p") + 2)).otherwise(
+        1 / (F.col("_n") - F.col("_p") + 2)
+    )
+    pairs = held.crossJoin(F.broadcast(counts)).select(
+        F.col("margin"),
+        F.explode(F.array(
+            F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))
+        )).alias("t"),
+    ).select("margin", F.col("t.y").alias("y"), F.col("t.w").alias("w"))
+    vectors = VectorAssembler(inputCols=["margin"], outputCol="x").transform(pairs)
+    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, maxIter=100).fit(vectors)
+
+
+def walk_forward_scores(
+    assigned: DataFrame, fold_ids: list[int], names: list[str], kind: str, rounds: int = 300, calibrate: bool = True
+) -> DataFrame:
+    """Scores of every fold's train and test rows.
+
+    `assigned` has (symbol, bar_date, label, features..., fold_id, split) with
+    complete rows.  The scaler is fitted on train rows only.
+    """
+    scaled = apply_scaler(assigned, fit_scaler(assigned.filter("split = 'train'"), names), names)
+    vectors = cut(assemble(scaled, names))
+    parts = []
+    for fold in fold_ids:
+        rows = vectors.filter(F.col("fold_id") == fold)
+        train = rows.filter("split = 'train'")
+        if calibrate:
+            scored = fit_calibrated(train, kind, rounds).transform(rows)
+        else:
+            scored = fit_base(train, kind, rounds).transform(rows).withColumn("score", _probability()).drop("_raw", "_prob", "_pred")
+        parts.append(scored.drop("features"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.withColumn("model", F.lit(kind))
+
+
+def with_decisions(scored: DataFrame) -> DataFrame:
+    """Test rows with predictions at the threshold found on the fold's train rows."""
+    scored = cut(scored)
+    thresholds = optimize_threshold(scored.filter("split = 'train'"), ["model", "fold_id"]).drop("f_beta")
+    test = scored.filter("split = 'test'").join(thresholds, ["model", "fold_id"])
+    return test.withColumn("pred", F.col("score") >= F.col("threshold"))
+
+
+def coefficients(models: dict[int, object], names: list[str], spark) -> DataFrame:
+    """(fold_id, feature, coefficient) of fitted logistic models; one short list per fold."""
+    rows = [
+        (fold, name, float(value)) for fold, m in models.items() for name, value in zip(names, m.coefficients.toArray())
+    ]
+    return spark.createDataFrame(rows, "fold_id int, feature string, coefficient double")
+
+
+def coefficient_stability(table: DataFrame) -> DataFrame:
+    """Mean, mean magnitude, population deviation and share of positive signs over folds."""
+    c = F.col("coefficient")
+    return table.groupBy("feature").agg(
+        F.avg(c).alias("mean"), F.avg(F.abs(c)).alias("mean_abs"), F.stddev_pop(c).alias("std"),
+        F.avg((c > 0).cast("double")).alias("positive_fraction"),
+    ).orderBy(F.desc("mean_abs"), "feature")
+
+
+def fit_final(rows: DataFrame, names: list[str], kind: str, path: str | None = None, rounds: int = 300) -> PipelineModel:
+    """Assembler and model on all complete rows; saved when a path is given."""
+    clean = class_weights(rows.na.drop(subset=[*names, "label"]), "label", WEIGHTS[kind])
+    stages = [
+        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error"),
+        make_model(kind, clean.count() if kind == "logistic" else 0, rounds),
+    ]
+    model = Pipeline(stages=stages).fit(clean)
+    if path:
+        model.write().overwrite().save(path)
+    return model
+
+
+def score_batch(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Probability of the positive class; works on tables and on streams.
+
+    Rows with a missing feature are an error, as is a missing column.
+    """
+    given = rows.columns
+    return model.transform(rows).withColumn("score", _probability()).select(*given, "score")
