@@ -22,6 +22,7 @@ from tickloom.operators.evaluate import optimize_threshold
 from tickloom.operators.frame import apply_scaler, fit_scaler
 
 SEED = 42
+_OUTPUTS = ("rawPrediction", "probability", "prediction")
 CALIBRATION_FOLDS = 3
 # Weighting of each model kind (fixed choice).
 WEIGHTS = {"logistic": "balanced", "random_forest": "balanced", "boosted_a": "fixed", "boosted_b": "imbalance"}
@@ -55,26 +56,26 @@ def assemble(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def make_model(kind: str, n_rows: int, rounds: int = 300):
     """Estimator of a kind.  `rounds` shortens boosting, which Spark ML runs one tree after another."""
-    common = dict(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="_pred")
+    common = dict(featuresCol="features", labelCol="label", weightCol="weight")
     if kind == "logistic":
         # C = 1 with weights that sum to n is a penalty of 1/n per unit weight.
         return LogisticRegression(
             regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000,
-            probabilityCol="_prob", rawPredictionCol="_raw", **common,
+            **common,
         )
     if kind == "random_forest":
         return RandomForestClassifier(
-            numTrees=200, maxDepth=6, minInstancesPerNode=10, seed=SEED, probabilityCol="_prob", rawPredictionCol="_raw", **common
+            numTrees=200, maxDepth=6, minInstancesPerNode=10, seed=SEED, **common
         )
     if kind in ("boosted_a", "boosted_b"):
         return GBTClassifier(
             maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
-            probabilityCol="_prob", rawPredictionCol="_raw", **common,
+            **common,
         )
     raise ValueError(f"unknown model {kind!r}")
 
 
-def _probability(name: str = "_prob") -> Column:
+def _probability(name: str = "probability") -> Column:
     return vector_to_array(F.col(name))[1]
 
 
@@ -103,7 +104,7 @@ class CalibratedModel:
 
 def _margin(scored: DataFrame, out: str) -> DataFrame:
     """The model's raw value for the positive class; other outputs are dropped."""
-    return scored.withColumn(out, vector_to_array(F.col("_raw"))[1]).drop("_raw", "_prob", "_pred")
+    return scored.withColumn(out, vector_to_array(F.col("rawPrediction"))[1]).drop(*_OUTPUTS)
 
 
 def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
@@ -163,7 +164,7 @@ def walk_forward_scores(
         if calibrate:
             scored = fit_calibrated(train, kind, rounds).transform(rows)
         else:
-            scored = fit_base(train, kind, rounds).transform(rows).withColumn("score", _probability()).drop("_raw", "_prob", "_pred")
+            scored = fit_base(train, kind, rounds).transform(rows).withColumn("score", _probability()).drop(*_OUTPUTS)
         parts.append(scored.drop("features"))
     result = parts[0]
     for part in parts[1:]:
