@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut
+from tickloom.functions.scalars import attach_row
 
 MIN_SCORE = 0.55
 CAPACITY = 10
@@ -21,6 +22,8 @@ def alert_size(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * MAX_POSITION
 
 
+# Rounds chained in one plan before the small state table is stored.
+_ROUNDS_PER_CUT = 5
 _APPROVED = "array<struct<place:struct<s:double,symbol:string,d:date>,sector:string>>"
 
 
@@ -53,29 +56,36 @@ def decide_alerts(alerts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     alerts = cut(alerts)
     candidates = alerts.filter(F.col("score") >= MIN_SCORE).withColumn("place", _place())
-    state = candidates.select("book").distinct().withColumn("approved", F.array().cast(_APPROVED))
-    approved = F.col("approved")
-    for _ in range(capacity):
-        passing = candidates.join(state, "book").filter(
-            ((F.size(approved) == 0) | (F.col("place") > F.try_element_at(approved, F.lit(-1))["place"]))
-            & (_same_symbol(approved) < PER_SYMBOL)
-            & (F.col("score") - SECTOR_PENALTY * _same_sector(approved) >= MIN_SCORE)
-        )
-        following = passing.groupBy("book").agg(F.min(F.struct("place", "sector")).alias("_next"))
-        state = cut(
-            state.join(following, "book", "left").select(
-                "book",
-                F.when(F.col("_next").isNull(), approved)
-                .otherwise(F.concat(approved, F.array("_next").cast(_APPROVED))).alias("approved"),
-                F.col("_next").isNotNull().alias("_grew"),
-            )
-        )
-        if state.filter("_grew").isEmpty():
+    state = candidates.select("book").distinct().withColumns(
+        {"approved": F.array().cast(_APPROVED), "grew": F.lit(True)}
+    )
+    for done in range(0, capacity, _ROUNDS_PER_CUT):
+        for _ in range(min(_ROUNDS_PER_CUT, capacity - done)):
+            state = _approve_next(candidates, state)
+        state = cut(state)
+        # Stop early when the last round of this stretch approved nothing in any book.
+        if done + _ROUNDS_PER_CUT < capacity and state.filter("grew").isEmpty():
             break
-        state = state.drop("_grew")
     return _explain(alerts, state.select("book", "approved"), capacity)
 
 
+def _approve_next(candidates: DataFrame, state: DataFrame) -> DataFrame:
+    """Append the first alert of each book that comes after the last approval and passes."""
+    approved = F.col("approved")
+    passing = candidates.join(state.filter("grew"), "book").filter(
+        ((F.size(approved) == 0) | (F.col("place") > F.try_element_at(approved, F.lit(-1))["place"]))
+        & (_same_symbol(approved) < PER_SYMBOL)
+        & (F.col("score") - SECTOR_PENALTY * _same_sector(approved) >= MIN_SCORE)
+    )
+    following = passing.groupBy("book").agg(F.min(F.struct("place", "sector")).alias("_next"))
+    return state.join(following, "book", "left").select(
+        "book",
+        F.when(F.col("_next").isNull(), approved)
+        .otherwise(F.concat(approved, F.array("_next").cast(_APPROVED))).alias("approved"),
+        F.col("_next").isNotNull().alias("grew"),
+    )
+
+
 def _explain(alerts: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
     """Replay each alert against the approvals that came before it."""
     rows = alerts.withColumn("place", _place()).join(state, "book", "left")
@@ -122,6 +132,5 @@ def rank_symbols(metrics: DataFrame) -> DataFrame:
 def allocation_weights(ranked: DataFrame) -> DataFrame:
     """Share of the total score; equal shares when the total is zero."""
     total = ranked.agg(F.sum("rank_score").alias("_total"), F.count("*").alias("_n"))
-    # A keyless aggregate: one row.
     weight = F.when(F.col("_total") == 0, 1 / F.col("_n")).otherwise(F.try_divide("rank_score", "_total"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn("weight", weight).drop("_total", "_n")
+    return attach_row(ranked, total).withColumn("weight", weight).drop("_total", "_n")

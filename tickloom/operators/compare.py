@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.prefix import average_ranks
 from tickloom.functions.pricing import normal_cdf
+from tickloom.functions.scalars import attach_row
 
 ALPHA = 0.05
 MIN_DELTA = 0.01
@@ -88,8 +89,7 @@ def ab_compare(folds: DataFrame, alpha: float = ALPHA, min_delta: float = MIN_DE
     test = mann_whitney(folds.select("challenger", F.col("f1").alias("value")))
     delta = F.col("f1_challenger") - F.col("f1_champion")
     significant = F.col("p_value") < alpha
-    # Both sides are keyless aggregates: one row each.
-    return stats.crossJoin(test).select(
+    return attach_row(stats, test).select(
         "f1_champion", "f1_challenger", delta.alias("f1_delta"), "pr_auc_delta", "brier_delta", "u", "p_value",
         significant.alias("is_significant"),
         (delta / F.greatest(F.coalesce("_spread", F.lit(0.0)), F.lit(1e-6))).alias("effect_size"),

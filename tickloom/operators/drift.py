@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.prefix import exact_percentiles
+from tickloom.functions.scalars import attach_row
 from tickloom.operators.frame import long_form
 
 PSI_MODERATE, PSI_HIGH = 0.10, 0.25
@@ -51,11 +52,10 @@ def prediction_drift(baseline: DataFrame, current: DataFrame, score: str = "scor
     """Shift of the mean score in baseline deviations (population)."""
     base = baseline.agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
     now = current.agg(F.avg(score).alias("_c"))
-    # Two keyless aggregates: one row each.
     shift = F.abs(F.col("_c") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(_TINY))
     value = F.coalesce(shift, F.lit(0.0))
     severity = F.when(value > 3 * SCORE_SIGMA, "high").when(value > SCORE_SIGMA, "moderate").otherwise("low")
-    return base.crossJoin(now).select(
+    return attach_row(base, now).select(
         F.lit("prediction_scores").alias("name"), F.lit("prediction").alias("drift_type"), value.alias("value"),
         F.lit(SCORE_SIGMA).alias("threshold"), severity.alias("severity"), (severity != "low").alias("is_drift"),
     )

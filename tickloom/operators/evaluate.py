@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.prefix import average_ranks, exact_percentiles, top_rows
+from tickloom.functions.scalars import attach_row
 
 ALERT_FRACTIONS = (0.01, 0.05, 0.10)
 # Cut-offs tried by the threshold search: 100 even steps.
@@ -202,8 +203,8 @@ def fold_summary(scored: DataFrame, keys: list[str], baseline: str | None = "cur
     )
     if baseline is None:
         return summary
-    simple = baselines(scored, keys, baseline).filter("baseline = 'persistence'")
-    return summary.join(simple.select(*keys, F.col("f1").alias("baseline_f1")), keys)
+    repeats = classification(scored.withColumn("pred", F.col(baseline) == 1), keys)
+    return summary.join(repeats.select(*keys, F.col("f1").alias("baseline_f1")), keys)
 
 
 def compare_models(summary: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def compare_models(summary: DataFrame) -> DataFrame:
         *[F.avg(c).alias(f"mean_{c}") for c in ("f1", "pr_auc", "brier", "baseline_f1")]
     )
     best = means.agg(F.max_by("model", F.struct("mean_f1", "model")).alias("_best"))
-    return means.crossJoin(F.broadcast(best)).withColumn("best", F.col("model") == F.col("_best")).drop("_best")
+    return attach_row(means, best).withColumn("best", F.col("model") == F.col("_best")).drop("_best")
 
 
 def pooled_highlights(summary: DataFrame, alerts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -231,8 +232,10 @@ def pooled_highlights(summary: DataFrame, alerts: DataFrame, rules: DataFrame) -
     rates = summary.groupBy("period").agg(F.avg("positive_rate").alias("r")).agg(
         F.min_by("r", "period").alias("first_positive_rate"), F.max_by("r", "period").alias("last_positive_rate")
     )
-    # Every side is a keyless aggregate, that is exactly one row.
-    return best_f1.crossJoin(best_lift).crossJoin(best_rule).crossJoin(rates)
+    row = best_f1
+    for single in (best_lift, best_rule, rates):
+        row = attach_row(row, single)
+    return row
 
 
 def fold_regimes(returns: DataFrame, folds: DataFrame, keys: list[str], trading_days: int = 252) -> DataFrame:
@@ -248,7 +251,7 @@ def fold_regimes(returns: DataFrame, folds: DataFrame, keys: list[str], trading_
         F.when(F.col("realised_vol") <= F.col("_b")[0], "Low")
         .when(F.col("realised_vol") <= F.col("_b")[1], "Medium").otherwise("High")
     )
-    return vols.crossJoin(F.broadcast(bounds)).withColumn("regime", regime).drop("_b")
+    return attach_row(vols, bounds).withColumn("regime", regime).drop("_b")
 
 
 def regime_report(summary: DataFrame, regimes: DataFrame, keys: list[str]) -> DataFrame:

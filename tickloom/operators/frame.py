@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.blocks import BLOCK_ROWS, gather, spread
 from tickloom.functions.prefix import exact_percentiles
+from tickloom.functions.scalars import attach_row
 from tickloom.operators import liquidity as lq
 from tickloom.operators import regime as rg
 from tickloom.operators import reversion as mr
@@ -115,8 +116,7 @@ def normalize(features: DataFrame, names: list[str], method: str = "zscore") ->
             (F.avg(n), F.stddev_samp(n)) if method == "zscore" else (F.min(n), F.max(n) - F.min(n))
         )
         aggregates += [base.alias(f"_b_{n}"), spread_.alias(f"_s_{n}")]
-    # An aggregate without keys has exactly one row, so this product cannot grow.
-    scaled = features.crossJoin(F.broadcast(features.agg(*aggregates)))
+    scaled = attach_row(features, features.agg(*aggregates))
     return scaled.select(*[
         F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_b_{c}")) / F.col(f"_s_{c}"))
         .otherwise(F.col(c)).alias(c) if c in names else F.col(c)

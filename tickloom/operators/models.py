@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut
 from tickloom.functions.prefix import number_rows
+from tickloom.functions.scalars import attach_row
 from tickloom.operators.evaluate import optimize_threshold
 from tickloom.operators.frame import apply_scaler, fit_scaler
 
@@ -37,8 +38,7 @@ def class_weights(rows: DataFrame, label: str, kind: str = "balanced", keys: lis
     counts = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p")
     )
-    # Without keys the counts are one row; with keys one row per fold.
-    joined = rows.join(counts, keys) if keys else rows.crossJoin(F.broadcast(counts))
+    joined = rows.join(counts, keys) if keys else attach_row(rows, counts)
     n, p = F.col("_n"), F.col("_p")
     if kind == "balanced":
         weight = F.when(positive, F.try_divide(n, 2 * p)).otherwise(F.try_divide(n, 2 * (n - p)))
@@ -108,12 +108,15 @@ def _margin(scored: DataFrame, out: str) -> DataFrame:
 
 
 def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
-    """Split each class evenly in key order; numbered without one task per class."""
-    numbered = number_rows(
-        train, ["label"], F.struct(F.year("bar_date").alias("y"), F.month("bar_date").alias("m")),
-        [F.col("bar_date"), F.col("symbol")], "_at",
-    )
-    return numbered.withColumn("_part", (F.col("_at") % parts).cast("int")).drop("_at")
+    """Consecutive parts of equal size of each class, in date order.
+
+    Buckets are dates: a class may hold nearly all rows, a date only one row
+    per symbol.
+    """
+    numbered = number_rows(train, ["label"], F.col("bar_date"), [F.col("bar_date"), F.col("symbol")], "_at")
+    sizes = train.groupBy("label").agg(F.count("*").alias("_n"))
+    part = F.floor((F.col("_at") - 1) * parts / F.col("_n")).cast("int")
+    return numbered.join(sizes, "label").withColumn("_part", part).drop("_at", "_n")
 
 
 def fit_calibrated(train: DataFrame, kind: str, rounds: int = 300, parts: int = CALIBRATION_FOLDS) -> CalibratedModel:
@@ -137,7 +140,7 @@ def _fit_sigmoid(held: DataFrame):
     target = F.when(F.col("label") == 1, (F.col("_p") + 1) / (F.col("_p") + 2)).otherwise(
         1 / (F.col("_n") - F.col("_p") + 2)
     )
-    pairs = held.crossJoin(F.broadcast(counts)).select(
+    pairs = attach_row(held, counts).select(
         F.col("margin"),
         F.explode(F.array(
             F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))

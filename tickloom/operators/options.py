@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.blocks import rolling
 from tickloom.functions.prefix import exact_percentiles
+from tickloom.functions.scalars import attach_row
 from tickloom.functions.pricing import implied_vol, is_call, with_greeks
 from tickloom.functions.rolling import lead
 
@@ -175,8 +176,7 @@ def summarize_trades(trades: DataFrame) -> DataFrame:
         F.max("pnl").alias("best_trade"), F.min("pnl").alias("worst_trade"),
     )
     median = exact_percentiles(trades, [], "pnl", [0.5], "_m").select(F.col("_m")[0].alias("median_pnl"))
-    # Both sides have at most one row.
-    return stats.join(F.broadcast(median), F.lit(True), "left")
+    return attach_row(stats, median)
 
 
 def delta_hedge_ledger(paths: DataFrame, rate: float = 0.05, threshold: float = 0.05) -> DataFrame:

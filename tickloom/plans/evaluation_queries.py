@@ -396,8 +396,9 @@ def compare_models(spark, sf):
     "round(first_positive_rate, 6) AS first_positive_rate, round(last_positive_rate, 6) AS last_positive_rate FROM b1, b2, b3, b4",
 )
 def pooled_highlights(spark, sf):
-    summary = views.fold_metrics(spark, sf)
-    alerts = ev.alerts_at_k(views.scored_periods(spark, sf), ["model", "period"])
+    rows = views.state_scored(spark, sf)
+    summary = views.fold_metrics(spark, sf, rows)
+    alerts = ev.alerts_at_k(rows, ["model", "period"])
     rules = ev.rule_baselines(rule_rows(spark, sf), ["period"]).withColumn("horizon", F.lit(1))
     row = ev.pooled_highlights(summary, alerts, rules)
     return rounded(
@@ -412,14 +413,13 @@ fr AS (SELECT *, CASE WHEN v <= (SELECT quantile_cont(v, 0.3333) FROM fv) THEN '
 """
 
 
-def _fold_regimes(spark, sf):
-    rows = views.state_scored(spark, sf)
+def _fold_regimes(rows):
     return ev.fold_regimes(rows, rows.select("model", "period").distinct(), ["model", "period"])
 
 
 @query("fold_vol_regimes", f"{_REGIMES} SELECT model, period, round(v, 6) + 0.0 AS realised_vol, regime FROM fr")
 def fold_vol_regimes(spark, sf):
-    return rounded(_fold_regimes(spark, sf), {"realised_vol": 6}, ("model", "period", "regime"))
+    return rounded(_fold_regimes(views.state_scored(spark, sf)), {"realised_vol": 6}, ("model", "period", "regime"))
 
 
 _RR = {"avg_f1": "avg(f1)", "avg_pr_auc": "avg(pr_auc)", "avg_precision_at_5pct": "avg(precision_at_5pct)", "avg_positive_rate": "avg(positive_rate)", "max_f1": "max(f1)", "min_f1": "min(f1)"}
@@ -427,7 +427,8 @@ _RR = {"avg_f1": "avg(f1)", "avg_pr_auc": "avg(pr_auc)", "avg_precision_at_5pct"
 
 @query("regime_report", f"{_REGIMES} SELECT regime, count(*) AS folds, " + ", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in _RR.items()) + " FROM fm JOIN fr USING (model, period) GROUP BY 1")
 def regime_report(spark, sf):
-    report = ev.regime_report(views.fold_metrics(spark, sf), _fold_regimes(spark, sf), ["model", "period"])
+    rows = views.state_scored(spark, sf)
+    report = ev.regime_report(views.fold_metrics(spark, sf, rows), _fold_regimes(rows), ["model", "period"])
     return rounded(report, {c: 6 for c in _RR}, ("regime", "folds"))
 
 

@@ -245,9 +245,8 @@ def allocation_weights(spark, sf):
 # --- U governance ----------------------------------------------------------------------------
 
 
-def _promotions(spark, sf):
+def _promotions(fm):
     """Every version with a positive F1 was promoted at the end of its year."""
-    fm = views.fold_metrics(spark, sf)
     version = F.concat("model", F.lit("-"), F.col("period").cast("string"))
     return fm.filter("f1 > 0").select(
         version.alias("version"), F.make_timestamp("period", F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)).alias("promoted_at"),
@@ -257,7 +256,7 @@ def _promotions(spark, sf):
 
 def decision_log(spark, sf):
     """Predictions, alert decisions, promotions and risk checks in one schema."""
-    scored = views.scored(spark, sf)
+    scored = views.state_scored(spark, sf)
     stamp = F.col("bar_date").cast("timestamp")
     version = F.concat(F.lit("v"), F.year("bar_date").cast("string"))
     alerts = scored.filter("score >= 0.55").withColumns({
@@ -271,7 +270,7 @@ def decision_log(spark, sf):
     )
     return governance.decision_log(
         governance.prediction_records(scored, version, stamp), governance.alert_records(alerts, version, stamp),
-        governance.promotion_records(_promotions(spark, sf)), governance.risk_records(checks),
+        governance.promotion_records(_promotions(views.fold_metrics(spark, sf, scored))), governance.risk_records(checks),
     )
 
 
@@ -334,9 +333,8 @@ def governance_summary(spark, sf):
     return rounded(governance.governance_summary(decision_log(spark, sf)), {"value": 6}, ("metric", "key"))
 
 
-def _registrations(spark, sf):
+def _registrations(fm):
     """Each version is registered at the start of its year and again, corrected, in July."""
-    fm = views.fold_metrics(spark, sf)
     return fm.withColumn("month", F.explode(F.array(F.lit(1), F.lit(7)))).select(
         F.concat("model", F.lit("-"), F.col("period").cast("string")).alias("version"),
         F.make_timestamp("period", "month", F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("registered_at"),
@@ -350,27 +348,30 @@ _VER = _LOG + ", ver AS (SELECT concat(model, '-', CAST(period AS VARCHAR)) AS v
 
 @query("version_ledger", f"WITH {_VER} SELECT version, ticker, round(pr_auc, 6) + 0.0 AS pr_auc, round(f1, 6) + 0.0 AS f1, CAST(make_date(period, 7, 1) AS DATE) AS registered FROM ver")
 def version_ledger(spark, sf):
-    table = governance.latest_versions(_registrations(spark, sf)).withColumn("registered", F.to_date("registered_at"))
+    table = governance.latest_versions(_registrations(views.fold_metrics(spark, sf))).withColumn("registered", F.to_date("registered_at"))
     return rounded(table, {"pr_auc": 6, "f1": 6}, ("version", "ticker", "registered"))
 
 
 @query("champion_version", f"WITH {_VER} SELECT version, version = (SELECT version FROM champ) AS promoted FROM ver")
 def champion_version(spark, sf):
-    return governance.list_versions(_registrations(spark, sf), _promotions(spark, sf)).select("version", "promoted")
+    fm = views.fold_metrics(spark, sf)
+    return governance.list_versions(_registrations(fm), _promotions(fm)).select("version", "promoted")
 
 
 @query("rollback_version", f"WITH {_VER} SELECT version, version = (SELECT min(version) FROM ver) AS promoted FROM ver")
 def rollback_version(spark, sf):
     """Promoting the first version again makes it the only promoted one."""
-    first = _registrations(spark, sf).agg(F.min("version").alias("version")).select(
+    fm = views.fold_metrics(spark, sf)
+    first = _registrations(fm).agg(F.min("version").alias("version")).select(
         "version", F.lit("2030-01-01").cast("timestamp").alias("promoted_at"), F.lit("reviewer").alias("promoted_by"), F.lit("rollback").alias("rationale")
     )
-    promotions = _promotions(spark, sf).unionByName(first)
-    return governance.list_versions(_registrations(spark, sf), promotions).select("version", "promoted")
+    promotions = _promotions(fm).unionByName(first)
+    return governance.list_versions(_registrations(fm), promotions).select("version", "promoted")
 
 
 @query("guarded_delete", f"WITH {_VER} SELECT version, version = (SELECT version FROM champ) AS promoted FROM ver WHERE period <> 2001 OR version = (SELECT version FROM champ)")
 def guarded_delete(spark, sf):
-    versions = governance.list_versions(_registrations(spark, sf), _promotions(spark, sf)).select("version", "promoted")
+    fm = views.fold_metrics(spark, sf)
+    versions = governance.list_versions(_registrations(fm), _promotions(fm)).select("version", "promoted")
     requests = versions.filter(F.col("version").endswith("-2001")).select("version")
     return governance.delete_versions(versions, requests)

@@ -301,8 +301,9 @@ def top_sql(source: str, keys: str, size: str) -> str:
     )
 
 
-def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(fold_summary(state_scored(spark, sf), ["model", "period"]).withColumn("horizon", F.lit(1)))
+def fold_metrics(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = state_scored(spark, sf) if rows is None else rows
+    return cut(fold_summary(rows, ["model", "period"]).withColumn("horizon", F.lit(1)))
 
 
 FOLD_METRICS_SQL = (
