@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from tickloom.plans import bar_queries, evaluation_queries, model_queries, monitoring_queries, option_queries  # noqa: F401
+from tickloom.plans import (  # noqa: F401
+    bar_queries, evaluation_queries, model_queries, monitoring_queries, option_queries,
+)
 from tickloom.plans.registry import ORACLE, QUERIES  # noqa: F401

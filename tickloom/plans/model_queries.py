@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut, shared_folder
-from tickloom.operators import evaluate, folds, frame, governance, labels, ledger, models
+from tickloom.functions.scalars import attach_row
+from tickloom.operators import drift, evaluate, folds, frame, governance, labels, ledger, models
 from tickloom.plans import views
-from tickloom.plans.monitoring_queries import decision_log
-from tickloom.plans.registry import query, rounded
+from tickloom.plans.monitoring_queries import _LOG, decision_log, monitoring_results
+from tickloom.plans.registry import ORACLE, query, rounded
 from tickloom.sources.audit_log import append_audit, read_audit
 from tickloom.sources.bars import write_table
+from tickloom.sources.results import write_report
 from tickloom.streaming import alerts as stream_alerts
 from tickloom.streaming import audit as stream_audit
 from tickloom.streaming import drift as stream_drift
@@ -115,7 +117,10 @@ def write_bars(spark, sf):
     return rounded(spark.read.schema(bars.schema).option("header", True).csv(path), {"close": 4})
 
 
-@query("audit_log", None)
+_INTACT = f"WITH {_LOG} SELECT entry_type, count(*) AS n, count(*) AS intact FROM log GROUP BY 1"
+
+
+@query("audit_log", _INTACT)
 def audit_log(spark, sf):
     """Append two batches, read everything back."""
     records = governance.with_checksum(decision_log(spark, sf))
@@ -126,6 +131,18 @@ def audit_log(spark, sf):
     return back.groupBy("entry_type").agg(F.count("*").alias("n"), F.count_if(F.col("checksum") == governance.checksum()).alias("intact"))
 
 
+@query("write_report", ORACLE["overall_status"])
+def report(spark, sf):
+    """A monitoring report with nested results, written as JSON and read back."""
+    results = cut(monitoring_results(spark, sf))
+    nested = attach_row(
+        drift.overall_status(results), results.agg(F.collect_list(F.struct("name", "drift_type", "severity")).alias("drift_results"))
+    )
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    write_report(nested, path)
+    return spark.read.schema(nested.schema).json(path).select("high", "moderate", "overall_status")
+
+
 # --- V streaming --------------------------------------------------------------------
 
 
@@ -156,20 +173,48 @@ def stream_scoring(spark, sf):
     return rounded(scored, {"score": 6}, ("symbol", "bar_date"))
 
 
-@query("stream_performance_drift")
+_STREAM_DRIFT = f"""WITH {views.PERIODS_SQL},
+w AS (SELECT model, time_bucket(INTERVAL 30 DAY, CAST(bar_date AS TIMESTAMP), TIMESTAMP '1970-01-01') AS batch, count(*) FILTER (WHERE pred) AS predicted, count(*) FILTER (WHERE pred AND label = 1) AS hits FROM sp GROUP BY 1, 2),
+v AS (SELECT model, CAST(batch AS DATE) AS batch, coalesce(hits / nullif(predicted, 0)::DOUBLE, 0.0) AS value FROM w
+      WHERE batch + INTERVAL 30 DAY <= (SELECT max(CAST(bar_date AS TIMESTAMP)) - INTERVAL 1 DAY FROM sp)),
+d AS (SELECT *, CAST(sum((value < 0.01)::INT) OVER (PARTITION BY model ORDER BY batch ROWS 2 PRECEDING) AS INTEGER) AS degraded FROM v)
+SELECT model, batch, round(value, 6) + 0.0 AS value, degraded, CASE WHEN degraded >= 3 THEN 'high' WHEN degraded >= 2 THEN 'moderate' ELSE 'low' END AS severity FROM d
+"""
+
+
+@query("stream_performance_drift", _STREAM_DRIFT)
 def stream_performance_drift(spark, sf):
     scored = views.scored_periods(spark, sf).select("model", "bar_date", "label", "pred")
     batches = run_to_table(stream_drift.batch_counts(_stream(spark, scored)), spark)
-    return run_to_table(stream_drift.performance_drift(_stream(spark, batches), 0.02), spark)
-
-
-@query("stream_alert_decisions")
+    table = run_to_table(stream_drift.performance_drift(_stream(spark, batches), 0.02), spark)
+    return rounded(table, {"value": 6}, ("model", "batch", "degraded", "severity"))
+
+
+_STREAM_DECIDE = f"""WITH RECURSIVE {views.ALERTS_SQL},
+ord AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY bar_date, score DESC, symbol) AS i FROM alerts),
+walk AS (
+  SELECT book, 0::BIGINT AS i, []::STRUCT(s VARCHAR, d DATE, x VARCHAR)[] AS held, NULL::VARCHAR AS symbol, NULL::DATE AS bar_date, NULL::DOUBLE AS score,
+         false AS approved, NULL::VARCHAR AS reason, NULL::DOUBLE AS adjusted_score
+  FROM (SELECT DISTINCT book FROM ord) b
+  UNION ALL
+  SELECT book, i, CASE WHEN ok THEN list_append(held, {{'s': symbol, 'd': bar_date, 'x': sector}}) ELSE held END, symbol, bar_date, score, ok,
+         CASE WHEN len(held) >= 10 THEN 'Portfolio at capacity (10)' WHEN ns >= 3 THEN printf('%d alerts in 5d window (max 3)', ns)
+              WHEN ok THEN 'approved' ELSE printf('Adjusted score %.3f < min 0.550 (sector_overlap_%d)', score - 0.15 * nx, nx) END,
+         CASE WHEN ok THEN score - 0.15 * nx ELSE score END
+  FROM (SELECT *, len(held) < 10 AND ns < 3 AND score - 0.15::DOUBLE * nx >= 0.55 AS ok FROM (
+    SELECT *, len(list_filter(held, lambda a: a.s = symbol AND a.d > bar_date - 5)) AS ns, len(list_filter(held, lambda a: a.x = sector)) AS nx FROM (
+      SELECT o.*, list_filter(w.held, lambda a: date_diff('day', a.d, o.bar_date) < 5) AS held FROM walk w JOIN ord o ON o.book = w.book AND o.i = w.i + 1) p) q) r)
+SELECT book, symbol, bar_date, approved, reason, round(score, 6) + 0.0 AS score, round(adjusted_score, 6) + 0.0 AS adjusted_score FROM walk WHERE i > 0
+"""
+
+
+@query("stream_alert_decisions", _STREAM_DECIDE)
 def stream_alert_decisions(spark, sf):
     source = _stream(spark, views.alerts(spark, sf).drop("label"))
     return rounded(run_to_table(stream_alerts.decide(source), spark), {"score": 6, "adjusted_score": 6}, ("book", "symbol", "bar_date", "approved", "reason"))
 
 
-@query("stream_audit", None)
+@query("stream_audit", _INTACT)
 def stream_audit_query(spark, sf):
     path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     run_foreach(_stream(spark, decision_log(spark, sf)), spark, stream_audit.audit_writer(path))

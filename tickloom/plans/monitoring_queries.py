@@ -76,6 +76,14 @@ def performance_drift(spark, sf):
     return rounded(_performance(spark, sf), {"value": 6}, ("model", "batch", "threshold", "degraded", "severity", "is_drift"))
 
 
+def monitoring_results(spark, sf):
+    """Feature, score and performance drift as (name, drift_type, severity)."""
+    performance = _performance(spark, sf).select(F.col("model").alias("name"), F.lit("performance").alias("drift_type"), "severity")
+    columns = ["name", "drift_type", "severity"]
+    features = drift.feature_drift(*_halves(spark, sf), _SMALL_NAMES).select(*columns)
+    return features.unionByName(_prediction(spark, sf).select(*columns)).unionByName(performance)
+
+
 @query(
     "overall_status",
     f"{_PSI}, {_FD}, {views.PERIODS_SQL.replace('bars AS (', 'bars2 AS (', 1).replace('FROM bars ', 'FROM bars2 ')}, {_PD}, {_PF}, al AS (SELECT severity FROM fd UNION ALL SELECT {_SEV.format(h=6, m=2)} FROM pd UNION ALL SELECT {_PF_SEV} FROM pf) "
@@ -83,11 +91,7 @@ def performance_drift(spark, sf):
     "CASE WHEN count(*) FILTER (WHERE severity = 'high') > 0 THEN 'alert' WHEN count(*) FILTER (WHERE severity = 'moderate') > 0 THEN 'caution' ELSE 'healthy' END AS overall_status FROM al",
 )
 def overall_status(spark, sf):
-    parts = [drift.feature_drift(*_halves(spark, sf), _SMALL_NAMES), _prediction(spark, sf), _performance(spark, sf)]
-    results = parts[0].select("severity")
-    for p in parts[1:]:
-        results = results.unionByName(p.select("severity"))
-    return drift.overall_status(results)
+    return drift.overall_status(monitoring_results(spark, sf))
 
 
 @query(
