@@ -352,7 +352,10 @@ def sequential(rows, capacity=10):
     return out
 
 
-def test_decisions_equal_sequential_walk(spark):
+@pytest.mark.parametrize("shortlist", [2, 64])
+def test_decisions_equal_sequential_walk(spark, monkeypatch, shortlist):
+    """A short list of two forces many rounds."""
+    monkeypatch.setattr(alerts, "_SHORTLIST", shortlist)
     rng = np.random.default_rng(9)
     rows = {(f"S{rng.integers(0, 12)}", days(60)[rng.integers(0, 60)]): float(np.round(rng.uniform(0.5, 1.0), 3)) for _ in range(400)}
     table = [(s, d, v, f"sec{hash_(s)}", "b1") for (s, d), v in rows.items()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut
@@ -22,8 +22,8 @@ def alert_size(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * MAX_POSITION
 
 
-# Rounds chained in one plan before the small state table is stored.
-_ROUNDS_PER_CUT = 5
+# Alerts per book walked in one round.
+_SHORTLIST = 64
 _APPROVED = "array<struct<place:struct<s:double,symbol:string,d:date>,sector:string>>"
 
 
@@ -32,59 +32,72 @@ def _place() -> Column:
     return F.struct((-F.col("score")).alias("s"), F.col("symbol").alias("symbol"), F.col("bar_date").alias("d"))
 
 
-def _same_symbol(approved: Column) -> Column:
-    cutoff = F.date_sub("bar_date", WINDOW_DAYS)
-    return F.size(F.filter(approved, lambda a: (a["place"]["symbol"] == F.col("symbol")) & (a["place"]["d"] > cutoff)))
+def _same_symbol(approved: Column, symbol: Column, day: Column) -> Column:
+    cutoff = F.date_sub(day, WINDOW_DAYS)
+    return F.size(F.filter(approved, lambda a: (a["place"]["symbol"] == symbol) & (a["place"]["d"] > cutoff)))
 
 
-def _same_sector(approved: Column) -> Column:
-    return F.size(F.filter(approved, lambda a: a["sector"] == F.col("sector")))
+def _same_sector(approved: Column, sector: Column) -> Column:
+    return F.size(F.filter(approved, lambda a: a["sector"] == sector))
+
+
+def _passes(approved: Column, symbol: Column, day: Column, sector: Column, score: Column) -> Column:
+    penalty = SECTOR_PENALTY * _same_sector(approved, sector)
+    return (_same_symbol(approved, symbol, day) < PER_SYMBOL) & (score - penalty >= MIN_SCORE)
 
 
 def decide_alerts(alerts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Greedy approval in score order, one decision list per `book`.
 
-    Every approval changes what may follow, but between two approvals the
-    state is constant, so the next one is simply the first alert in order that
-    passes under the current state.  A book therefore needs `capacity` rounds
-    of one grouped minimum (combined map-side), and no task ever holds a book.
-    The state is one row with at most `capacity` entries per book.
+    Limits only tighten as approvals are added, so an alert that fails once
+    fails for good.  A round therefore keeps the alerts that still pass, takes
+    the first few of each book (a row-number limit, which Spark applies before
+    the shuffle) and walks that short list.  A book is done when it is full or
+    its list was not; every other round approves at least one alert, so there
+    are at most `capacity` rounds, usually one or two.  No task holds a book.
 
     Input: (book, symbol, sector, bar_date, score), one row per book, symbol and
-    date.  Adds `approved`,
-    `reason`, `adjusted_score` and `position_size`.
+    date.  Adds `approved`, `reason`, `adjusted_score` and `position_size`.
     """
     alerts = cut(alerts)
     candidates = alerts.filter(F.col("score") >= MIN_SCORE).withColumn("place", _place())
     state = candidates.select("book").distinct().withColumns(
-        {"approved": F.array().cast(_APPROVED), "grew": F.lit(True)}
+        {"approved": F.array().cast(_APPROVED), "open": F.lit(True)}
     )
-    for done in range(0, capacity, _ROUNDS_PER_CUT):
-        for _ in range(min(_ROUNDS_PER_CUT, capacity - done)):
-            state = _approve_next(candidates, state)
-        state = cut(state)
-        # Stop early when the last round of this stretch approved nothing in any book.
-        if done + _ROUNDS_PER_CUT < capacity and state.filter("grew").isEmpty():
+    for _ in range(capacity):
+        state = cut(_walk_shortlists(candidates, state, capacity))
+        if state.filter("open").isEmpty():
             break
-    return _explain(alerts, state.select("book", "approved"), capacity)
+    return _explain(alerts, state.drop("open"), capacity)
 
 
-def _approve_next(candidates: DataFrame, state: DataFrame) -> DataFrame:
-    """Append the first alert of each book that comes after the last approval and passes."""
+def _walk_shortlists(candidates: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
+    """One round: extend the approvals of every open book by its short list."""
     approved = F.col("approved")
-    passing = candidates.join(state.filter("grew"), "book").filter(
-        ((F.size(approved) == 0) | (F.col("place") > F.try_element_at(approved, F.lit(-1))["place"]))
-        & (_same_symbol(approved) < PER_SYMBOL)
-        & (F.col("score") - SECTOR_PENALTY * _same_sector(approved) >= MIN_SCORE)
+    after = (F.size(approved) == 0) | (F.col("place") > F.try_element_at(approved, F.lit(-1))["place"])
+    passing = candidates.join(state.filter("open"), "book").filter(
+        after & _passes(approved, F.col("symbol"), F.col("bar_date"), F.col("sector"), F.col("score"))
+    )
+    first = passing.withColumn("_n", F.row_number().over(Window.partitionBy("book").orderBy("place"))).filter(
+        F.col("_n") <= _SHORTLIST
     )
-    following = passing.groupBy("book").agg(F.min(F.struct("place", "sector")).alias("_next"))
-    return state.join(following, "book", "left").select(
-        "book",
-        F.when(F.col("_next").isNull(), approved)
-        .otherwise(F.concat(approved, F.array("_next").cast(_APPROVED))).alias("approved"),
-        F.col("_next").isNotNull().alias("grew"),
+    lists = first.groupBy("book").agg(
+        F.sort_array(F.collect_list(F.struct("place", "sector", "score"))).alias("_list")
     )
 
+    def step(held, alert):
+        place, sector = alert["place"], alert["sector"]
+        ok = (F.size(held) < capacity) & _passes(held, place["symbol"], place["d"], sector, alert["score"])
+        longer = F.concat(held, F.array(F.struct(place.alias("place"), sector.alias("sector"))).cast(_APPROVED))
+        return F.when(ok, longer).otherwise(held)
+
+    walked = F.aggregate("_list", approved, step)
+    more = F.coalesce(F.size("_list") == _SHORTLIST, F.lit(False))
+    joined = state.join(lists, "book", "left").withColumn("_more", more)
+    return joined.select(
+        "book", F.when(F.col("_list").isNull(), approved).otherwise(walked).alias("approved"), "_more"
+    ).select("book", "approved", (F.col("_more") & (F.size("approved") < capacity)).alias("open"))
+
 
 def _explain(alerts: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
     """Replay each alert against the approvals that came before it."""
@@ -94,7 +107,10 @@ def _explain(alerts: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
         F.filter("approved", lambda a: a["place"] < F.col("place")), F.array().cast(_APPROVED)
     )
     rows = rows.withColumn("_before", before)
-    rows = rows.withColumns({"_symbol": _same_symbol(F.col("_before")), "_sector": _same_sector(F.col("_before"))})
+    rows = rows.withColumns({
+        "_symbol": _same_symbol(F.col("_before"), F.col("symbol"), F.col("bar_date")),
+        "_sector": _same_sector(F.col("_before"), F.col("sector")),
+    })
     adjusted = F.col("score") - SECTOR_PENALTY * F.col("_sector")
     ok = F.coalesce("_mine", F.lit(False))
     reason = (
