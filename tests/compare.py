@@ -79,7 +79,6 @@ def main():
     from tickloom.session import local_session
 
     spark, con = local_session(cpus=8), connect(args.d)
-    started = time.time()
     names = args.names or [n for n in QUERIES if not args.p or n.startswith(tuple(args.p.split(",")))]
     failed = []
     for n in names:

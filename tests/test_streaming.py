@@ -8,7 +8,6 @@ from tickloom.operators import governance
 from tickloom.sources.audit_log import read_audit
 from tickloom.streaming import alerts, audit, drift
 from tickloom.streaming.bars import stream_bars
-from tickloom.streaming.runs import run_foreach
 
 
 def steps(spark, tmp_path, schema, batches, name):

@@ -22,6 +22,15 @@ def require_columns(bars: DataFrame, columns=PRICE_COLUMNS) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
+def column_report(bars: DataFrame, columns=PRICE_COLUMNS) -> DataFrame:
+    """Presence of every required column and the rows that have it, per symbol."""
+    found = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in bars.columns).alias("present")) for c in columns])
+    counts = bars.groupBy("symbol").agg(F.count("*").alias("_n")).select("symbol", "_n", F.explode(found).alias("f"))
+    return counts.select(
+        "symbol", "f.column_name", "f.present", F.when(F.col("f.present"), F.col("_n")).otherwise(F.lit(0)).alias("rows")
+    )
+
+
 def row_counts(bars: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count("*").alias("rows")).withColumn(
         "too_few", F.col("rows") < minimum

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import cleaning, factors, frame, labels, liquidity, quality, regime, reversion
+from tickloom.operators import cleaning, factors, labels, liquidity, quality, regime, reversion
 from tickloom.operators import technical as ta
 from tickloom.plans import views
 from tickloom.plans.registry import query, rounded, rounded_sql
@@ -94,6 +94,16 @@ def quality_order(spark, sf):
     return quality.out_of_order(arrived, "o_orderkey")
 
 
+@query(
+    "quality_required_columns",
+    f"WITH {_D} SELECT symbol, c AS column_name, c <> 'open' AS present, CASE WHEN c <> 'open' THEN count(*) ELSE 0 END AS rows "
+    "FROM dirty, (VALUES ('open'), ('high'), ('low'), ('close'), ('volume')) v(c) GROUP BY 1, 2",
+)
+def quality_required_columns(spark, sf):
+    """A table without opening prices."""
+    return quality.column_report(views.dirty_bars(spark, sf).drop("open"))
+
+
 @query("quality_duplicates", f"WITH {_D} SELECT symbol, CAST(count(*) - count(DISTINCT bar_date) AS BIGINT) AS duplicates FROM dirty GROUP BY 1")
 def quality_duplicates(spark, sf):
     return quality.duplicate_dates(views.dirty_bars(spark, sf))
