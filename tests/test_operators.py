@@ -14,7 +14,7 @@ from tickloom.operators import alerts, cleaning, compare, drift, evaluate, folds
 from tickloom.operators import technical as ta
 from tickloom.sources import bars as src
 from tickloom.sources.chains import normalize_chain
-from tickloom.sources.results import normalize_alerts, normalize_metrics
+from tickloom.sources.results import load_alerts, load_result_metrics, normalize_alerts, normalize_metrics
 
 
 def days(n, start="2020-01-01"):
@@ -73,6 +73,38 @@ def test_load_bars_roundtrip_and_empty(spark, tmp_path):
         src.load_bars(spark, path, ["none"])
 
 
+def test_result_files(spark, tmp_path):
+    alert_file, metric_file = tmp_path / "alerts.csv", tmp_path / "metrics.csv"
+    alert_file.write_text("level_0,Ticker,Score\n2024-01-02,A,0.7\n2024-01-03,B,bad\n")
+    metric_file.write_text("Model,Period,F1,PR AUC\nlogistic,1,12.5%,0.25\n")
+    got = {r.symbol: (r.bar_date.day, r.score) for r in load_alerts(spark, str(alert_file)).collect()}
+    assert got == {"A": (2, 0.7), "B": (3, None)}
+    row = load_result_metrics(spark, str(metric_file)).first()
+    assert (row.model, row.fold_id, row.f1, row.pr_auc) == ("logistic", 1.0, 0.125, 0.25)
+
+
+def test_intraday_source(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    trades = spark.createDataFrame([("A", t(1), 5.0), ("A", t(4), 7.0), ("A", t(6), 6.0)], "symbol string, ts timestamp, price double")
+    trades.write.parquet(str(tmp_path / "trades"))
+    got = src.load_intraday(spark, str(tmp_path / "trades")).orderBy("bar_start").collect()
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(5.0, 7.0, 5.0, 7.0, 2.0), (6.0, 6.0, 6.0, 6.0, 1.0)]
+    trades.filter("price > 9").write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        src.load_intraday(spark, str(tmp_path / "none"))
+
+
+def test_wide_vendor_table(spark):
+    fields = ["Open", "High", "Low", "Close", "Volume"]
+    wide = spark.createDataFrame([("2024-01-02", *map(float, range(10)))], ["Date", *[f"{f}|{s}" for s in ("A", "B") for f in fields]])
+    got = {r.symbol: (r.open, r.volume) for r in src.normalize_columns(wide).collect()}
+    assert got == {"A": (0.0, 4.0), "B": (5.0, 9.0)}
+    one = spark.createDataFrame([("2024-01-02", 1.0, 2.0, 0.5, 1.5, 10.0)], ["Date", *fields])
+    assert src.normalize_columns(one).first().close == 1.5
+    with pytest.raises(ValueError):
+        src.normalize_columns(one.drop("Volume"))
+
+
 def test_result_text_is_parsed(spark):
     raw = spark.createDataFrame([("a", "12.3%", "0.5", "x")], ["Model", "F1", "PR_AUC", "Brier"])
     row = normalize_metrics(raw).first()

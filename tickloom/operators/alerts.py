@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.lineage import cut
 from tickloom.functions.scalars import attach_row
 
+# Decision limits (fixed values).
 MIN_SCORE = 0.55
 CAPACITY = 10
 PER_SYMBOL = 3

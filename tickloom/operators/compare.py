@@ -13,6 +13,7 @@ from tickloom.functions.prefix import average_ranks
 from tickloom.functions.pricing import normal_cdf
 from tickloom.functions.scalars import attach_row
 
+# Verdict limits (fixed values).
 ALPHA = 0.05
 MIN_DELTA = 0.01
 EXACT_UP_TO = 8

@@ -9,6 +9,7 @@ from tickloom.functions.prefix import exact_percentiles
 from tickloom.functions.scalars import attach_row
 from tickloom.operators.frame import long_form
 
+# Severity limits (fixed values).
 PSI_MODERATE, PSI_HIGH = 0.10, 0.25
 SCORE_SIGMA = 2.0
 MIN_PRECISION_RATIO = 0.5

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.prefix import average_ranks, exact_percentiles, top_rows
 from tickloom.functions.scalars import attach_row
 
+# Alert budgets (fixed values).
 ALERT_FRACTIONS = (0.01, 0.05, 0.10)
 # Cut-offs tried by the threshold search: 100 even steps.
 CUTOFFS = [float(x) for x in np.linspace(0.01, 0.50, 100)]

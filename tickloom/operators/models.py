@@ -22,6 +22,7 @@ from tickloom.functions.scalars import attach_row
 from tickloom.operators.evaluate import optimize_threshold
 from tickloom.operators.frame import apply_scaler, fit_scaler
 
+# Seed and inner folds (fixed values).
 SEED = 42
 _OUTPUTS = ("rawPrediction", "probability", "prediction")
 CALIBRATION_FOLDS = 3

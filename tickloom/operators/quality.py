@@ -10,6 +10,7 @@ from tickloom.functions.rolling import series
 from tickloom.operators.technical import returns
 from tickloom.schemas import PRICE_COLUMNS
 
+# Limits of the checks (fixed values).
 MIN_ROWS = 1000
 MAX_MISSING = 0.05
 MAX_MOVE = 0.30

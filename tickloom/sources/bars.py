@@ -90,6 +90,14 @@ def interval_bars(
     )
 
 
+def load_intraday(spark: SparkSession, path: str, interval: str = "5 minutes", **columns) -> DataFrame:
+    """Bars of a stored trade table; an empty one is an error."""
+    trades = spark.read.parquet(path)
+    if trades.isEmpty():
+        raise ValueError(f"no trades in {path}")
+    return interval_bars(trades, interval, **columns)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
