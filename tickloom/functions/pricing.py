@@ -137,7 +137,7 @@ def cdf_sql(x: str) -> str:
         text = repr(coefficients[0])
         for c in coefficients[1:]:
             text = f"({text} * {a} + {c!r})"
-        return text.replace("e-", "e-")
+        return text
 
     tail = f"({a} + 0.65)"
     for k in (4, 3, 2, 1):
