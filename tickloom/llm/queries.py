@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.exact_dedup import exact_groups
+from tickloom.llm.sharding import assign_shards
 from tickloom.llm.token_counts import token_counts
 
 QUERIES: dict = {}
@@ -23,3 +25,20 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@_query
+def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_groups(_documents(spark, sf))
+
+
+ORACLE["op3_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n FROM documents),
+g AS (SELECT n, count(*) AS group_size, arg_min(doc_id, (-length(t), doc_id)) AS keep_id FROM d GROUP BY n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM d JOIN g USING (n)
+"""
+
+
+@_query
+def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return assign_shards(_documents(spark, sf), shards=8)
