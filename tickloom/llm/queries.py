@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.exact_dedup import exact_groups
+from tickloom.llm.fingerprints import fingerprints
+from tickloom.llm.license_texts import KNOWN
+from tickloom.llm.licenses import canonical_sql, scan_licenses
 from tickloom.llm.sharding import assign_shards
 from tickloom.llm.token_counts import token_counts
 
@@ -42,3 +45,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 @_query
 def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
     return assign_shards(_documents(spark, sf), shards=8)
+
+
+@_query
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(_documents(spark, sf))
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf))
+
+
+_KNOWN = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN.items())
+ORACLE["op5_license_scan"] = f"""
+WITH k AS (SELECT min(license) AS license, digest FROM (
+    SELECT license, sha256({canonical_sql('t')}) AS digest FROM (VALUES {_KNOWN}) AS v(license, t)) GROUP BY digest),
+d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM documents)
+SELECT doc_id, length(form) AS n_canonical, sha256(form) AS canonical_sha256, license
+FROM d LEFT JOIN k ON k.digest = sha256(form)
+"""
