@@ -9,6 +9,8 @@ from tickloom.llm.exact_dedup import exact_groups
 from tickloom.llm.fingerprints import fingerprints
 from tickloom.llm.license_texts import KNOWN
 from tickloom.llm.licenses import canonical_sql, scan_licenses
+from tickloom.llm.packing import pack_documents
+from tickloom.llm.quality import score, train
 from tickloom.llm.sharding import assign_shards
 from tickloom.llm.token_counts import token_counts
 
@@ -65,3 +67,14 @@ d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM documents)
 SELECT doc_id, length(form) AS n_canonical, sha256(form) AS canonical_sha256, license
 FROM d LEFT JOIN k ON k.digest = sha256(form)
 """
+
+
+@_query
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@_query
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return score(docs, train(docs, spark.read.parquet(f"{sf}/labels.parquet")), threshold=0.3)
