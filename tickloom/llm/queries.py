@@ -12,6 +12,7 @@ from tickloom.llm.licenses import canonical_sql, scan_licenses
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.quality import score, train
 from tickloom.llm.sharding import assign_shards
+from tickloom.llm.substrings import repeated_passages
 from tickloom.llm.token_counts import token_counts
 
 QUERIES: dict = {}
@@ -78,3 +79,8 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     return score(docs, train(docs, spark.read.parquet(f"{sf}/labels.parquet")), threshold=0.3)
+
+
+@_query
+def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf), window=50).drop("removed")
