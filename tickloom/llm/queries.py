@@ -9,6 +9,7 @@ from tickloom.llm.exact_dedup import exact_groups
 from tickloom.llm.fingerprints import fingerprints
 from tickloom.llm.license_texts import KNOWN
 from tickloom.llm.licenses import canonical_sql, scan_licenses
+from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.quality import score, train
 from tickloom.llm.sharding import assign_shards
@@ -84,3 +85,8 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf), window=50).drop("removed")
+
+
+@_query
+def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf), words=4, percent=80)
