@@ -11,6 +11,7 @@ from tickloom.llm.license_texts import KNOWN
 from tickloom.llm.licenses import canonical_sql, scan_licenses
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
+from tickloom.llm.pieces import encode_decode
 from tickloom.llm.quality import score, train
 from tickloom.llm.sharding import assign_shards
 from tickloom.llm.substrings import repeated_passages
@@ -90,3 +91,8 @@ def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf), words=4, percent=80)
+
+
+@_query
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_decode(_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
