@@ -11,10 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark(tmp_path_factory):
     from tickloom.session import local_session
 
-    session = local_session("tests", cpus=os.environ.get("TEST_CPUS", "8"), memory="8g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    return local_session("tests", cpus=os.environ.get("TEST_CPUS", "8"), memory="8g", shared=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")

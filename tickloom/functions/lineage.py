@@ -8,22 +8,33 @@ column pruning, filters and size statistics.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary one only in local mode."""
+    """`spark.checkpoint.dir` of the session.
+
+    Where it is unset, as in tests under a local master, all tasks share this machine: then a temporary folder of this
+    application, which goes when the process ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, _OWN[application], ignore_errors=True)
+    return _OWN[application]
 
 
 def cut(df: DataFrame) -> DataFrame:

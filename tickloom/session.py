@@ -12,9 +12,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "tickloom", cpus: int | str = "*", memory: str = "12g") -> SparkSession:
+def local_session(app: str = "tickloom", cpus: int | str = "*", memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """`shared` is the folder for written intermediate tables (`spark.checkpoint.dir`)."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
