@@ -38,12 +38,18 @@ class BoundedCache(dict):
         return value
 
 
-def once(build: Callable, store: dict, key):
-    """`build()` once for each key in a Python worker, which serves many tasks."""
-    if key not in store:
-        store.clear()
-        store[key] = build()
-    return store[key]
+_TOOL: dict = {}
+
+
+def once(build: Callable, *key):
+    """`build()` once for each key in a Python worker, which serves many tasks.
+
+    Only the last tool stays, with what it remembers: stages of one job share a worker's memory.
+    """
+    if key not in _TOOL:
+        _TOOL.clear()
+        _TOOL[key] = build()
+    return _TOOL[key]
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

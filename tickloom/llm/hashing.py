@@ -8,7 +8,7 @@ import xxhash
 from tickloom.llm.arrow import BoundedCache
 
 #: Words that a worker remembers with their hashes.
-MEMO = 500_000
+MEMO = 400_000
 #: Bases of two independent rolling hashes (odd, so that they have an inverse).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

@@ -42,8 +42,6 @@ MARGIN = 0.2
 #: Classes of a bucket that are compared in one piece.
 TILE = 1_024
 
-_WORKER: dict = {}
-
 
 class Shingles:
     """Sets of shingle hashes, MinHash samples, band keys and odd sketches."""
@@ -97,7 +95,7 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signatures(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = once(lambda: Shingles(size), _WORKER, size)
+        shingles = once(lambda: Shingles(size), "shingles", size)
         for batch in in_slices(batches, 512):
             sets = [shingles.of(t) for t in byte_column(batch.column("text"))]
             samples = np.array([shingles.samples(s) for s in sets], np.uint64).reshape(-1, SAMPLES)
@@ -116,7 +114,7 @@ def _signatures(size: int):
 
 def _sets(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = once(lambda: Shingles(size), _WORKER, size)
+        shingles = once(lambda: Shingles(size), "shingles", size)
         for batch in in_slices(batches, 512):
             sets = [shingles.of(t).tobytes() for t in byte_column(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])

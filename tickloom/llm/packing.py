@@ -34,7 +34,6 @@ from tickloom.llm.arrow import BoundedCache, byte_column, in_slices, once
 #: effort: a search that reaches its limit keeps its best solution, which is always complete.
 BLOCK, MEMO, NODES, FILLINGS = 4_000, 300_000, 5_000, 64
 
-_WORKER: dict = {}
 #: Marks that end a word and never join another token of the split pattern.
 _TAIL = b".,!?;:*#%&$"
 
@@ -74,7 +73,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = once(lambda: WordIds(spec), _WORKER, hash(spec))
+        words = once(lambda: WordIds(spec), "ids", hash(spec))
         for batch in in_slices(batches, 256):
             of, number, length, check, kept = [], [], [], [], []
             for i, t in enumerate(byte_column(batch.column(1))):

@@ -34,8 +34,6 @@ from tickloom.llm.arrow import in_slices, once
 MEMO, LONGEST = 600_000, 200
 MARK = "▁"
 
-_WORKER: dict = {}
-
 
 class Pieces:
     """Encoder and decoder of a model (its bytes) whose normaliser changes nothing but spaces and whose pieces hold marks at their start only."""
@@ -198,7 +196,7 @@ def encode_decode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
         content = file.read()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = once(lambda: Pieces(content), _WORKER, hash(content))
+        pieces = once(lambda: Pieces(content), "pieces", hash(content))
         for batch in in_slices(batches, 128):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = pieces.encode(texts)

@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.arrow import byte_column, in_slices, once
 
-_WORKER: dict = {}
-
 
 @dataclass(frozen=True)
 class Fit:
@@ -135,7 +133,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     text saves no bytes: its score is the curve at 0.  Null ids count as held out.  An empty table gives an empty table.
     """
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = once(lambda: Sizes(model.good, model.bad, model.fit), _WORKER, (hash(model.good), hash(model.bad), model.fit))
+        sizes = once(lambda: Sizes(model.good, model.bad, model.fit), "sizes", hash(model.good), hash(model.bad), model.fit)
         for batch in in_slices(batches, 512):
             x = np.array([sizes.difference(t) for t in byte_column(batch.column("text"))], float)
             values = pa.array(1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -700, 700))), pa.float64())

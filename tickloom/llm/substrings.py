@@ -34,9 +34,8 @@ from tickloom.llm.arrow import byte_column, in_slices, once
 from tickloom.llm.hashing import BASES, Rolling, Words, mixed, sliding_min
 
 #: Words of an anchor; words of a text hashed at once; windows counted at once in a task.
-ANCHOR, STRETCH, BLOCK = 16, 1_000_000, 1_000_000
+ANCHOR, STRETCH, BLOCK = 16, 500_000, 500_000
 
-_WORKER: dict = {}
 _SPACES = re.compile(rb"[ \t\n\r\x0b\f]+")
 _LAST = 2**63 - 1
 
@@ -62,7 +61,7 @@ class _Windows:
 
 def _anchors(size: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = once(lambda: _Windows(size), _WORKER, size)
+        windows = once(lambda: _Windows(size), "windows", size)
         for batch in in_slices(batches, 512):
             ids, keys = [], []
             for i, text in enumerate(byte_column(batch.column("text"))):
@@ -122,7 +121,7 @@ def _counted(size: int):
                 names=["h1", "h2", "doc", "row", "place", "more"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = once(lambda: _Windows(size), _WORKER, size)
+        windows = once(lambda: _Windows(size), "windows", size)
         held, total = ([], [], [], [], []), 0
         for batch in in_slices(batches, 64):
             docs, rows = batch.column("doc").to_pylist(), batch.column("row").to_pylist()

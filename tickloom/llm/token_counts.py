@@ -34,8 +34,6 @@ MEMO = 600_000
 #: An optional space, Latin letters, then marks: always two words of the split pattern, so the pattern need not run.
 _EASY = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@{-~]*)")
 
-_WORKER: dict = {}
-
 
 def byte_marks() -> dict[int, int]:
     """The printable character that a byte-level vocabulary writes for each byte, mapped back to the byte.
@@ -166,7 +164,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: st
         spec = file.read()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once(lambda: Counter(spec), _WORKER, hash(spec))
+        counter = once(lambda: Counter(spec), "counter", hash(spec))
         for batch in in_slices(batches, 512):
             column = batch.column(1)
             tokens = [counter.count(x or "") for x in column.to_pylist()]
