@@ -16,8 +16,10 @@ few blocks of numbers, and nothing but counts comes to the driver.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut
-from tickloom.llm.arrow import BoundedCache, byte_column, in_slices, once
+from tickloom.llm.arrow import byte_column, in_slices, once
 
-#: Pieces of a block; words that a worker remembers; bin-completion nodes and fillings tried for one block.  They set
-#: effort: a search that reaches its limit keeps its best solution, which is always complete.
-BLOCK, MEMO, NODES, FILLINGS = 4_000, 300_000, 5_000, 64
+#: Pieces of a block; words that a worker remembers.
+BLOCK, MEMO = 4_000, 800_000
+#: Steps of a block's search (lengths tried in fillings), and fillings of a node.  They set effort: a search that reaches its
+#: limit keeps its best solution, which is always complete.
+STEPS, FILLINGS = 100_000, 64
 
 #: Marks that end a word and never join another token of the split pattern.
 _TAIL = b".,!?;:*#%&$"
@@ -41,24 +45,50 @@ _TAIL = b".,!?;:*#%&$"
 class WordIds:
     """Token ids of a text as little-endian 32-bit numbers, for a vocabulary that drops white space between words.
 
-    Such a vocabulary never joins text across white space, so each word is encoded once and remembered.
+    Such a vocabulary never joins text across white space, so each word is encoded once and remembered.  It lower-cases
+    text, so ASCII capitals are lowered first, unless special strings, which it finds before, could come from that.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_str(vocabulary).encode
-        self._memo = BoundedCache(self._word, memo)
-
-    def _word(self, word: bytes) -> bytes:
-        base = word.rstrip(_TAIL)
-        if base and len(base) < len(word) and (65 <= base[-1] <= 90 or 97 <= base[-1] <= 122):
-            return self._memo[base] + self._memo[word[len(base):]]
-        return np.array(self._encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self._memo.__getitem__, text.split()))
+        tokenizer = Tokenizer.from_str(vocabulary)
+        self._encode = tokenizer.encode_batch_fast
+        self._special = [t["content"].encode().lower() for t in json.loads(vocabulary)["added_tokens"]]
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._limit = memo // 2
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode the words that are not remembered; a word and the marks at its end are encoded apart."""
+        if len(self._young) > self._limit:
+            self._old, self._young = self._young, {}
+        young, old, split = self._young, self._old, []
+        for word in words.difference(young):
+            known = old.get(word)
+            if known is not None:
+                young[word] = known
+                continue
+            base = word.rstrip(_TAIL)
+            if not base or len(base) == len(word) or not 97 <= base[-1] <= 122:
+                base = word
+            split.append((word, base, word[len(base):]))
+        parts = {x for _, base, tail in split for x in (base, tail) if x and x not in young}
+        parts = sorted(parts)
+        for part, found in zip(parts, self._encode([x.decode() for x in parts], add_special_tokens=False)):
+            young[part] = array("I", found.ids).tobytes()
+        for word, base, tail in split:
+            if tail:
+                young[word] = young[base] + young[tail]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        lists = []
+        for text in texts:
+            lowered = text.lower()
+            lists.append((text if any(s in lowered for s in self._special) else lowered).split())
+        self._learn(set().union(*lists))
+        return [b"".join(map(self._young.__getitem__, words)) for words in lists]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -76,8 +106,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         words = once(lambda: WordIds(spec), "ids", hash(spec))
         for batch in in_slices(batches, 256):
             of, number, length, check, kept = [], [], [], [], []
-            for i, t in enumerate(byte_column(batch.column(1))):
-                ids = words.ids(t) + end
+            for i, ids in enumerate(words.ids(byte_column(batch.column(1)))):
+                ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k:k + 4 * capacity]
                     of.append(i)
@@ -144,32 +174,30 @@ def _undominated(chosen: list[int], slack: int, left: dict[int, int], sizes: lis
     return True
 
 
-def _fillings(room: int, left: dict[int, int], sizes: list[int], limit: int) -> list[list[int]]:
-    """Undominated sets of lengths for the room beside the largest one, the fullest first."""
+def _fillings(room: int, left: dict[int, int], sizes: list[int], limit: int, effort: list[int]) -> list[list[int]]:
+    """Undominated sets of lengths for the room beside the largest one, the fullest first.  `effort` counts down."""
     found: list[tuple[int, list[int]]] = []
-    steps = [0]
 
     def extend(chosen: list[int], room: int, top: int) -> None:
-        if len(found) >= limit or steps[0] > 50 * limit:
+        fits = any(left[x] > chosen.count(x) for x in sizes[:bisect_right(sizes, room)])
+        if not fits:
+            if len(chosen) > 12 or _undominated(chosen, room, left, sizes):
+                found.append((room, chosen))
             return
-        steps[0] += 1
-        at, fits = min(top, bisect_right(sizes, room)), False
-        while at > 0 and len(found) < limit:
-            at -= 1
+        for at in range(min(top, bisect_right(sizes, room)) - 1, -1, -1):
+            if len(found) >= limit or effort[0] <= 0:
+                return
+            effort[0] -= 1
             x = sizes[at]
-            if left[x] - chosen.count(x) > 0:
-                fits = True
+            if left[x] > chosen.count(x):
                 extend([*chosen, x], room - x, at + 1)
-        if not fits and not any(x <= room and left[x] - chosen.count(x) > 0 for x in sizes[:bisect_right(sizes, room)]):
-            if len(chosen) > 12 or _undominated(chosen, room, left, sizes):
-                found.append((room, chosen))
 
     extend([], room, len(sizes))
     found.sort(key=lambda f: f[0])
     return [f for _, f in found]
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES, fillings: int = FILLINGS) -> list[list[int]]:
+def bin_completion(lengths: list[int], capacity: int, steps: int = STEPS, fillings: int = FILLINGS) -> list[list[int]]:
     """Bins of lengths, as few as found within the search limits; never more than best fit needs."""
     best, bound = best_fit(lengths, capacity), fewest(lengths, capacity)
     if len(best) <= bound:
@@ -180,17 +208,17 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES, fillin
     sizes = sorted(left)
     count, total, spent = len(lengths), sum(lengths), 0
     path: list[list[int]] = []
-    waste = 0
+    waste, effort = 0, [steps]
 
     def options() -> Iterator[list[int]]:
         largest = next(x for x in reversed(sizes) if left[x])
         left[largest] -= 1
-        rest = _fillings(capacity - largest, left, sizes, fillings)
+        rest = _fillings(capacity - largest, left, sizes, fillings, effort)
         left[largest] += 1
         return iter([[largest, *f] for f in rest] or [[largest]])
 
     stack = [options()]
-    while stack and spent < nodes and len(best) > bound:
+    while stack and effort[0] > 0 and len(best) > bound:
         filling = next(stack[-1], None)
         if filling is None:
             stack.pop()
@@ -203,6 +231,7 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES, fillin
                     left[x] += 1
             continue
         spent += 1
+        effort[0] -= 1
         if waste + capacity - sum(filling) > (len(best) - 1) * capacity - sum(lengths):
             continue  # a better solution cannot waste so much
         for x in filling:
