@@ -47,6 +47,13 @@ def _passes(approved: Column, symbol: Column, day: Column, sector: Column, score
     return (_same_symbol(approved, symbol, day) < PER_SYMBOL) & (score - penalty >= MIN_SCORE)
 
 
+# Reasons (fixed values).
+LOW_SCORE = "Score %.3f < min %.3f"
+FULL = "Portfolio at capacity (%d)"
+CROWDED = "%d alerts in %dd window (max %d)"
+LOW_ADJUSTED = "Adjusted score %.3f < min %.3f (sector_overlap_%d)"
+
+
 def decide_alerts(alerts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Greedy approval in score order, one decision list per `book`.
 
@@ -115,15 +122,15 @@ def _explain(alerts: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
     adjusted = F.col("score") - SECTOR_PENALTY * F.col("_sector")
     ok = F.coalesce("_mine", F.lit(False))
     reason = (
-        F.when(F.col("score") < MIN_SCORE, F.format_string("Score %.3f < min %.3f", "score", F.lit(MIN_SCORE)))
-        .when(F.size("_before") >= capacity, F.lit(f"Portfolio at capacity ({capacity})"))
+        F.when(F.col("score") < MIN_SCORE, F.format_string(LOW_SCORE, "score", F.lit(MIN_SCORE)))
+        .when(F.size("_before") >= capacity, F.lit(FULL % capacity))
         .when(
             F.col("_symbol") >= PER_SYMBOL,
-            F.format_string(f"%d alerts in {WINDOW_DAYS}d window (max {PER_SYMBOL})", "_symbol"),
+            F.format_string(CROWDED, "_symbol", F.lit(WINDOW_DAYS), F.lit(PER_SYMBOL)),
         )
         .when(ok, "approved")
         .otherwise(F.format_string(
-            "Adjusted score %.3f < min %.3f (sector_overlap_%d)", adjusted, F.lit(MIN_SCORE), F.col("_sector")
+            LOW_ADJUSTED, adjusted, F.lit(MIN_SCORE), F.col("_sector")
         ))
     )
     return rows.select(

@@ -17,6 +17,8 @@ from tickloom.functions.scalars import attach_row
 ALPHA = 0.05
 MIN_DELTA = 0.01
 EXACT_UP_TO = 8
+# Most values of U that the exact distribution is built for (one small list in a task).
+EXACT_VALUES = 100_000
 
 
 def _ways(n1: int, n2: int) -> list[int]:
@@ -41,12 +43,15 @@ def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(n1, n2, u)], dtype=float)
 
 
-def mann_whitney(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def mann_whitney(values: DataFrame, keys: list[str] | None = None, method: str = "auto") -> DataFrame:
     """Two-sided U test of (challenger BOOLEAN, value) rows.
 
-    Exact for a sample of at most 8 without ties, otherwise the normal
-    approximation with tie and continuity correction.
+    `method`: "exact" (the distribution of U; NULL with ties or more than 100,000 values of U), "asymptotic" (the normal
+    approximation with tie and continuity correction) or "auto": exact where the smaller sample has at most 8 values
+    and that is possible, else asymptotic.
     """
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"method {method!r}")
     given = keys or []
     rows = values if given else values.withColumn("_all", F.lit(0))
     keys = given or ["_all"]
@@ -62,13 +67,18 @@ def mann_whitney(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
     larger = F.greatest(F.col("u"), n1 * n2 - F.col("u"))
     spread = F.sqrt(n1 * n2 / 12 * (total + 1 - F.try_divide(F.col("_ties"), total * (total - 1))))
     tail = F.least(2 * (1 - normal_cdf(F.try_divide(larger - n1 * n2 / 2 - 0.5, spread))), F.lit(1.0))
-    exact = (F.least("n1", "n2") <= EXACT_UP_TO) & (F.col("_ties") == 0)
+    exact = (F.col("_ties") == 0) & (n1 * n2 <= EXACT_VALUES)
+    if method == "auto":
+        exact = exact & (F.least("n1", "n2") <= EXACT_UP_TO)
+    elif method == "asymptotic":
+        exact = F.lit(False)
+    other = F.lit(None).cast("double") if method == "exact" else F.col("_normal")
     staged = u.withColumns({"_exact": exact, "_larger": larger, "_normal": F.coalesce(tail, F.lit(1.0))})
     # The helper sees zeros unless the exact value is wanted.
     sized = [F.when(F.col("_exact"), c).otherwise(0.0) for c in (n1, n2, F.col("_larger"))]
     return staged.withColumn("_p", _exact_p(*sized)).select(
         *given, n1.cast("long").alias("n_challenger"), n2.cast("long").alias("n_champion"), "u",
-        F.when(F.col("_exact"), F.col("_p")).otherwise(F.col("_normal")).alias("p_value"),
+        F.when(F.col("_exact"), F.col("_p")).otherwise(other).alias("p_value"),
     )
 
 

@@ -91,8 +91,8 @@ def overall_status(results: DataFrame) -> DataFrame:
     )
 
 
-def mean_shift(train: DataFrame, test: DataFrame, names: list[str], top: int = 10) -> DataFrame:
-    """Largest mean shifts in train deviations (a top-k report)."""
+def mean_shift(train: DataFrame, test: DataFrame, names: list[str], top: int | None = None) -> DataFrame:
+    """Mean shifts in train deviations, the largest first; `top` cuts the list for a report."""
     rows = long_form(train.withColumn("_train", F.lit(True)), names, ["_train"]).unionByName(
         long_form(test.withColumn("_train", F.lit(False)), names, ["_train"])
     )
@@ -103,4 +103,5 @@ def mean_shift(train: DataFrame, test: DataFrame, names: list[str], top: int = 1
         F.stddev_samp(F.when(is_train, F.col("value"))).alias("_std"),
     )
     shift = F.try_divide(F.abs(F.col("test_mean") - F.col("train_mean")), F.col("_std"))
-    return stats.withColumn("shift", shift).drop("_std").orderBy(F.desc_nulls_last("shift"), "feature").limit(top)
+    ordered = stats.withColumn("shift", shift).drop("_std").orderBy(F.desc_nulls_last("shift"), "feature")
+    return ordered if top is None else ordered.limit(top)

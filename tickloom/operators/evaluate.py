@@ -164,8 +164,13 @@ def precision_at_percent(scored: DataFrame, keys: list[str], percents=(1, 5, 10)
     )
 
 
-def select_alerts(scored: DataFrame, keys: list[str], fraction: float) -> DataFrame:
-    """Rows of the best int(n * fraction) scores per key, at least one."""
+def select_alerts(scored: DataFrame, keys: list[str], fraction: float, **only) -> DataFrame:
+    """Rows of the best int(n * fraction) scores per key, at least one.
+
+    `only` restricts columns first, for example symbol=["AF", "RF"], model="logistic", horizon=1, period=1998.
+    """
+    for column, wanted in only.items():
+        scored = scored.filter(F.col(column).isin(*(wanted if isinstance(wanted, (list, tuple, set)) else [wanted])))
     chosen = _top(scored, keys, _limits([fraction], F.floor))
     return chosen.drop("list", "k", "group_size")
 

@@ -10,11 +10,41 @@ from tickloom.schemas import AUDIT, AUDIT_COLUMNS
 THRESHOLD = 0.55
 
 
+def _exact(x: Column) -> Column:
+    """All bits of a number as text: two whole numbers in the usual range, where any engine gives the same, else as Spark prints it."""
+    scaled = x * float(2**26)
+    usual = (x == 0) | F.abs(x).between(2.0**-33, 2.0**36)
+    low = (scaled - F.floor(scaled)) * float(2**60)
+    return F.when(usual, F.concat_ws("/", F.floor(scaled).cast("string"), low.cast("bigint").cast("string"))).otherwise(x.cast("string"))
+
+
+def _digest(columns: dict[str, Column]) -> Column:
+    """SHA-256 over columns in name order, such that different records have different input.
+
+    Every part carries its length and NULL is not empty text, so no text can move between columns; numbers keep all their
+    digits and times their microseconds.
+    """
+    parts = []
+    for name in sorted(columns):
+        kind = AUDIT[name].dataType.typeName()
+        if kind == "timestamp":
+            text = F.date_format(columns[name], "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif kind == "double":
+            text = _exact(columns[name])
+        else:
+            text = columns[name].cast("string")
+        parts.append(F.when(columns[name].isNull(), "N").otherwise(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text)))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def _record(rows: DataFrame, run_id: str, **values: Column) -> DataFrame:
-    """One audit row per input row; `values` name every schema column but the ids."""
+    """One audit row per input row; `values` name every schema column but the ids.
+
+    The id is a digest of all other columns: records of another time, run or score have other ids.
+    """
     kinds = {f.name: f.dataType for f in AUDIT.fields}
-    identity = F.sha2(F.concat_ws("|", *[values[c].cast("string") for c in ("entry_type", "model_version", "ticker", "signal_date", "reason")]), 256)
-    filled = {**values, "run_id": F.lit(run_id), "audit_id": identity}
+    filled = {c: v.cast(kinds[c]) for c, v in {**values, "run_id": F.lit(run_id)}.items()}
+    filled["audit_id"] = _digest(filled)
     return rows.select(*[filled[c].cast(kinds[c]).alias(c) for c in AUDIT_COLUMNS])
 
 
@@ -70,18 +100,8 @@ def decision_log(*records: DataFrame) -> DataFrame:
 
 
 def checksum() -> Column:
-    """SHA-256 of the record, columns in name order, numbers with six places."""
-    parts = []
-    for name in sorted(AUDIT_COLUMNS):
-        kind = AUDIT[name].dataType.typeName()
-        if kind == "double":
-            text = F.format_string("%.6f", F.col(name))
-        elif kind == "timestamp":
-            text = F.date_format(name, "yyyy-MM-dd HH:mm:ss")
-        else:
-            text = F.col(name)
-        parts.append(F.coalesce(text, F.lit("")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 of the whole record, its id included."""
+    return _digest({c: F.col(c) for c in AUDIT_COLUMNS})
 
 
 def with_checksum(records: DataFrame) -> DataFrame:

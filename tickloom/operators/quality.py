@@ -81,12 +81,17 @@ def _with_move(bars: DataFrame) -> DataFrame:
     return returns(bars)
 
 
-def validation_report(bars: DataFrame) -> DataFrame:
+def validation_report(bars: DataFrame, arrival: str | None = None) -> DataFrame:
     """(symbol, check, value, level): errors fail a symbol, warnings do not.
 
+    A table without a required column fails every symbol: `missing_columns` counts them, and what needs them counts them
+    as null.  `arrival` names the number that says in which order rows came; rows out of time order then fail a symbol.
+
     Dates are compared per (symbol, date) first; everything else is one
     aggregate over the bars.
     """
+    absent = [c for c in PRICE_COLUMNS if c not in bars.columns]
+    bars = bars.withColumns({c: F.lit(None).cast("double") for c in absent})
     nulls = sum(F.col(c).isNull().cast("int") for c in PRICE_COLUMNS)
     stats = _with_move(bars).groupBy("symbol").agg(
         F.count("*").cast("double").alias("rows"),
@@ -95,12 +100,16 @@ def validation_report(bars: DataFrame) -> DataFrame:
         F.count_if(F.col("high") < F.col("low")).cast("double").alias("inverted"),
         F.count_if(F.abs("returns") > MAX_MOVE).cast("double").alias("extreme_moves"),
     ).join(duplicate_dates(bars).withColumn("duplicates", F.col("duplicates").cast("double")), "symbol")
-    checks = ["rows", "missing_fraction", "nonpositive_close", "inverted", "extreme_moves", "duplicates"]
+    stats = stats.withColumn("missing_columns", F.lit(float(len(absent))))
+    checks = ["rows", "missing_fraction", "nonpositive_close", "inverted", "extreme_moves", "duplicates", "missing_columns"]
+    if arrival is not None:
+        late = out_of_order(bars, arrival).withColumn("out_of_order", F.col("out_of_order").cast("double"))
+        stats, checks = stats.join(late, "symbol"), [*checks, "out_of_order"]
     value, check = F.col("value"), F.col("check")
     failed = (
         ((check == "rows") & (value < MIN_ROWS))
         | ((check == "missing_fraction") & (value > MAX_MISSING))
-        | (check.isin("nonpositive_close", "duplicates") & (value > 0))
+        | (check.isin("nonpositive_close", "duplicates", "missing_columns", "out_of_order") & (value > 0))
     )
     warned = check.isin("missing_fraction", "inverted", "extreme_moves") & (value > 0)
     return stats.unpivot(["symbol"], checks, "check", "value").withColumn(

@@ -58,7 +58,7 @@ def load_multi_symbol(spark, sf):
 
 @query(
     "normalize_columns",
-    f"WITH {views.BARS_SQL}, dates AS (SELECT DISTINCT bar_date FROM bars), syms AS (SELECT * FROM (VALUES ('AF'), ('NF'), ('RF')) v(symbol)) "
+    f"WITH {views.BARS_SQL}, dates AS (SELECT DISTINCT bar_date FROM bars), syms AS (SELECT * FROM (VALUES ('AF'), ('AO'), ('NF'), ('NO'), ('RF'), ('RO')) v(symbol)) "
     "SELECT s.symbol, d.bar_date, round(b.open, 4) + 0.0 AS open, round(b.high, 4) + 0.0 AS high, round(b.low, 4) + 0.0 AS low, "
     "round(b.close, 4) + 0.0 AS close, round(b.volume, 4) + 0.0 AS volume "
     "FROM dates d CROSS JOIN syms s LEFT JOIN bars b ON b.symbol = s.symbol AND b.bar_date = d.bar_date",
@@ -66,7 +66,7 @@ def load_multi_symbol(spark, sf):
 def normalize_columns(spark, sf):
     wide = views.bars_daily(spark, sf).groupBy(F.col("bar_date").alias("Date")).agg(*[
         F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{c.capitalize()}|{s}")
-        for s in ("AF", "NF", "RF") for c in _BAR_DIGITS
+        for s in ("AF", "AO", "NF", "NO", "RF", "RO") for c in _BAR_DIGITS
     ])
     return rounded(src.normalize_columns(wide), _BAR_DIGITS)
 
@@ -142,15 +142,15 @@ stats AS (
          (count(*) FILTER (WHERE close <= 0))::DOUBLE AS nonpositive_close,
          (count(*) FILTER (WHERE high < low))::DOUBLE AS inverted,
          (count(*) FILTER (WHERE abs(returns) > 0.3))::DOUBLE AS extreme_moves,
-         (count(*) - count(DISTINCT bar_date))::DOUBLE AS duplicates
+         (count(*) - count(DISTINCT bar_date))::DOUBLE AS duplicates, 0.0::DOUBLE AS missing_columns
   FROM moved GROUP BY 1),
 report AS (
   SELECT symbol, "check", round(value, 8) + 0.0 AS value,
          CASE WHEN ("check" = 'rows' AND value < 1000) OR ("check" = 'missing_fraction' AND value > 0.05)
-                OR ("check" IN ('nonpositive_close', 'duplicates') AND value > 0) THEN 'error'
+                OR ("check" IN ('nonpositive_close', 'duplicates', 'missing_columns') AND value > 0) THEN 'error'
               WHEN "check" IN ('missing_fraction', 'inverted', 'extreme_moves') AND value > 0 THEN 'warning'
               ELSE 'ok' END AS level
-  FROM (UNPIVOT stats ON rows, missing_fraction, nonpositive_close, inverted, extreme_moves, duplicates INTO NAME "check" VALUE value) u)
+  FROM (UNPIVOT stats ON rows, missing_fraction, nonpositive_close, inverted, extreme_moves, duplicates, missing_columns INTO NAME "check" VALUE value) u)
 """
 
 

@@ -32,57 +32,56 @@ _FRAME_SQL = (
 )
 
 
-@query("build_features", _FRAME_SQL)
-def build_features(spark, sf):
-    built = frame.build_features(views.bars_daily(spark, sf))
+def _rounded_frame(built, *more):
     built = built.withColumn("LQ_Amihud_20d", F.col("LQ_Amihud_20d") * 1e9)
     digits = {n: d for n, d in _DIGITS.items() if n not in _INTS}
-    return rounded(built, digits, ("symbol", "bar_date", *_INTS))
+    return rounded(built, digits, ("symbol", "bar_date", *_INTS, *more))
 
 
-_SMALL = ("rsi", "momentum", "volume")
-_SMALL_NAMES = frame.feature_names(_SMALL)
-_SMALL_CTE = (
-    f"WITH f_rsi AS ({ORACLE['rsi']}), f_mom AS ({ORACLE['momentum']}), f_roc AS ({ORACLE['rate_of_change']}), f_vol AS ({ORACLE['volume_features']}), "
-    "f AS (SELECT * FROM f_rsi JOIN f_mom USING (symbol, bar_date) JOIN f_roc USING (symbol, bar_date) JOIN f_vol USING (symbol, bar_date))"
-)
+@query("build_features", _FRAME_SQL)
+def build_features(spark, sf):
+    return _rounded_frame(frame.build_features(views.bars_daily(spark, sf)))
+
 
+_ALL_NAMES = frame.feature_names()
+_ALL_CTE = f"WITH f AS (SELECT * REPLACE ({', '.join(f'{n}::DOUBLE AS {n}' for n in _INTS)}) FROM ({_FRAME_SQL}))"
 
-def _small(spark, sf):
-    built = frame.build_features(views.bars_daily(spark, sf), _SMALL)
-    return rounded(built, {n: _DIGITS[n] for n in _SMALL_NAMES})
 
+def _all(spark, sf):
+    """The whole frame, rounded as its SQL twin, all features as numbers of one kind."""
+    return build_features(spark, sf).withColumns({n: F.col(n).cast("double") for n in _INTS})
 
-@query("fill_missing_zero", f"{_SMALL_CTE} SELECT symbol, bar_date, {', '.join(f'coalesce({n}, 0.0) AS {n}' for n in _SMALL_NAMES)} FROM f")
+
+@query("fill_missing_zero", f"{_ALL_CTE} SELECT symbol, bar_date, {', '.join(f'coalesce({n}, 0.0) AS {n}' for n in _ALL_NAMES)} FROM f")
 def fill_missing_zero(spark, sf):
-    return frame.fill_missing(_small(spark, sf), _SMALL_NAMES, "zero")
+    return frame.fill_missing(_all(spark, sf), _ALL_NAMES, "zero")
 
 
-@query("fill_missing_drop", f"{_SMALL_CTE} SELECT symbol, bar_date, {', '.join(_SMALL_NAMES)} FROM f WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _SMALL_NAMES)}")
+@query("fill_missing_drop", f"{_ALL_CTE} SELECT symbol, bar_date, {', '.join(_ALL_NAMES)} FROM f WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _ALL_NAMES)}")
 def fill_missing_drop(spark, sf):
-    return frame.fill_missing(_small(spark, sf), _SMALL_NAMES, "drop")
+    return frame.fill_missing(_all(spark, sf), _ALL_NAMES, "drop")
 
 
-@query("fill_missing_forward", f"{_SMALL_CTE} SELECT symbol, bar_date, {', '.join(f'last_value({n} IGNORE NULLS) OVER {W}) AS {n}' for n in _SMALL_NAMES)} FROM f")
+@query("fill_missing_forward", f"{_ALL_CTE} SELECT symbol, bar_date, {', '.join(f'last_value({n} IGNORE NULLS) OVER {W}) AS {n}' for n in _ALL_NAMES)} FROM f")
 def fill_missing_forward(spark, sf):
-    return frame.fill_missing(_small(spark, sf), _SMALL_NAMES, "forward_fill")
+    return frame.fill_missing(_all(spark, sf), _ALL_NAMES, "forward_fill")
 
 
 def _norm_sql(base: str, span: str) -> str:
     cols = ", ".join(
-        f"round(CASE WHEN {span.format(n)} > 0 THEN ({n} - {base.format(n)}) / ({span.format(n)}) ELSE {n} END, 6) + 0.0 AS {n}" for n in _SMALL_NAMES
+        f"round(CASE WHEN {span.format(n)} > 0 THEN ({n} - {base.format(n)}) / ({span.format(n)}) ELSE {n} END, 6) + 0.0 AS {n}" for n in _ALL_NAMES
     )
-    return f"{_SMALL_CTE} SELECT symbol, bar_date, {cols} FROM f"
+    return f"{_ALL_CTE} SELECT symbol, bar_date, {cols} FROM f"
 
 
 @query("normalize_zscore", _norm_sql("avg({}) OVER ()", "stddev_samp({}) OVER ()"))
 def normalize_zscore(spark, sf):
-    return rounded(frame.normalize(cut(_small(spark, sf)), _SMALL_NAMES, "zscore"), {n: 6 for n in _SMALL_NAMES})
+    return rounded(frame.normalize(cut(_all(spark, sf)), _ALL_NAMES, "zscore"), {n: 6 for n in _ALL_NAMES})
 
 
 @query("normalize_minmax", _norm_sql("min({}) OVER ()", "(max({0}) OVER () - min({0}) OVER ())"))
 def normalize_minmax(spark, sf):
-    return rounded(frame.normalize(cut(_small(spark, sf)), _SMALL_NAMES, "minmax"), {n: 6 for n in _SMALL_NAMES})
+    return rounded(frame.normalize(cut(_all(spark, sf)), _ALL_NAMES, "minmax"), {n: 6 for n in _ALL_NAMES})
 
 
 _FOLDS = views.BARS_SQL + """,
@@ -102,68 +101,66 @@ def _folds(bars):
     return folds.walk_forward_windows(folds.date_bounds(bars))
 
 
-_SCALED = ", ".join(f"avg({n}) FILTER (WHERE split = 'train') AS m_{n}, stddev_samp({n}) FILTER (WHERE split = 'train') AS s_{n}" for n in _SMALL_NAMES)
+_SCALED = ", ".join(f"avg({n}) FILTER (WHERE split = 'train') AS m_{n}, stddev_samp({n}) FILTER (WHERE split = 'train') AS s_{n}" for n in _ALL_NAMES)
 _SCALER_SQL = (
-    f"{_SMALL_CTE}, {_FOLDS}{_ASSIGNED}, fa AS (SELECT * FROM f JOIN asg USING (symbol, bar_date) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _SMALL_NAMES)}), "
+    f"{_ALL_CTE}, {_FOLDS}{_ASSIGNED}, fa AS (SELECT * FROM f JOIN asg USING (symbol, bar_date) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _ALL_NAMES)}), "
     f"st AS (SELECT fold_id, {_SCALED} FROM fa GROUP BY fold_id)"
 )
 
 
 def _fold_features(spark, sf):
-    rows = cut(_small(spark, sf))
+    rows = cut(_all(spark, sf))
     return cut(folds.assign_folds(rows, _folds(rows)))
 
 
-@query("fit_scaler", f"{_SCALER_SQL} SELECT fold_id, " + ", ".join(f"round(m_{n}, 6) + 0.0 AS mean_{n}, round(CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1.0 END, 6) + 0.0 AS std_{n}" for n in _SMALL_NAMES) + " FROM st")
+@query("fit_scaler", f"{_SCALER_SQL} SELECT fold_id, " + ", ".join(f"round(m_{n}, 6) + 0.0 AS mean_{n}, round(CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1.0 END, 6) + 0.0 AS std_{n}" for n in _ALL_NAMES) + " FROM st")
 def fit_scaler(spark, sf):
     train = _fold_features(spark, sf).filter("split = 'train'")
-    scaler = frame.fit_scaler(train, _SMALL_NAMES)
+    scaler = frame.fit_scaler(train, _ALL_NAMES)
     return rounded(scaler, {c: 6 for c in scaler.columns if c != "fold_id"}, ("fold_id",))
 
 
-@query("apply_scaler", f"{_SCALER_SQL} SELECT symbol, bar_date, fold_id, split, " + ", ".join(f"round(({n} - m_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1.0 END, 6) + 0.0 AS {n}" for n in _SMALL_NAMES) + " FROM fa JOIN st USING (fold_id)")
+@query("apply_scaler", f"{_SCALER_SQL} SELECT symbol, bar_date, fold_id, split, " + ", ".join(f"round(({n} - m_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1.0 END, 6) + 0.0 AS {n}" for n in _ALL_NAMES) + " FROM fa JOIN st USING (fold_id)")
 def apply_scaler(spark, sf):
-    rows = frame.fill_missing(_fold_features(spark, sf), _SMALL_NAMES, "drop")
-    scaler = frame.fit_scaler(rows.filter("split = 'train'"), _SMALL_NAMES)
-    scaled = frame.apply_scaler(rows, scaler, _SMALL_NAMES)
-    return rounded(scaled, {n: 6 for n in _SMALL_NAMES}, ("symbol", "bar_date", "fold_id", "split"))
+    rows = frame.fill_missing(_fold_features(spark, sf), _ALL_NAMES, "drop")
+    scaler = frame.fit_scaler(rows.filter("split = 'train'"), _ALL_NAMES)
+    scaled = frame.apply_scaler(rows, scaler, _ALL_NAMES)
+    return rounded(scaled, {n: 6 for n in _ALL_NAMES}, ("symbol", "bar_date", "fold_id", "split"))
 
 
-def _labelled_small(spark, sf, horizon: int = 1):
-    built = frame.build_features(
-        views.bars_daily(spark, sf), _SMALL, labels=(partial(labels.transition_target, horizon=horizon),), lookahead=horizon
-    )
-    return rounded(built, {n: _DIGITS[n] for n in _SMALL_NAMES}, ("symbol", "bar_date", "transition"))
+def _labelled(spark, sf, horizon: int = 1):
+    built = frame.build_features(views.bars_daily(spark, sf), labels=(partial(labels.transition_target, horizon=horizon),), lookahead=horizon)
+    return _rounded_frame(built, "transition").withColumns({n: F.col(n).cast("double") for n in _INTS})
 
 
 _LABEL = f"l AS ({ORACLE['transition_target']}), fl AS (SELECT * FROM f JOIN l USING (symbol, bar_date))"
-_COMPLETE = " AND ".join(f"{n} IS NOT NULL" for n in [*_SMALL_NAMES, "transition"])
+_COMPLETE = " AND ".join(f"{n} IS NOT NULL" for n in [*_ALL_NAMES, "transition"])
 
 
-@query("complete_rows", f"{_SMALL_CTE}, {_LABEL} SELECT * FROM fl WHERE {_COMPLETE}")
+@query("complete_rows", f"{_ALL_CTE}, {_LABEL} SELECT * FROM fl WHERE {_COMPLETE}")
 def complete_rows(spark, sf):
-    return frame.complete_rows(_labelled_small(spark, sf), _SMALL_NAMES, "transition")
+    return frame.complete_rows(_labelled(spark, sf), _ALL_NAMES, "transition")
 
 
 @query(
     "feature_label_correlation",
-    f"{_SMALL_CTE}, {_LABEL}, lf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x, transition::DOUBLE AS y FROM fl WHERE {n} IS NOT NULL AND transition IS NOT NULL" for n in _SMALL_NAMES)
+    f"{_ALL_CTE}, {_LABEL}, lf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x, transition::DOUBLE AS y FROM fl WHERE {n} IS NOT NULL AND transition IS NOT NULL" for n in _ALL_NAMES)
     + ") SELECT feature, round(abs(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0)), 6) + 0.0 AS abs_corr FROM lf GROUP BY 1",
 )
 def feature_label_correlation(spark, sf):
-    corr = frame.feature_label_correlation(_labelled_small(spark, sf), _SMALL_NAMES, "transition")
+    corr = frame.feature_label_correlation(_labelled(spark, sf), _ALL_NAMES, "transition")
     return rounded(corr, {"abs_corr": 6}, ("feature",))
 
 
 @query(
     "feature_profile",
-    f"{_SMALL_CTE}, lf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x FROM f" for n in _SMALL_NAMES)
+    f"{_ALL_CTE}, lf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n}::DOUBLE AS x FROM f" for n in _ALL_NAMES)
     + ") SELECT feature, count(x) AS n, count(*) - count(x) AS n_null, "
     + ", ".join(f"round({e}, 4) + 0.0 AS {c}" for c, e in {"mean": "avg(x)", "std": "stddev_samp(x)", "min": "min(x)", "max": "max(x)", "p25": "quantile_cont(x, 0.25)", "p50": "quantile_cont(x, 0.5)", "p75": "quantile_cont(x, 0.75)"}.items())
     + " FROM lf GROUP BY 1",
 )
 def feature_profile(spark, sf):
-    table = frame.profile(cut(_small(spark, sf)), _SMALL_NAMES)
+    table = frame.profile(cut(_all(spark, sf)), _ALL_NAMES)
     return rounded(table, {c: 4 for c in ("mean", "std", "min", "max", "p25", "p50", "p75")}, ("feature", "n", "n_null"))
 
 
@@ -179,9 +176,9 @@ def label_distribution(spark, sf):
 # --- M pooling and folds ----------------------------------------------------------
 
 
-@query("pooled_dataset", f"{_SMALL_CTE}, l AS ({ORACLE['transition_target_5d']}) SELECT * FROM f JOIN l USING (symbol, bar_date) ORDER BY bar_date, symbol")
+@query("pooled_dataset", f"{_ALL_CTE}, l AS ({ORACLE['transition_target_5d']}) SELECT * FROM f JOIN l USING (symbol, bar_date) ORDER BY bar_date, symbol")
 def pooled_dataset(spark, sf):
-    return _labelled_small(spark, sf, horizon=5).orderBy("bar_date", "symbol")
+    return _labelled(spark, sf, horizon=5).orderBy("bar_date", "symbol")
 
 
 @query("walk_forward_windows", f"WITH {_FOLDS} SELECT * FROM folds")

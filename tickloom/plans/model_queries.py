@@ -21,15 +21,14 @@ from tickloom.streaming import drift as stream_drift
 from tickloom.streaming.bars import stream_bars
 from tickloom.streaming.runs import run_foreach, run_to_table
 
-GROUPS = ("moving_average_ratios", "rsi", "momentum", "volume", "volatility_regime", "transition")
-NAMES = frame.feature_names(GROUPS)
+NAMES = frame.feature_names()
 # Boosting rounds and trees in the registered queries; library defaults are the full counts.
 ROUNDS = 5
 
 
 def dataset(spark, sf):
     """Complete labelled feature rows."""
-    built = frame.build_features(views.bars_daily(spark, sf), GROUPS, labels=(labels.transition_target,), lookahead=1)
+    built = frame.build_features(views.bars_daily(spark, sf), labels=(labels.transition_target,), lookahead=1)
     return cut(frame.complete_rows(built, NAMES, "transition").select(
         "symbol", "bar_date", "close", F.col("transition").alias("label"), *NAMES
     ))
@@ -205,18 +204,20 @@ walk AS (
     SELECT *, len(list_filter(held, lambda a: a.s = symbol AND a.d > bar_date - 5)) AS ns, len(list_filter(held, lambda a: a.x = sector)) AS nx FROM (
       SELECT o.*, list_filter(w.held, lambda a: date_diff('day', a.d, o.bar_date) < 5) AS held FROM walk w JOIN ord o ON o.book = w.book AND o.i = w.i + 1) p) q) r)
 SELECT book, symbol, bar_date, approved, reason, round(score, 6) + 0.0 AS score, round(adjusted_score, 6) + 0.0 AS adjusted_score FROM walk WHERE i > 0
+UNION ALL SELECT CAST(year(bar_date) AS VARCHAR), symbol, bar_date, false, printf('Score %.3f < min 0.550', score), round(score, 6) + 0.0, round(score, 6) + 0.0 FROM scored WHERE score < 0.55
 """
 
 
 @query("stream_alert_decisions", _STREAM_DECIDE)
 def stream_alert_decisions(spark, sf):
-    source = _stream(spark, views.alerts(spark, sf).drop("label"))
-    return rounded(run_to_table(stream_alerts.decide(source), spark), {"score": 6, "adjusted_score": 6}, ("book", "symbol", "bar_date", "approved", "reason"))
+    rows = views.scored(spark, sf).select(
+        "symbol", "bar_date", "score", F.substring("symbol", 1, 1).alias("sector"), F.year("bar_date").cast("string").alias("book"))
+    return rounded(run_to_table(stream_alerts.decide(_stream(spark, rows)), spark), {"score": 6, "adjusted_score": 6}, ("book", "symbol", "bar_date", "approved", "reason"))
 
 
 @query("stream_audit", _INTACT)
 def stream_audit_query(spark, sf):
     path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
-    run_foreach(_stream(spark, decision_log(spark, sf)), spark, stream_audit.audit_writer(path))
+    run_foreach(_stream(spark, decision_log(spark, sf)), spark, stream_audit.audit_writer(path, "decisions"))
     back = read_audit(spark, path)
     return back.groupBy("entry_type").agg(F.count("*").alias("n"), F.count_if(F.col("checksum") == governance.checksum()).alias("intact"))

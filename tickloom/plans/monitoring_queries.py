@@ -9,15 +9,15 @@ from tickloom.functions.pricing import cdf_sql
 from tickloom.operators import alerts as al
 from tickloom.operators import compare, drift, evaluate, governance
 from tickloom.plans import views
-from tickloom.plans.evaluation_queries import _SMALL_CTE, _SMALL_NAMES, _small
+from tickloom.plans.evaluation_queries import _ALL_CTE, _ALL_NAMES, _all
 from tickloom.plans.registry import query, rounded
 from tickloom.sources.results import normalize_alerts, normalize_metrics
 
 # --- R drift -------------------------------------------------------------------
 
 _SPLIT = "1999-01-01"
-_LONG = _SMALL_CTE + ", lf AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, {n}::DOUBLE AS x, bar_date < DATE '{_SPLIT}' AS base FROM f WHERE {n} IS NOT NULL" for n in _SMALL_NAMES
+_LONG = _ALL_CTE + ", lf AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, {n}::DOUBLE AS x, bar_date < DATE '{_SPLIT}' AS base FROM f WHERE {n} IS NOT NULL" for n in _ALL_NAMES
 ) + "), "
 _EDGES = "ed AS (SELECT feature, " + ", ".join(f"quantile_cont(x, {i / 10}) AS e{i}" for i in range(11)) + " FROM lf GROUP BY 1), "
 _PSI = _LONG + _EDGES + "bn AS (SELECT l.feature, base, " + " + ".join(f"(x >= e{i})::INT" for i in range(1, 10)) + """ AS b FROM lf l JOIN ed USING (feature)),
@@ -29,13 +29,13 @@ psi AS (SELECT feature, sum((pcur - pb) * ln(pcur / pb)) AS psi FROM pc GROUP BY
 
 
 def _halves(spark, sf):
-    rows = cut(_small(spark, sf))
+    rows = cut(_all(spark, sf))
     return rows.filter(F.col("bar_date") < F.lit(_SPLIT).cast("date")), rows.filter(F.col("bar_date") >= F.lit(_SPLIT).cast("date"))
 
 
 @query("psi", f"{_PSI} SELECT feature, round(psi, 6) + 0.0 AS psi FROM psi")
 def psi(spark, sf):
-    return rounded(drift.psi(*_halves(spark, sf), _SMALL_NAMES), {"psi": 6}, ("feature",))
+    return rounded(drift.psi(*_halves(spark, sf), _ALL_NAMES), {"psi": 6}, ("feature",))
 
 
 _SEV = "CASE WHEN value > {h} THEN 'high' WHEN value > {m} THEN 'moderate' ELSE 'low' END"
@@ -44,7 +44,7 @@ _FD = "fd AS (SELECT feature AS name, 'feature' AS drift_type, psi AS value, 0.2
 
 @query("feature_drift", f"{_PSI}, {_FD} SELECT name, drift_type, round(value, 6) + 0.0 AS value, threshold, severity, severity <> 'low' AS is_drift FROM fd")
 def feature_drift(spark, sf):
-    table = drift.feature_drift(*_halves(spark, sf), _SMALL_NAMES)
+    table = drift.feature_drift(*_halves(spark, sf), _ALL_NAMES)
     return rounded(table, {"value": 6}, ("name", "drift_type", "threshold", "severity", "is_drift"))
 
 
@@ -80,7 +80,7 @@ def monitoring_results(spark, sf):
     """Feature, score and performance drift as (name, drift_type, severity)."""
     performance = _performance(spark, sf).select(F.col("model").alias("name"), F.lit("performance").alias("drift_type"), "severity")
     columns = ["name", "drift_type", "severity"]
-    features = drift.feature_drift(*_halves(spark, sf), _SMALL_NAMES).select(*columns)
+    features = drift.feature_drift(*_halves(spark, sf), _ALL_NAMES).select(*columns)
     return features.unionByName(_prediction(spark, sf).select(*columns)).unionByName(performance)
 
 
@@ -97,10 +97,10 @@ def overall_status(spark, sf):
 @query(
     "mean_shift",
     f"{_LONG} ms AS (SELECT feature, avg(x) FILTER (WHERE base) AS a, avg(x) FILTER (WHERE NOT base) AS b, stddev_samp(x) FILTER (WHERE base) AS s FROM lf GROUP BY 1) "
-    "SELECT feature, round(a, 4) + 0.0 AS train_mean, round(b, 4) + 0.0 AS test_mean, round(abs(b - a) / nullif(s, 0), 6) + 0.0 AS shift FROM ms ORDER BY abs(b - a) / nullif(s, 0) DESC NULLS LAST, feature LIMIT 10",
+    "SELECT feature, round(a, 4) + 0.0 AS train_mean, round(b, 4) + 0.0 AS test_mean, round(abs(b - a) / nullif(s, 0), 6) + 0.0 AS shift FROM ms",
 )
 def mean_shift(spark, sf):
-    return rounded(drift.mean_shift(*_halves(spark, sf), _SMALL_NAMES), {"train_mean": 4, "test_mean": 4, "shift": 6}, ("feature",))
+    return rounded(drift.mean_shift(*_halves(spark, sf), _ALL_NAMES), {"train_mean": 4, "test_mean": 4, "shift": 6}, ("feature",))
 
 
 # --- A6, A5 result tables ---------------------------------------------------------
@@ -183,7 +183,7 @@ def ab_compare(spark, sf):
 # --- T alert decisions -----------------------------------------------------------------
 
 _DECIDE = f"""WITH RECURSIVE {views.SCORED_SQL},
-cand AS (SELECT symbol, bar_date, score, substr(symbol, 1, 1) AS sector, CAST(year(bar_date) AS VARCHAR) AS book FROM scored WHERE score >= 0.5),
+cand AS (SELECT symbol, bar_date, score, substr(symbol, 1, 1) AS sector, CAST(year(bar_date) AS VARCHAR) AS book FROM scored),
 ord AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, symbol, bar_date) AS i FROM cand),
 walk AS (
   SELECT book, 0::BIGINT AS i, []::STRUCT(s VARCHAR, d DATE, x VARCHAR)[] AS held, NULL::VARCHAR AS symbol, NULL::DATE AS bar_date, NULL::DOUBLE AS score, NULL::VARCHAR AS sector,
@@ -204,7 +204,7 @@ decided AS (SELECT * FROM walk WHERE i > 0)
 
 
 def _decided(spark, sf):
-    rows = views.scored(spark, sf).filter("score >= 0.5").select(
+    rows = views.scored(spark, sf).select(
         "symbol", "bar_date", "score", F.substring("symbol", 1, 1).alias("sector"), F.year("bar_date").cast("string").alias("book")
     )
     return al.decide_alerts(rows)
@@ -278,6 +278,23 @@ def decision_log(spark, sf):
     )
 
 
+_LOG_NUM = {c: 6 for c in ("score", "probability", "threshold", "position_size")}
+
+
+def _digest_sql(columns: str) -> str:
+    """Length and text of every column, NULL marked."""
+    parts = []
+    for name in columns.split():
+        text = f"CAST({name} AS VARCHAR)"
+        if name == "timestamp":
+            text = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f')"
+        elif name in _LOG_NUM:
+            scaled = f"{name}::DOUBLE * {2**26}::DOUBLE"
+            text = f"concat(CAST(floor({scaled}) AS BIGINT), '/', CAST(({scaled} - floor({scaled})) * {2**60}::DOUBLE AS BIGINT))"
+        parts.append(f"CASE WHEN {name} IS NULL THEN 'N' ELSE concat('V', length({text}), ':', {text}) END")
+    return f"concat({', '.join(parts)})"
+
+
 _LOG = views.FOLD_METRICS_SQL + """,
 promo AS (SELECT concat(model, '-', CAST(period AS VARCHAR)) AS version, make_timestamp(period, 12, 31, 0, 0, 0.0) AS promoted_at FROM fm WHERE f1 > 0),
 log0 AS (
@@ -285,17 +302,15 @@ log0 AS (
          score, 'prediction_served' AS decision, 'model inference' AS reason, score AS probability, 0.55::DOUBLE AS threshold, 0.0::DOUBLE AS position_size, 'system' AS operator_id FROM scored
   UNION ALL SELECT CAST(bar_date AS TIMESTAMP), CASE WHEN score >= 0.9 THEN 'alert_approved' ELSE 'alert_rejected' END, concat('v', CAST(year(bar_date) AS VARCHAR)), symbol, CAST(bar_date AS VARCHAR),
          score, CASE WHEN score >= 0.9 THEN 'approved' ELSE 'rejected' END, CASE WHEN score >= 0.9 THEN 'approved' ELSE 'Portfolio at capacity (10)' END, score, 0.55,
-         CASE WHEN score >= 0.9 THEN greatest(0.0, least(1.0, (score - 0.55) / 0.45)) * 0.1 ELSE 0.0 END, 'system' FROM scored WHERE score >= 0.55
+         CASE WHEN score >= 0.9 THEN greatest(0.0, least(1.0, (score - 0.55::DOUBLE) / (1::DOUBLE - 0.55::DOUBLE))) * 0.1 ELSE 0.0 END, 'system' FROM scored WHERE score >= 0.55
   UNION ALL SELECT promoted_at, 'model_promoted', version, 'all', strftime(promoted_at, '%Y-%m-%d %H:%M:%S'), 0.0, 'promoted', 'model promotion', 0.0, 0.0, 0.0, 'reviewer' FROM promo
   UNION ALL SELECT CAST(bar_date AS TIMESTAMP), 'risk_check', 'N/A', symbol, strftime(CAST(bar_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), CASE WHEN score < 0.99 THEN 1.0 ELSE 0.0 END,
          CASE WHEN score < 0.99 THEN 'passed' ELSE 'failed' END, concat('portfolio_capacity: ', CASE WHEN score < 0.99 THEN 'within limit' ELSE 'limit reached' END),
          CASE WHEN score < 0.99 THEN 1.0 ELSE 0.0 END, 1.0, 0.0, 'system' FROM scored WHERE score >= 0.95),
-log AS (SELECT *, 'run' AS run_id, sha256(concat_ws('|', entry_type, model_version, ticker, signal_date, reason)) AS audit_id FROM log0),
-sums AS (SELECT *, sha256(concat_ws('|', audit_id, decision, entry_type, model_version, operator_id, printf('%.6f', position_size), printf('%.6f', probability), reason, run_id, printf('%.6f', score), signal_date,
-         printf('%.6f', threshold), ticker, strftime("timestamp", '%Y-%m-%d %H:%M:%S'))) AS checksum FROM log)
+log AS (SELECT *, sha256(""" + _digest_sql("decision entry_type model_version operator_id position_size probability reason run_id score signal_date threshold ticker timestamp") + """) AS audit_id FROM (SELECT *, 'run' AS run_id FROM log0)),
+sums AS (SELECT *, sha256(""" + _digest_sql("audit_id decision entry_type model_version operator_id position_size probability reason run_id score signal_date threshold ticker timestamp") + """) AS checksum FROM log)
 """
 _LOG_TEXT = ("entry_type", "model_version", "ticker", "signal_date", "decision", "reason", "operator_id", "run_id", "audit_id")
-_LOG_NUM = {c: 6 for c in ("score", "probability", "threshold", "position_size")}
 
 
 @query("decision_records", f"WITH {_LOG} SELECT {', '.join(_LOG_TEXT)}, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _LOG_NUM) + ", strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at FROM log")
@@ -309,13 +324,21 @@ def audit_checksum(spark, sf):
     return governance.with_checksum(decision_log(spark, sf)).select("audit_id", "checksum")
 
 
-@query("audit_tampered", f"WITH {_LOG} SELECT audit_id, ticker, signal_date FROM sums WHERE ticker = 'AF' AND entry_type = 'alert_approved' AND score < 0.95")
+_FORGED = "entry_type = 'alert_approved' AND ticker = 'AF' AND score < 0.95", "entry_type = 'risk_check' AND ticker = 'RF'", "entry_type = 'model_promoted'"
+
+
+@query("audit_tampered", f"WITH {_LOG} SELECT audit_id, entry_type, signal_date FROM sums WHERE " + " OR ".join(f"({w})" for w in _FORGED))
 def audit_tampered(spark, sf):
-    """Scores changed after the checksum was taken are found again."""
+    """Found again: a score changed by 1e-9, a time by a microsecond, text moved to the column before."""
     sealed = governance.with_checksum(decision_log(spark, sf))
-    changed = (F.col("ticker") == "AF") & (F.col("entry_type") == "alert_approved") & (F.col("score") < 0.95)
-    forged = sealed.withColumn("score", F.when(changed, F.col("score") + 0.05).otherwise(F.col("score")))
-    return governance.tampered(forged).select("audit_id", "ticker", "signal_date")
+    score, time, text = map(F.expr, _FORGED)
+    forged = sealed.withColumns({
+        "score": F.when(score, F.col("score") + 1e-9).otherwise(F.col("score")),
+        "timestamp": F.when(time, F.timestamp_micros(F.unix_micros("timestamp") + 1)).otherwise(F.col("timestamp")),
+        "model_version": F.when(text, F.concat("model_version", F.substring("operator_id", 1, 1))).otherwise(F.col("model_version")),
+        "operator_id": F.when(text, F.substring("operator_id", 2, 100)).otherwise(F.col("operator_id")),
+    })
+    return governance.tampered(forged).select("audit_id", "entry_type", "signal_date")
 
 
 @query("audit_range", f"WITH {_LOG} SELECT audit_id, entry_type, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at FROM log WHERE \"timestamp\" BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' ORDER BY \"timestamp\"")

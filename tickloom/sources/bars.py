@@ -67,14 +67,17 @@ def trades_to_bars(
     trades: DataFrame, symbol: Column, bucket: Column, price: Column, sequence: Column,
     volume: Column, time: str = "bar_date",
 ) -> DataFrame:
-    """OHLCV bars per (symbol, bucket); all parts combine map-side."""
+    """OHLCV bars per (symbol, bucket); all parts combine map-side.
+
+    Of trades with one sequence the lowest price opens and the highest closes.
+    """
     ticks = trades.select(
         symbol.alias("symbol"), bucket.alias(time), price.alias("_p"), sequence.alias("_seq"),
         volume.alias("_v"),
     )
     return ticks.groupBy("symbol", time).agg(
-        F.min_by("_p", "_seq").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
-        F.max_by("_p", "_seq").alias("close"), F.sum("_v").alias("volume"),
+        F.min_by(F.col("_p"), F.struct("_seq", "_p")).alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
+        F.max_by(F.col("_p"), F.struct("_seq", "_p")).alias("close"), F.sum("_v").alias("volume"),
     )
 
 

@@ -13,8 +13,10 @@ RENAME = {
     "expiration": "expiration_date",
     "optionType": "option_type",
     "contractType": "option_type",
+    "type": "option_type",
     "lastPrice": "last",
 }
+# Numeric fields of a chain (fixed values).
 NUMERIC = ("strike", "bid", "ask", "last", "implied_volatility", "delta")
 
 

@@ -7,45 +7,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tickloom.operators.alerts import CAPACITY, MIN_SCORE, PER_SYMBOL, SECTOR_PENALTY, WINDOW_DAYS
+from tickloom.operators.alerts import (
+    CAPACITY, CROWDED, FULL, LOW_ADJUSTED, LOW_SCORE, MIN_SCORE, PER_SYMBOL, SECTOR_PENALTY, WINDOW_DAYS,
+)
 
 OUTPUT = "book string, symbol string, bar_date date, score double, approved boolean, reason string, adjusted_score double"
 STATE = "symbols array<string>, sectors array<string>, days array<int>"
-_EPOCH = pd.Timestamp("1970-01-01")
+_EPOCH, _DAY_MS = pd.Timestamp("1970-01-01"), 86_400_000
 
 
-def decide(alerts: DataFrame, capacity: int = CAPACITY, hold_days: int = 5) -> DataFrame:
-    """(book, symbol, sector, bar_date, score) stream to decisions per book.
+def decide(alerts: DataFrame, capacity: int = CAPACITY, hold_days: int = 5, lateness: str = "30 days") -> DataFrame:
+    """(book, symbol, sector, bar_date, score) stream to decisions per book, one row per alert.
 
-    Alerts of one date are taken in score order.  Open positions leave the
-    state hold_days after their date, so a book keeps at most `capacity`
-    positions.  Low scores are cut before the shuffle.
+    Alerts of one date are taken in score order.  A position leaves the state
+    when the watermark (`lateness` behind the newest date) is hold_days past
+    its date, so a book keeps the approvals of that span only, and a book
+    without any loses its state.  A late alert is decided against positions
+    that were open at its own date.  Low scores get their row before the
+    shuffle.
     """
 
     def update(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["book", "symbol", "bar_date", "score", "approved", "reason", "adjusted_score"])
+            return
         rows = pd.concat(list(frames)).sort_values(["bar_date", "score", "symbol"], ascending=[True, False, True])
-        held = list(zip(*state.get)) if state.exists else []
+        positions = list(zip(*state.get)) if state.exists else []
         out = []
         for symbol, sector, day, score in zip(rows["symbol"], rows["sector"], rows["bar_date"], rows["score"]):
             number = (pd.Timestamp(day) - _EPOCH).days
-            held = [h for h in held if number - h[2] < hold_days]
+            held = [h for h in positions if 0 <= number - h[2] < hold_days]
             same = sum(h[0] == symbol and h[2] > number - WINDOW_DAYS for h in held)
             overlap = sum(h[1] == sector for h in held)
             adjusted = score - SECTOR_PENALTY * overlap
             if len(held) >= capacity:
-                reason = f"Portfolio at capacity ({capacity})"
+                reason = FULL % capacity
             elif same >= PER_SYMBOL:
-                reason = f"{same} alerts in {WINDOW_DAYS}d window (max {PER_SYMBOL})"
+                reason = CROWDED % (same, WINDOW_DAYS, PER_SYMBOL)
             elif adjusted < MIN_SCORE:
-                reason = f"Adjusted score {adjusted:.3f} < min {MIN_SCORE:.3f} (sector_overlap_{overlap})"
+                reason = LOW_ADJUSTED % (adjusted, MIN_SCORE, overlap)
             else:
                 reason = "approved"
-                held.append((symbol, sector, number))
+                positions.append((symbol, sector, number))
             ok = reason == "approved"
             out.append((key[0], symbol, pd.Timestamp(day).date(), score, ok, reason, adjusted if ok else score))
-        state.update(tuple(list(c) for c in zip(*held)) if held else ([], [], []))
+        # A position stays while an alert that is not yet too late could meet it.
+        until = [h for h in positions if (h[2] + hold_days) * _DAY_MS > state.getCurrentWatermarkMs()]
+        if until:
+            state.update(tuple(list(c) for c in zip(*until)))
+            state.setTimeoutTimestamp(max(h[2] + hold_days for h in until) * _DAY_MS)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["book", "symbol", "bar_date", "score", "approved", "reason", "adjusted_score"])
 
-    return alerts.filter(F.col("score") >= MIN_SCORE).groupBy("book").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    low = alerts.filter(F.col("score") < MIN_SCORE).select(
+        "book", "symbol", "bar_date", "score", F.lit(False).alias("approved"),
+        F.format_string(LOW_SCORE, "score", F.lit(MIN_SCORE)).alias("reason"), F.col("score").alias("adjusted_score"),
     )
+    high = alerts.filter(F.col("score") >= MIN_SCORE).withColumn("_at", F.col("bar_date").cast("timestamp")).withWatermark("_at", lateness)
+    decided = high.groupBy("book").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.unionByName(low)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tickloom.operators.governance import with_checksum
+from tickloom.sources.audit_log import TIME_FORMAT
 
 
-def audit_writer(path: str):
+def audit_writer(path: str, stream: str):
     """A foreachBatch handler that appends sealed records.
 
-    Each micro-batch has its own folder, overwritten when the batch is
-    retried, so a restart after a failure does not append it twice.
+    Each micro-batch of each stream has its own folder, overwritten when the
+    batch is retried, so a restart after a failure does not append it twice.
+    `stream` names the stream and goes with its checkpoint: one that starts
+    again at batch 0 needs another name, or it would overwrite older records.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        with_checksum(batch).write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        with_checksum(batch).write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(f"{path}/stream={stream}/batch={batch_id}")
 
     return handle
