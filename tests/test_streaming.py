@@ -56,7 +56,7 @@ def test_alert_positions_expire(spark, tmp_path):
     batches = [[row("A", 1, 0.9), row("B", 1, 0.6)], [row("C", 2, 0.65), row("D", 2, 0.75)], [row("B", 8, 0.6), row("E", 8, 0.4)]]
     source = steps(spark, tmp_path, "book string, symbol string, sector string, bar_date date, score double", batches, "alerts")
     got = {(r.symbol, r.bar_date.day): r.approved for r in collect(alerts.decide(source), spark, "decisions")}
-    assert got == {("A", 1): True, ("B", 1): False, ("D", 2): True, ("C", 2): False, ("B", 8): True}
+    assert got == {("A", 1): True, ("B", 1): False, ("D", 2): True, ("C", 2): False, ("B", 8): True, ("E", 8): False}
 
 
 def test_audit_append_is_sealed_and_repeatable(spark, tmp_path):

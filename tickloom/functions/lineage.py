@@ -14,6 +14,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table that `small` has broadcast.
+SMALL_ROWS = 100_000
 
 
 _OWN: dict[str, str] = {}
@@ -41,3 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """An aggregate that is about to be joined to many rows: written first, and broadcast only if it has few rows.
+
+    Joined lazily, its size is a guess when the plan is made, so the large side would be shuffled on a key with few values.
+    A table of more rows is joined as any other.
+    """
+    table = cut(df)
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

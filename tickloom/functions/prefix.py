@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
+
 CELLS_PER_OCTAVE = 1024
 
 
@@ -128,7 +130,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     )
     needed = targets.select(*keys, "_cell").distinct()
     inside = (
-        rows.join(needed, [*keys, "_cell"], "left_semi")
+        rows.join(small(needed), [*keys, "_cell"], "left_semi")
         .groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n"))
         .withColumn(
             "_upto",
@@ -197,7 +199,7 @@ def top_rows(
         .filter("k > _upto - _n AND k <= _upto")
         .select(*keys, size, "list", "k", F.col(score).alias("_end"), (F.col("k") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    chosen = df.join(ends, keys).filter(F.col(score) >= F.col("_end"))
+    chosen = df.join(small(ends), keys).filter(F.col(score) >= F.col("_end"))
     clear = chosen.filter(F.col(score) > F.col("_end"))
     ties = number_rows(
         chosen.filter(F.col(score) == F.col("_end")), [*keys, "list"], tie_bucket, tie_order, "_tie"

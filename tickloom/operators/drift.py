@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
 from tickloom.functions.prefix import exact_percentiles
 from tickloom.functions.scalars import attach_row
 from tickloom.operators.frame import long_form
@@ -23,7 +24,7 @@ def psi(baseline: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
     both = long_form(baseline.withColumn("_base", part), names, ["_base"]).unionByName(
         long_form(current.withColumn("_base", ~part), names, ["_base"])
     ).filter("value IS NOT NULL")
-    edges = exact_percentiles(both, ["feature"], "value", [i / BINS for i in range(BINS + 1)], "_edges")
+    edges = small(exact_percentiles(both, ["feature"], "value", [i / BINS for i in range(BINS + 1)], "_edges"))
     # One row of edges per feature; a value belongs to the last bin that starts at or below it.
     bin_ = sum((F.col("value") >= F.col("_edges")[i]).cast("int") for i in range(1, BINS))
     binned = both.join(edges, "feature").withColumn("_bin", bin_)

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
 from tickloom.functions.prefix import average_ranks, exact_percentiles, top_rows
 from tickloom.functions.scalars import attach_row
 
@@ -177,8 +178,8 @@ def select_alerts(scored: DataFrame, keys: list[str], fraction: float, **only) -
 
 def rule_baselines(test: DataFrame, keys: list[str]) -> DataFrame:
     """F1 and average precision of three single-feature rules."""
-    cut = exact_percentiles(test, keys, "Return_Shock_5d", [0.9], "_cut")
-    joined = test.join(cut, keys, "left")
+    limit = exact_percentiles(test, keys, "Return_Shock_5d", [0.9], "_cut")
+    joined = test.join(small(limit), keys, "left")
     rules = {
         "volatility_slope_positive": F.col("Volatility_Slope_5d") > 0,
         "return_shock_high": F.col("Return_Shock_5d") >= F.col("_cut")[0],

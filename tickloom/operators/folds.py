@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
+
 
 def walk_forward_windows(bounds: DataFrame, train_years: int = 3, test_years: int = 1, step_years: int = 1) -> DataFrame:
     """Expanding train windows from a one-row table (first_date, last_date).
@@ -52,7 +54,7 @@ def keep_large_folds(assigned: DataFrame, min_train: int = 100, min_test: int =
         F.count_if(F.col("split") == "test").alias("n_test"),
     )
     large = sizes.filter((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
-    return assigned.join(large.select(*keys), list(keys), "left_semi")
+    return assigned.join(small(large.select(*keys)), list(keys), "left_semi")
 
 
 def holdout_split(rows: DataFrame, train_end, test_end) -> DataFrame:

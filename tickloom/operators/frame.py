@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
 from tickloom.functions.blocks import BLOCK_ROWS, gather, spread
 from tickloom.functions.prefix import exact_percentiles
 from tickloom.functions.scalars import attach_row
@@ -137,8 +138,8 @@ def fit_scaler(train: DataFrame, names: list[str], keys: tuple[str, ...] = ("fol
 
 
 def apply_scaler(rows: DataFrame, scaler: DataFrame, names: list[str], keys: tuple[str, ...] = ("fold_id",)) -> DataFrame:
-    """Scale with a fitted table; one row per fold, broadcast by its measured size."""
-    joined = rows.join(scaler, list(keys))
+    """Scale with a fitted table of one row per fold, whose size is measured before the join."""
+    joined = rows.join(small(scaler), list(keys))
     return joined.select(*[
         ((F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")).alias(c) if c in names else F.col(c)
         for c in rows.columns

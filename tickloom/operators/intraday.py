@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
 from tickloom.functions.blocks import rolling
 from tickloom.functions.prefix import running
 from tickloom.functions.rolling import full, lag, last_n, ratio
@@ -76,7 +77,7 @@ def volume_weighted_return(bars: DataFrame) -> DataFrame:
     """Bar return scaled by volume over the symbol's mean volume."""
     mean = bars.groupBy("symbol").agg(F.avg("volume").alias("_mean"))
     move = ratio(F.col("close") - F.col("open"), F.col("open"))
-    return bars.join(mean, "symbol").withColumn(
+    return bars.join(small(mean), "symbol").withColumn(
         "Volume_Weighted_Return", ratio(move * F.col("volume"), F.col("_mean"))
     ).drop("_mean")
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import cut
+from tickloom.functions.lineage import cut, small
 from tickloom.functions.prefix import number_rows
 from tickloom.functions.scalars import attach_row
 from tickloom.operators.evaluate import optimize_threshold
@@ -39,7 +39,7 @@ def class_weights(rows: DataFrame, label: str, kind: str = "balanced", keys: lis
     counts = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p")
     )
-    joined = rows.join(counts, keys) if keys else attach_row(rows, counts)
+    joined = rows.join(small(counts), keys) if keys else attach_row(rows, counts)
     n, p = F.col("_n"), F.col("_p")
     if kind == "balanced":
         weight = F.when(positive, F.try_divide(n, 2 * p)).otherwise(F.try_divide(n, 2 * (n - p)))
@@ -117,7 +117,7 @@ def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
     numbered = number_rows(train, ["label"], F.col("bar_date"), [F.col("bar_date"), F.col("symbol")], "_at")
     sizes = train.groupBy("label").agg(F.count("*").alias("_n"))
     part = F.floor((F.col("_at") - 1) * parts / F.col("_n")).cast("int")
-    return numbered.join(sizes, "label").withColumn("_part", part).drop("_at", "_n")
+    return numbered.join(small(sizes), "label").withColumn("_part", part).drop("_at", "_n")
 
 
 def fit_calibrated(train: DataFrame, kind: str, rounds: int = 300, parts: int = CALIBRATION_FOLDS) -> CalibratedModel:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import small
 from tickloom.functions.blocks import rolling
 from tickloom.functions.prefix import exact_percentiles
 from tickloom.functions.scalars import attach_row
@@ -160,7 +161,7 @@ def exit_lookup(alerts: DataFrame, bars: DataFrame, hold_rows: int = 5) -> DataF
     last = bars.groupBy("symbol").agg(
         F.max("bar_date").alias("_last_date"), F.max_by("close", "bar_date").alias("_last_close")
     )
-    dated = _later_row(bars.select("symbol", "bar_date", "close"), hold_rows).join(last, "symbol").select(
+    dated = _later_row(bars.select("symbol", "bar_date", "close"), hold_rows).join(small(last), "symbol").select(
         "symbol", "bar_date", F.col("close").alias("spot_entry"),
         F.coalesce("exit_date", "_last_date").alias("exit_date"),
         F.coalesce("spot_exit", "_last_close").alias("spot_exit"),

@@ -30,7 +30,6 @@ def decide(alerts: DataFrame, capacity: int = CAPACITY, hold_days: int = 5, late
     def update(key, frames, state):
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([], columns=["book", "symbol", "bar_date", "score", "approved", "reason", "adjusted_score"])
             return
         rows = pd.concat(list(frames)).sort_values(["bar_date", "score", "symbol"], ascending=[True, False, True])
         positions = list(zip(*state.get)) if state.exists else []
