@@ -63,11 +63,11 @@ def test_audit_append_is_sealed_and_repeatable(spark, tmp_path):
     rows = spark.createDataFrame([("X", dt.date(2024, 1, 2), 0.7)], "symbol string, bar_date date, score double")
     records = governance.prediction_records(rows, F.lit("v1"), F.col("bar_date").cast("timestamp"))
     path = str(tmp_path / "log")
-    write = audit.audit_writer(path)
+    write = audit.audit_writer(path, "test")
     write(records, 0)
     write(records, 0)
     write(records, 1)
-    with open(f"{path}/batch=1/extra.json", "w") as f:
+    with open(f"{path}/stream=test/batch=1/extra.json", "w") as f:
         f.write('{"timestamp": broken\n')
     back = read_audit(spark, path)
     assert back.count() == 2 and governance.tampered(back).count() == 0

@@ -57,6 +57,7 @@ def _model_query(name: str, kind: str, calibrate: bool = False):
 
 _model_query("model_logistic", "logistic")
 _model_query("model_random_forest", "random_forest")
+_model_query("model_calibrated_forest", "random_forest", calibrate=True)
 _model_query("model_boosted_fixed_weight", "boosted_a")
 _model_query("model_boosted_auto_weight", "boosted_b")
 _model_query("model_calibrated_logistic", "logistic", calibrate=True)
@@ -218,6 +219,6 @@ def stream_alert_decisions(spark, sf):
 @query("stream_audit", _INTACT)
 def stream_audit_query(spark, sf):
     path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
-    run_foreach(_stream(spark, decision_log(spark, sf)), spark, stream_audit.audit_writer(path, "decisions"))
+    run_foreach(_stream(spark, decision_log(spark, sf)), spark, stream_audit.audit_writer(path))
     back = read_audit(spark, path)
     return back.groupBy("entry_type").agg(F.count("*").alias("n"), F.count_if(F.col("checksum") == governance.checksum()).alias("intact"))
