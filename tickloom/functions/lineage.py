@@ -21,6 +21,8 @@ SMALL_ROWS = 100_000
 
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables that `cut` has written in this process, in order.
+WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,3 +58,11 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """
     table = cut(df)
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables whose readers are done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
