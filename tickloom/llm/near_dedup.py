@@ -11,18 +11,21 @@ Documents with equal sets are one class, and only its smallest id is compared.
 Components need some links of a group, not all pairs, so links are sought in
 rounds.  First every class meets the smallest id of its buckets; then, twice,
 the likeliest partner in another component; at last every pair that still lies
-in one bucket and in two components.  So a link is missed only if band keys or
-sketch miss it, and a large group of near copies costs links in proportion.
+in one bucket and in two components, in the tile of the first bucket that both
+share: there the full sets lie side by side, the likeliest pair comes first, pairs
+that links have joined meanwhile are skipped, and only links leave the task.  So a
+link is missed only if band keys or sketch miss it, and no pairs are listed.
 
 Scale: signatures are made in the scan.  What is shuffled is a band key and an id
 per class and band, once, and then only buckets with two classes or more; texts
-of documents in such buckets are shuffled once, by id.  Buckets beyond `TILE`
-classes are compared in tiles.
+of documents in such buckets are shuffled once, by id.  Buckets beyond a tile's
+number of classes are compared in tiles of two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,10 @@ from tickloom.llm.hashing import Rolling, Words, mixed
 SAMPLES, BANDS, BITS = 128, 32, 256
 #: Similarity that a sketch must estimate for a pair at a threshold of 0.8: five standard errors less.
 MARGIN = 0.2
-#: Classes of a bucket that are compared in one piece.
-TILE = 1_024
+#: Classes of a block, when sketches and when full sets are compared.
+TILE, SET_TILE = 1_024, 256
+#: Rows of an Arrow batch with full sets.
+SET_ROWS = 256
 
 
 class Shingles:
@@ -122,55 +127,95 @@ def _sets(size: int):
     return made
 
 
-def _likely(every: bool, percent: int):
-    """Pairs of a bucket that lie in different components and that sizes and sketches allow; `every`: all, else the best of each."""
-    floor = percent / 100 - MARGIN
-
-    def pairs(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        node, comp, n, side = rows["node"], rows["component"], rows["n"], rows["side"]
-        if len(node) < 2 or (comp == comp[0]).all():
-            return node[:0], node[:0]
-        sketch = rows["sketch"]
-        likely = estimated(sketch, sketch)
-        likely[comp[:, None] == comp[None, :]] = -1
-        likely[100 * np.minimum(n[:, None], n[None, :]) < percent * np.maximum(n[:, None], n[None, :])] = -1
-        if (side != side[0]).any():  # a tile of two blocks: pairs inside a block belong to that block's own tile
-            likely[side[:, None] == side[None, :]] = -1
-        if every:
-            a, b = np.nonzero(np.triu(likely >= floor, 1))
-        else:
-            b = likely.argmax(axis=1)
-            a = np.flatnonzero(likely[np.arange(len(node)), b] >= floor)
-            b = b[a]
-        return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-
+def _likeliness(rows: dict, percent: int) -> np.ndarray:
+    """Estimated similarity of each pair of a tile; -1 for pairs that need no look."""
+    comp, n, side = rows["component"], rows["n"], rows["side"]
+    likely = estimated(rows["sketch"], rows["sketch"])
+    likely[comp[:, None] == comp[None, :]] = -1
+    likely[100 * np.minimum(n[:, None], n[None, :]) < percent * np.maximum(n[:, None], n[None, :])] = -1
+    if (side != side[0]).any():  # a tile of two blocks: pairs inside a block belong to that block's own tile
+        likely[side[:, None] == side[None, :]] = -1
+    return likely
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _partners(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each class of a tile with its likeliest partner in another component."""
+    likely = _likeliness(rows, percent)
+    b = likely.argmax(axis=1)
+    a = np.flatnonzero(likely[np.arange(len(b)), b] >= percent / 100 - MARGIN)
+    b, node = b[a], rows["node"]
+    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+
+
+def _joined(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components of a tile, confirmed on full sets; one for each pair of components that meet."""
+    likely = _likeliness(rows, percent)
+    a, b = np.nonzero(np.triu(likely >= percent / 100 - MARGIN, 1))
+    if not len(a):
+        return a, b
+    bands = rows["bands"]
+    first = (bands[a] == bands[b]).argmax(axis=1)
+    own = np.flatnonzero(bands[a, first] == rows["key"][0])  # other pairs meet in another bucket
+    own = own[np.argsort(-likely[a[own], b[own]], kind="stable")]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    comp, found = rows["component"].tolist(), []
+    for i, j in zip(a[own].tolist(), b[own].tolist()):
+        x, y = find(comp[i]), find(comp[j])
+        if x != y and _similar(sets[i], sets[j], percent):
+            parent[max(x, y)] = min(x, y)
+            found.append((i, j))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    node = rows["node"]
+    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+
+
+def _in_tiles(compare, percent: int):
+    """Pairs (a, b) that `compare` finds in each tile; rows come sorted by key and tile."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def columns(batch: pa.RecordBatch) -> dict:
             out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tile", "side", "node", "component", "n")}
             out["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64)
+            if "bands" in batch.schema.names:
+                out["bands"] = np.array(batch.column("bands").flatten(), np.int64).reshape(batch.num_rows, BANDS)
+                out["shingles"] = np.array([*batch.column("shingles").to_pylist(), None], object)[:-1]
             return out
 
         def settle(rows: dict, end: int) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero((np.diff(rows["key"][:end]) != 0) | (np.diff(rows["tile"][:end]) != 0)) + 1
-            out = [pairs({c: v[i:j] for c, v in rows.items()}) for i, j in zip([0, *cuts], [*cuts, end])]
-            a, b = (np.concatenate(x) for x in zip(*out))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for i, j in zip([0, *cuts], [*cuts, end]):
+                own = {c: v[i:j] for c, v in rows.items()}
+                if j - i > 1 and (own["component"] != own["component"][0]).any():
+                    a, b = compare(own, percent)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(columns(batch))
+            if (held[0]["key"][0], held[0]["tile"][0]) == (held[-1]["key"][-1], held[-1]["tile"][-1]):
+                continue
             rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             last = (rows["key"] != rows["key"][-1]) | (rows["tile"] != rows["tile"][-1])
-            end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last bucket may go on in the next batch
-            if end:
-                yield from settle(rows, end)
+            end = int(np.flatnonzero(last)[-1]) + 1  # the last tile may go on in the next batch
+            yield from settle(rows, end)
             held = [{c: v[end:] for c, v in rows.items()}]
         if held:
-            rows = held[0]
+            rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             yield from settle(rows, len(rows["node"]))
 
     return found
@@ -181,14 +226,24 @@ def _confirmed(percent: int):
         for batch in in_slices(batches, 512):
             good = []
             for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return made
 
 
+@contextmanager
+def _batches_of(spark, rows: int):
+    """Smaller Arrow batches for the jobs inside, whose rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
@@ -225,26 +280,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id:
     buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
     members = cut(banded.join(buckets, "key"))
     of = cut(members.select("node").distinct().withColumn("component", F.col("node")))
-    features = cut(classes.select("node", "sketch", "n").join(of.select("node"), "node"))
+    features = cut(classes.select("node", "sketch", "n", "bands").join(of.select("node"), "node"))
     sets = cut(slim.join(of.select(F.col("node").alias("id")), "id").select(F.col("id").alias("node"), "text").mapInArrow(_sets(words), "node bigint, shingles binary"))
 
     star = members.filter("node <> first").groupBy("node").agg(F.min("first").alias("b")).select(F.col("node").alias("a"), "b")
     of = _merged(of, _links(star, sets, percent))
-    for every in (False, False, True):
+    for last in (False, False, True):
         placed = members.select("key", "node", "size").join(of, "node")
         # Buckets that still have two components; larger ones in tiles of two blocks, all of whose pairs meet once.
         split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        open_ = placed.join(split, "key").join(features, "node")
-        blocks = F.ceil(F.col("size") / TILE).cast("int")
-        open_ = open_.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+        blocks = F.ceil(F.col("size") / (SET_TILE if last else TILE)).cast("int")
+        open_ = placed.join(split, "key").withColumn("blocks", blocks)
+        open_ = open_.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
         tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("side")).cast("long") * F.col("blocks") + F.greatest(j, F.col("side")))
-        open_ = open_.withColumn("tile", F.explode(tiles)).select("key", "tile", "side", "node", "component", "n", "sketch")
+        open_ = open_.withColumn("tile", F.explode(tiles)).select("key", "tile", "side", "node", "component").join(features if last else features.drop("bands"), "node")
+        open_ = open_.join(sets, "node") if last else open_
         dealt = open_.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile", "node")
-        pairs = dealt.mapInArrow(_likely(every, percent), "a bigint, b bigint").distinct()
-        links = cut(_links(pairs, sets, percent))
-        if links.isEmpty() and not every:
-            continue
-        of = _merged(of, links)
+        found = dealt.mapInArrow(_in_tiles(_joined if last else _partners, percent), "a bigint, b bigint")
+        if last:
+            with _batches_of(spark, SET_ROWS):
+                links = cut(found)
+        else:
+            links = cut(_links(found.distinct(), sets, percent))
+        if not links.isEmpty():
+            of = _merged(of, links)
 
     grouped = classes.select("d1", "d2", "node").join(of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n", "d1", "d2")
