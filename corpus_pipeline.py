@@ -14,9 +14,12 @@ Extra columns travel through stages 1 to 4 untouched, whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.functions import lineage
 from tickloom.functions.lineage import cut
 from tickloom.llm.exact_dedup import drop_exact_duplicates
 from tickloom.llm.near_dedup import drop_near_duplicates
@@ -25,23 +28,50 @@ from tickloom.llm.quality import score, train
 from tickloom.llm.substrings import remove_repeated_passages
 
 
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """Each stage but the first deletes the intermediate tables of the stages before it, whose results are written by then.
+
+    What `docs` itself is read from stays, and so does what the last stage leaves: its result may still be read.
+    """
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if function.__name__ != STAGES[0][0]:
+            read = " ".join(docs.inputFiles())
+            lineage.remove(spark, [p for p in _LEFT if p.rsplit("/", 1)[1] not in read])
+        _LEFT.clear()
+        before = len(lineage.WRITTEN)
+        result = function(spark, docs, sf_dir)
+        _LEFT.extend(lineage.WRITTEN[before:])
+        return result
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model, threshold=0.3, keep_row=True).filter("predicted = 1").select("row.*")
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
+@_stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(docs, window=50)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -54,6 +84,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        lineage.remove(spark, before)
+        before = lineage.WRITTEN[-1:]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _LEFT.clear()
+    return packed
