@@ -57,7 +57,6 @@ def _model_query(name: str, kind: str, calibrate: bool = False):
 
 _model_query("model_logistic", "logistic")
 _model_query("model_random_forest", "random_forest")
-_model_query("model_calibrated_forest", "random_forest", calibrate=True)
 _model_query("model_boosted_fixed_weight", "boosted_a")
 _model_query("model_boosted_auto_weight", "boosted_b")
 _model_query("model_calibrated_logistic", "logistic", calibrate=True)
