@@ -22,8 +22,6 @@ from tickloom.streaming.bars import stream_bars
 from tickloom.streaming.runs import run_foreach, run_to_table
 
 NAMES = frame.feature_names()
-# Boosting rounds and trees in the registered queries; library defaults are the full counts.
-ROUNDS = 5
 
 
 def dataset(spark, sf):
@@ -44,7 +42,7 @@ def assigned(spark, sf):
 
 def _scores(spark, sf, kind: str, calibrate: bool):
     rows, fold_ids = assigned(spark, sf)
-    return models.walk_forward_scores(rows, fold_ids, NAMES, kind, ROUNDS, calibrate)
+    return models.walk_forward_scores(rows, fold_ids, NAMES, kind, calibrate=calibrate)
 
 
 def _model_query(name: str, kind: str, calibrate: bool = False):
