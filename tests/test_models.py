@@ -27,3 +27,9 @@ def test_boosted_queries_fit_all_rounds(spark, monkeypatch):
     for name in ("model_boosted_fixed_weight", "model_boosted_auto_weight"):
         kind, rounds, _ = asked(monkeypatch, name)
         assert models.make_model(kind, 0, rounds).getMaxIter() == 300
+
+
+def test_all_kinds_and_the_ledger_are_calibrated(monkeypatch):
+    names = ("model_random_forest", "model_boosted_fixed_weight", "model_boosted_auto_weight", "model_calibrated_logistic", "walk_forward_ledger")
+    assert all(asked(monkeypatch, n)[2] for n in names)
+    assert not asked(monkeypatch, "model_logistic")[2]

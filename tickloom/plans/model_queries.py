@@ -45,7 +45,7 @@ def _scores(spark, sf, kind: str, calibrate: bool):
     return models.walk_forward_scores(rows, fold_ids, NAMES, kind, calibrate=calibrate)
 
 
-def _model_query(name: str, kind: str, calibrate: bool = False):
+def _model_query(name: str, kind: str, calibrate: bool = True):
     @query(name)
     def run(spark, sf):
         decided = cut(models.with_decisions(_scores(spark, sf, kind, calibrate)))
@@ -53,11 +53,11 @@ def _model_query(name: str, kind: str, calibrate: bool = False):
         return rounded(table, {c: 6 for c in ("precision", "recall", "f1", "roc_auc", "pr_auc", "brier")}, ("model", "fold_id", "rows", "positives"))
 
 
-_model_query("model_logistic", "logistic")
+_model_query("model_logistic", "logistic", calibrate=False)
 _model_query("model_random_forest", "random_forest")
 _model_query("model_boosted_fixed_weight", "boosted_a")
 _model_query("model_boosted_auto_weight", "boosted_b")
-_model_query("model_calibrated_logistic", "logistic", calibrate=True)
+_model_query("model_calibrated_logistic", "logistic")
 
 
 @query("batch_scoring")
@@ -92,7 +92,7 @@ def coefficient_stability(spark, sf):
 def walk_forward_ledger(spark, sf):
     """Train scores give the Kelly fraction of each fold, test scores its ledger."""
     keys = ["model", "fold_id", "symbol"]
-    scored = cut(_scores(spark, sf, "logistic", False))
+    scored = cut(_scores(spark, sf, "logistic", True))
     thresholds = evaluate.optimize_threshold(scored.filter("split = 'train'"), ["model", "fold_id"])
     decided = cut(scored.join(thresholds, ["model", "fold_id"]).withColumn("pred", F.col("score") >= F.col("threshold")))
     train = ledger.run_ledger(decided.filter("split = 'train'"), keys)
