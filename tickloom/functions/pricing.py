@@ -107,11 +107,15 @@ def _price_np(s, k, t, r, v, call):
     return np.maximum(value, 0.0)
 
 
+# Half a unit of the fourth digit of a volatility; rise of the price over it, by spot or strike, that is only rounding.
+HALF_DIGIT, FLAT = 5e-5, 1e-12
+
+
 @F.pandas_udf(T.DoubleType())
 def implied_vol(
     price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series
 ) -> pd.Series:
-    """Volatility whose price is the quote; NULL when no volatility gives it.
+    """Volatility whose price is the quote; NULL when no volatility gives it, or prices near it differ by rounding only.
 
     60 halvings of [1e-6, 5] for a whole Arrow batch at once.
     """
@@ -124,7 +128,10 @@ def implied_vol(
             middle = (low + high) / 2
             under = _price_np(s, k, t, r, middle, c) < q
             low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return pd.Series(np.maximum((low + high) / 2, 0.001)).where(possible, None)
+        root = np.maximum((low + high) / 2, 0.001)
+        rise = _price_np(s, k, t, r, root + HALF_DIGIT, c) - _price_np(s, k, t, r, root - HALF_DIGIT, c)
+        determined = rise > FLAT * np.maximum(s, k)
+    return pd.Series(root).where(possible & determined, None)
 
 
 # --- the same formulas as SQL text ---------------------------------------------

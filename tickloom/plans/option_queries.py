@@ -46,6 +46,14 @@ def implied_vol(spark, sf):
     return rounded(solved, {"bs_iv": 4}, _KEY)
 
 
+@query("implied_vol_chain")
+def implied_vol_chain(spark, sf):
+    """Every contract; NULL where the quote does not determine a volatility (needs a root finder, so no SQL twin)."""
+    priced = options.chain_greeks(views.chain(spark, sf))
+    solved = options.with_implied_vol(priced, F.col("price"), years=options.years_to_expiry())
+    return rounded(solved, {"bs_iv": 4}, _KEY)
+
+
 _ERR = _CHAIN + """,
 vi AS (SELECT *, spot AS s, strike AS k, greatest(date_diff('day', as_of, expiration_date) / 365.0::DOUBLE, 0.001) AS t, implied_volatility AS v, option_type = 'call' AS c, (bid + ask) / 2 AS mid FROM chain)
 """ + greeks_sql("vi") + ", er AS (SELECT *, abs(price - mid) / (mid + 1e-6) AS pe FROM g)"
@@ -229,6 +237,38 @@ def vega_hedge(spark, sf):
     return rounded(table, {"quantity": 3, "net_vega": 4}, (*_KEY, "side"))
 
 
+@query(
+    "portfolio_greeks_chain",
+    f"WITH {_G} SELECT symbol AS portfolio, " + ", ".join(f"round(sum({c}), 4) + 0.0 AS {c}" for c in options.GREEKS) + " FROM g GROUP BY 1",
+)
+def portfolio_greeks_chain(spark, sf):
+    """Every contract is a position of its symbol's portfolio."""
+    held = options.chain_greeks(views.chain(spark, sf)).withColumn("portfolio", F.col("symbol"))
+    return rounded(options.portfolio_greeks(held), {c: 4 for c in options.GREEKS}, ("portfolio",))
+
+
+_PARTED = _G + ", pt AS (SELECT *, expiration_date = min(expiration_date) OVER (PARTITION BY symbol, as_of) AS held FROM g)"
+
+
+@query(
+    "vega_hedge_by_expiry",
+    f"WITH {_PARTED}, ex AS (SELECT symbol, as_of, sum(vega) AS primary_vega FROM pt WHERE held GROUP BY 1, 2), cand AS (SELECT symbol, as_of, expiration_date, strike, option_type, round(ask, 6) AS price, round(vega, 8) AS vega FROM pt WHERE NOT held), "
+    "pick AS (SELECT *, row_number() OVER (PARTITION BY symbol, as_of ORDER BY vega <= 0, CASE WHEN vega > 0 THEN price / vega ELSE -abs(vega) END, expiration_date, strike, option_type) AS place FROM cand JOIN ex USING (symbol, as_of) WHERE primary_vega > 0) "
+    "SELECT symbol, as_of, expiration_date, strike, option_type, round(primary_vega / CASE WHEN vega > 0 THEN vega ELSE 1e-6 END, 3) + 0.0 AS quantity, round(CASE WHEN vega > 0 THEN primary_vega ELSE primary_vega / 1e-6 * vega END, 4) + 0.0 AS net_vega, 'short' AS side FROM pick WHERE place = 1",
+)
+def vega_hedge_by_expiry(spark, sf):
+    """The nearest expiry is held, all later ones are candidates: every contract takes part."""
+    greeks = cut(options.chain_greeks(views.chain(spark, sf)))
+    first = greeks.groupBy("symbol", "as_of").agg(F.min("expiration_date").alias("_first"))
+    parted = greeks.join(first, ["symbol", "as_of"])
+    exposure = parted.filter("expiration_date = _first").groupBy("symbol", "as_of").agg(F.sum("vega").alias("primary_vega"))
+    candidates = parted.filter("expiration_date <> _first").select(
+        "symbol", "as_of", "expiration_date", "strike", "option_type", F.round("ask", 6).alias("price"), F.round("vega", 8).alias("vega")
+    )
+    table = options.vega_hedge(exposure, candidates, ["symbol", "as_of"])
+    return rounded(table, {"quantity": 3, "net_vega": 4}, (*_KEY, "side"))
+
+
 # --- A7, A8 sources --------------------------------------------------------------------
 
 
