@@ -86,3 +86,24 @@ def test_encode_decode(docs, rows, empty):
         assert got[i].ids == library.encode(t) and got[i].n_pieces == len(got[i].ids)
         assert got[i].same and got[i].decoded == t and got[i].ids_crc32 == zlib.crc32(np.array(got[i].ids, "<u4").tobytes())
     assert encode_decode(empty, MODEL).count() == 0
+
+
+def test_packing_of_empty_texts_ends(spark, monkeypatch):
+    from tickloom.llm import packing
+
+    rounds = []
+
+    def counted(table, cut=packing.cut):
+        rounds.append(table)
+        assert len(rounds) < 12, "what waits does not shrink"
+        return cut(table)
+
+    monkeypatch.setattr(packing, "cut", counted)
+    nearly = [(i, "a few words here" * 300 if i % 10 == 0 else None if i % 2 else "") for i in range(9_000)]
+    for rows in ([(i, None if i % 2 else "") for i in range(5_000)], nearly):
+        rounds.clear()
+        got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS).toPandas()
+        assert got.doc_id.nunique() == len(rows) and not got.duplicated(["sequence_id", "offset"]).any()
+        assert got.groupby("sequence_id").length.sum().max() <= 4096
+        if rows is not nearly:
+            assert got.sequence_id.nunique() == 2

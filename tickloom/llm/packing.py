@@ -177,22 +177,32 @@ def _undominated(chosen: list[int], slack: int, left: dict[int, int], sizes: lis
 def _fillings(room: int, left: dict[int, int], sizes: list[int], limit: int, effort: list[int]) -> list[list[int]]:
     """Undominated sets of lengths for the room beside the largest one, the fullest first.  `effort` counts down."""
     found: list[tuple[int, list[int]]] = []
-
-    def extend(chosen: list[int], room: int, top: int) -> None:
-        fits = any(left[x] > chosen.count(x) for x in sizes[:bisect_right(sizes, room)])
-        if not fits:
-            if len(chosen) > 12 or _undominated(chosen, room, left, sizes):
-                found.append((room, chosen))
-            return
-        for at in range(min(top, bisect_right(sizes, room)) - 1, -1, -1):
-            if len(found) >= limit or effort[0] <= 0:
-                return
-            effort[0] -= 1
-            x = sizes[at]
-            if left[x] > chosen.count(x):
-                extend([*chosen, x], room - x, at + 1)
-
-    extend([], room, len(sizes))
+    chosen: list[int] = []
+    used: dict[int, int] = {}
+    stack: list[list[int]] = []  # room and next length to try; a bin may hold thousands of lengths, so no recursion
+
+    def extend(room: int, top: int) -> None:
+        end = bisect_right(sizes, room)
+        fits = any(left[x] > used.get(x, 0) for x in sizes[:end])
+        if not fits and (len(chosen) > 12 or _undominated(chosen, room, left, sizes)):
+            found.append((room, chosen.copy()))
+        stack.append([room, min(top, end) - 1 if fits else -1])
+
+    extend(room, len(sizes))
+    while stack:
+        room, at = stack[-1]
+        if at < 0 or len(found) >= limit or effort[0] <= 0:
+            stack.pop()
+            if chosen:
+                used[chosen.pop()] -= 1
+            continue
+        effort[0] -= 1
+        stack[-1][1] = at - 1
+        x = sizes[at]
+        if left[x] > used.get(x, 0):
+            chosen.append(x)
+            used[x] = used.get(x, 0) + 1
+            extend(room - x, at + 1)
     found.sort(key=lambda f: f[0])
     return [f for _, f in found]
 
@@ -262,7 +272,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFra
     columns, schema = pieces.columns, pieces.schema
     waiting, done, level = cut(pieces), [], 0
     while True:
-        blocks = max(1, -(-waiting.count() // block))
+        # A block hands on one sequence at most.  Two sequences of tokens for each block halve what waits in every round; as a
+        # piece has a token at least, a block of short pieces averages at most 4 * capacity rows.
+        size = waiting.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        blocks = max(1, min(-(-size.rows // block), size.tokens // (2 * capacity)))
         last = blocks == 1
 
         def packed(group: pd.DataFrame) -> pd.DataFrame:
