@@ -148,3 +148,17 @@ def test_pipeline(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     good = [i for i, _ in start if labels.get(i) == 1]
     assert sum(i in kept["quality"] for i in good) / len(good) > 0.97
+
+
+def test_license_titles_marks_and_full_texts(spark):
+    from tickloom.llm.license_full import FULL
+
+    bullets = KNOWN["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    made = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + KNOWN["MIT"]), ("ISC", "ISC License\n\n" + KNOWN["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + KNOWN["BSD-3-Clause"]),
+        ("BSD-3-Clause", bullets), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bullets), (None, "MIT License\n\n" + KNOWN["ISC"]),
+        *((name, " ".join(text.upper().split(" "))) for name, text in FULL.items()),
+    ]
+    got = scan_licenses(spark.createDataFrame(made, "doc_id string, text string")).collect()
+    assert len(got) == len(made) and all(r.license == r.doc_id for r in got)
