@@ -33,3 +33,81 @@ def test_all_kinds_and_the_ledger_are_calibrated(monkeypatch):
     names = ("model_random_forest", "model_boosted_fixed_weight", "model_boosted_auto_weight", "model_calibrated_logistic", "walk_forward_ledger")
     assert all(asked(monkeypatch, n)[2] for n in names)
     assert not asked(monkeypatch, "model_logistic")[2]
+
+
+# --- calibrated models ---------------------------------------------------------------
+
+
+def labelled(spark, n=240, seed=3):
+    import datetime as dt
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y = rng.gauss(3, 2), rng.gauss(-1, 0.1)
+        rows.append((rng.choice("AB"), dt.date(2020, 1, 1) + dt.timedelta(days=i), x, y, int(rng.random() < 1 / (1 + 2.7 ** (3 - x)))))
+    return spark.createDataFrame(rows, "symbol string, bar_date date, x double, y double, label int")
+
+
+def test_saved_model_scores_tables_and_streams_alike(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.calibrated import CalibratedModel
+    from tickloom.streaming.runs import run_to_table
+
+    rows = labelled(spark)
+    for kind in ("logistic", "random_forest", "boosted_b"):
+        path = str(tmp_path / kind)
+        made = models.fit_final(rows, ["x", "y"], kind, path, rounds=3)
+        loaded = CalibratedModel.load(path)
+        assert (loaded.kind, loaded.names, loaded.means, loaded.deviations, loaded.sigmoids, len(loaded.bases)) == ("%s" % kind, ["x", "y"], made.means, made.deviations, made.sigmoids, 3)
+        first = {(r.symbol, r.bar_date): r.score for r in models.score_batch(made, rows).collect()}
+        again = {(r.symbol, r.bar_date): r.score for r in models.score_batch(loaded, rows).collect()}
+        assert first == again and all(0 < s < 1 for s in first.values())
+    source = str(tmp_path / "rows")
+    rows.write.parquet(source)
+    streamed = run_to_table(models.score_batch(loaded, spark.readStream.schema(rows.schema).parquet(source)), spark)
+    assert {(r.symbol, r.bar_date): r.score for r in streamed.collect()} == first
+    assert streamed.columns == [*rows.columns, "score"]
+    # a stage like any other
+    from pyspark.ml import PipelineModel
+
+    PipelineModel([loaded]).write().overwrite().save(str(tmp_path / "pipeline"))
+    piped = PipelineModel.load(str(tmp_path / "pipeline")).transform(rows)
+    assert piped.agg(F.round(F.sum("score"), 9)).first() == models.score_batch(loaded, rows).agg(F.round(F.sum("score"), 9)).first()
+
+
+def test_final_model_equals_the_walk_forward_one(spark):
+    from pyspark.sql import functions as F
+
+    rows = labelled(spark)
+    split = F.when(F.dayofyear("bar_date") <= 160, "train").otherwise("test")
+    folds = rows.withColumn("fold_id", F.lit(1)).withColumn("split", split)
+    scored = models.walk_forward_scores(folds, [1], ["x", "y"], "logistic")
+    final = models.fit_final(folds.filter("split = 'train'"), ["x", "y"], "logistic")
+    both = scored.join(models.score_batch(final, rows).withColumnRenamed("score", "own"), ["symbol", "bar_date"])
+    assert both.count() == 240 and both.filter("abs(score - own) > 1e-12").count() == 0
+    # the scaler knows train rows only
+    assert abs(final.means[0] - folds.filter("split = 'train'").agg(F.avg("x")).first()[0]) < 1e-12
+    assert set(scored.columns) == {"symbol", "bar_date", "label", "fold_id", "split", "score", "model"}
+
+
+def test_coefficients_are_means_over_the_base_models(spark):
+    rows = labelled(spark)
+    model = models.fit_final(rows, ["x", "y"], "logistic")
+    table = {r.feature: r.coefficient for r in models.coefficients({1: model}, spark).collect()}
+    for i, n in enumerate(["x", "y"]):
+        assert abs(table[n] - sum(b.coefficients[i] for b in model.bases) / 3) < 1e-12
+    assert table["x"] > 0 and models.fit_final(rows, ["x"], "random_forest").coefficients() == {}
+
+
+def test_side_by_side_keeps_order_and_raises(spark):
+    import pytest
+
+    from tickloom.functions.parallel import side_by_side
+
+    assert side_by_side(spark, [lambda i=i: spark.range(i).count() for i in range(12)], workers=4) == list(range(12))
+    assert side_by_side(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 // 0])

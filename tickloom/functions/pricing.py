@@ -111,27 +111,35 @@ def _price_np(s, k, t, r, v, call):
 HALF_DIGIT, FLAT = 5e-5, 1e-12
 
 
-@F.pandas_udf(T.DoubleType())
-def implied_vol(
-    price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series
-) -> pd.Series:
-    """Volatility whose price is the quote; NULL when no volatility gives it, or prices near it differ by rounding only.
+#: Volatilities between which a root is sought, and halvings of that bracket.
+BRACKET, HALVINGS = (1e-6, 5.0), 60
 
-    60 halvings of [1e-6, 5] for a whole Arrow batch at once.
+
+def implied_vol(price: Column, spot: Column, strike: Column, years: Column, rate: Column, call: Column, bracket: tuple[float, float] = BRACKET) -> Column:
+    """Volatility whose price is the quote; NULL when no volatility of the bracket gives it, or prices near it differ by rounding only.
+
+    A fixed number of halvings for a whole Arrow batch at once: a fold over expressions is interpreted, node by node and row
+    by row, and takes many times as long.
     """
-    q, s, k, t, r = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, spot, strike, years, rate))
-    c = call.to_numpy(dtype=bool)
-    low, high = np.full(len(q), 1e-6), np.full(len(q), 5.0)
-    with np.errstate(all="ignore"):
-        possible = (t > 0) & (s > 0) & (k > 0) & (_price_np(s, k, t, r, low, c) <= q) & (q <= _price_np(s, k, t, r, high, c))
-        for _ in range(60):
-            middle = (low + high) / 2
-            under = _price_np(s, k, t, r, middle, c) < q
-            low, high = np.where(under, middle, low), np.where(under, high, middle)
-        root = np.maximum((low + high) / 2, 0.001)
-        rise = _price_np(s, k, t, r, root + HALF_DIGIT, c) - _price_np(s, k, t, r, root - HALF_DIGIT, c)
-        determined = rise > FLAT * np.maximum(s, k)
-    return pd.Series(root).where(possible & determined, None)
+    least, most = bracket
+
+    @F.pandas_udf(T.DoubleType())
+    def root(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
+        q, s, k, t, r = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, spot, strike, years, rate))
+        c = call.to_numpy(dtype=bool, na_value=False)
+        low, high = np.full(len(q), least), np.full(len(q), most)
+        with np.errstate(all="ignore"):
+            possible = (t > 0) & (s > 0) & (k > 0) & (_price_np(s, k, t, r, low, c) <= q) & (q <= _price_np(s, k, t, r, high, c))
+            for _ in range(HALVINGS):
+                middle = (low + high) / 2
+                under = _price_np(s, k, t, r, middle, c) < q
+                low, high = np.where(under, middle, low), np.where(under, high, middle)
+            found = np.maximum((low + high) / 2, 0.001)
+            rise = _price_np(s, k, t, r, found + HALF_DIGIT, c) - _price_np(s, k, t, r, found - HALF_DIGIT, c)
+            determined = rise > FLAT * np.maximum(s, k)
+        return pd.Series(found).where(possible & determined, None)
+
+    return root(price, spot, strike, years, rate, call)
 
 
 # --- the same formulas as SQL text ---------------------------------------------
@@ -161,7 +169,7 @@ def greeks_sql(source: str, name: str = "g", rate: float = 0.05) -> str:
     return f""",
 {name}_d AS (SELECT *, CASE WHEN t > 0 AND v > 0 THEN (ln(s / k) + ({rate} + v * v / 2) * t) / (v * sqrt(t)) ELSE 0.0 END AS d1 FROM {source}),
 {name}_e AS (SELECT *, d1 - CASE WHEN t > 0 THEN v * sqrt(t) ELSE 0.0 END AS d2 FROM {name}_d),
-{name}_n AS (SELECT *, {cdf_sql('d1')} AS n1, {cdf_sql('d2')} AS n2, exp(-d1 * d1 / 2) / {ROOT_2PI!r} AS f1, k * exp(-{rate} * t) AS k0 FROM {name}_e),
+{name}_n AS MATERIALIZED (SELECT *, {cdf_sql('d1')} AS n1, {cdf_sql('d2')} AS n2, exp(-d1 * d1 / 2) / {ROOT_2PI!r} AS f1, k * exp(-{rate} * t) AS k0 FROM {name}_e),
 {name} AS (
   SELECT *, CASE WHEN t > 0 THEN greatest(CASE WHEN c THEN s * n1 - k0 * n2 ELSE k0 * (1 - n2) - s * (1 - n1) END, 0.0)
                  WHEN c THEN greatest(s - k, 0.0) ELSE greatest(k - s, 0.0) END AS price,
@@ -173,3 +181,30 @@ def greeks_sql(source: str, name: str = "g", rate: float = 0.05) -> str:
          CASE WHEN t > 0 AND v > 0 THEN CASE WHEN c THEN t * k0 * n2 ELSE -t * k0 * (1 - n2) END / 100 ELSE 0.0 END AS rho
   FROM {name}_n)
 """
+
+
+def implied_vol_sql(source: str, name: str = "iv", rate: float = 0.05, bracket: tuple[float, float] = BRACKET) -> str:
+    """Recursive CTEs ending in `name`: `source` has s, k, t, c (is call), q (quote) and its own columns; adds `root`.
+
+    The WITH clause must be RECURSIVE.
+    """
+    low, high = bracket
+
+    def priced(inner: str, v: str, out: str) -> str:
+        value = f"greatest(CASE WHEN c THEN s * {cdf_sql('d1')} - k0 * {cdf_sql('d2')} ELSE k0 * {cdf_sql('(-d2)')} - s * {cdf_sql('(-d1)')} END, 0.0)"
+        d1 = f"SELECT *, (ln(s / k) + ({rate} + {v} * {v} / 2) * t) / ({v} * sqrt(t)) AS d1, k * exp(-{rate} * t) AS k0 FROM ({inner})"
+        return f"SELECT * EXCLUDE (d1, d2, k0), {value} AS {out} FROM (SELECT *, d1 - {v} * sqrt(t) AS d2 FROM ({d1}))"
+
+    ends = priced(priced(f"SELECT *, {low}::DOUBLE AS low, {high}::DOUBLE AS high FROM {name}_n WHERE t > 0 AND s > 0 AND k > 0 AND q IS NOT NULL", "low", "p_low"), "high", "p_high")
+    step = priced(f"SELECT *, (low + high) / 2 AS v FROM {name}_h WHERE i < {HALVINGS}", "v", "p")
+    rise = priced(priced(f"SELECT row, s, k, t, c, root, root + {HALF_DIGIT} AS up, root - {HALF_DIGIT} AS down FROM {name}_r", "up", "p_up"), "down", "p_down")
+    return f""",
+{name}_n AS MATERIALIZED (SELECT row_number() OVER () AS row, * FROM {source}),
+{name}_h AS (
+  SELECT row, s, k, t, c, q, low, high, 0 AS i FROM ({ends}) WHERE p_low <= q AND q <= p_high
+  UNION ALL
+  SELECT row, s, k, t, c, q, CASE WHEN p < q THEN v ELSE low END, CASE WHEN p < q THEN high ELSE v END, i + 1 FROM ({step})),
+{name}_r AS MATERIALIZED (SELECT row, s, k, t, c, greatest((low + high) / 2, 0.001) AS root FROM {name}_h WHERE i = {HALVINGS}),
+{name}_d AS MATERIALIZED (SELECT row, root FROM ({rise}) WHERE p_up - p_down > {FLAT} * greatest(s, k)),
+{name} AS (SELECT n.* EXCLUDE (row), d.root FROM {name}_n n LEFT JOIN {name}_d d ON d.row = n.row)
+"""

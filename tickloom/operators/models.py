@@ -1,53 +1,29 @@
-"""Classifiers on Spark ML: weights, fitting, calibration, scoring.
+"""Walk-forward scoring, final models and coefficient tables on Spark ML.
 
-Spark ML trains each model as distributed jobs over the rows.  Walk-forward
-folds are a short list (one per test year), so the driver loops over fold
-numbers, never over rows.
+Spark ML trains each model as distributed jobs over the rows.  Walk-forward folds are a short list (one per test
+year); their fits are independent jobs and run side by side, never over rows on the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import cut, small
-from tickloom.functions.prefix import number_rows
-from tickloom.functions.scalars import attach_row
+from tickloom.functions.lineage import cut
+from tickloom.functions.parallel import side_by_side
+from tickloom.operators.calibrated import CALIBRATION_FOLDS, PARTITION_ROWS, CalibratedClassifier, CalibratedModel, fit_base, fit_parts
 from tickloom.operators.evaluate import optimize_threshold
 from tickloom.operators.frame import apply_scaler, fit_scaler
+from tickloom.operators.weights import WEIGHTS, class_weights, make_model  # noqa: F401
 
-# Seed and inner folds (fixed values).
-SEED = 42
 _OUTPUTS = ("rawPrediction", "probability", "prediction")
-CALIBRATION_FOLDS = 3
-# Weighting of each model kind (fixed choice).
-WEIGHTS = {"logistic": "balanced", "random_forest": "balanced", "boosted_a": "fixed", "boosted_b": "imbalance"}
-
-
-def class_weights(rows: DataFrame, label: str, kind: str = "balanced", keys: list[str] | None = None, out: str = "weight") -> DataFrame:
-    """balanced: n / (2 n_class); fixed: 20 for positives; imbalance: n_neg / n_pos for positives."""
-    positive = F.col(label) == 1
-    if kind == "fixed":
-        return rows.withColumn(out, F.when(positive, 20.0).otherwise(1.0))
-    keys = keys or []
-    counts = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p")
-    )
-    joined = rows.join(small(counts), keys) if keys else attach_row(rows, counts)
-    n, p = F.col("_n"), F.col("_p")
-    if kind == "balanced":
-        weight = F.when(positive, F.try_divide(n, 2 * p)).otherwise(F.try_divide(n, 2 * (n - p)))
-    elif kind == "imbalance":
-        weight = F.when(positive, F.try_divide(n - p, p)).otherwise(1.0)
-    else:
-        raise ValueError(f"unknown weights {kind!r}")
-    return joined.withColumn(out, weight).drop("_n", "_p")
+#: Folds that are fitted at once; each of them fits its base models at once.
+FOLDS_AT_ONCE = 3
 
 
 def assemble(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -55,100 +31,33 @@ def assemble(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(rows)
 
 
-def make_model(kind: str, n_rows: int, rounds: int = 300):
-    """Estimator of a kind.  `rounds` shortens boosting, which Spark ML runs one tree after another."""
-    common = dict(featuresCol="features", labelCol="label", weightCol="weight")
-    if kind == "logistic":
-        # C = 1 with weights that sum to n is a penalty of 1/n per unit weight.
-        return LogisticRegression(
-            regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000,
-            **common,
-        )
-    if kind == "random_forest":
-        return RandomForestClassifier(
-            numTrees=200, maxDepth=6, minInstancesPerNode=10, seed=SEED, **common
-        )
-    if kind in ("boosted_a", "boosted_b"):
-        return GBTClassifier(
-            maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
-            **common,
-        )
-    raise ValueError(f"unknown model {kind!r}")
-
-
 def _probability(name: str = "probability") -> Column:
     return vector_to_array(F.col(name))[1]
 
 
-def fit_base(train: DataFrame, kind: str, rounds: int = 300):
-    """Fit on (features, label) rows with the weights of the kind."""
-    weighted = class_weights(train, "label", WEIGHTS[kind])
-    return make_model(kind, weighted.count() if kind == "logistic" else 0, rounds).fit(weighted)
-
-
-@dataclass
-class CalibratedModel:
-    """Base models with one sigmoid each; the score is the mean of their probabilities."""
-
-    bases: list
-    sigmoids: list
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        given = rows.columns
-        terms = []
-        for i, (base, sigmoid) in enumerate(zip(self.bases, self.sigmoids)):
-            rows = _margin(base.transform(rows), f"_m{i}")
-            slope, shift = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-            terms.append(1 / (1 + F.exp(-(F.lit(slope) * F.col(f"_m{i}") + F.lit(shift)))))
-        return rows.select(*given, (sum(terms) / len(terms)).alias("score"))
-
+def fit_calibrated(train: DataFrame, kind: str, rounds: int = 300, parts: int = CALIBRATION_FOLDS) -> CalibratedModel:
+    """A calibrated model of rows that hold their vector `features`, without a scaler."""
+    return fit_parts(CalibratedModel(kind), train, rounds, parts, parts)
 
-def _margin(scored: DataFrame, out: str) -> DataFrame:
-    """The model's raw value for the positive class; other outputs are dropped."""
-    return scored.withColumn(out, vector_to_array(F.col("rawPrediction"))[1]).drop(*_OUTPUTS)
 
+def fit_folds(assigned: DataFrame, fold_ids: list[int], names: list[str], kind: str, rounds: int = 300) -> dict[int, CalibratedModel]:
+    """A calibrated model for the train rows of every fold."""
+    spark = assigned.sparkSession
+    estimator = CalibratedClassifier(names, kind, rounds)
 
-def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
-    """Consecutive parts of equal size of each class, in date order.
+    def fit(fold: int) -> CalibratedModel:
+        return estimator.fit(assigned.filter((F.col("fold_id") == fold) & (F.col("split") == "train")))
 
-    Buckets are dates: a class may hold nearly all rows, a date only one row
-    per symbol.
-    """
-    numbered = number_rows(train, ["label"], F.col("bar_date"), [F.col("bar_date"), F.col("symbol")], "_at")
-    sizes = train.groupBy("label").agg(F.count("*").alias("_n"))
-    part = F.floor((F.col("_at") - 1) * parts / F.col("_n")).cast("int")
-    return numbered.join(small(sizes), "label").withColumn("_part", part).drop("_at", "_n")
+    return dict(zip(fold_ids, side_by_side(spark, [lambda f=f: fit(f) for f in fold_ids], FOLDS_AT_ONCE, "fold")))
 
 
-def fit_calibrated(train: DataFrame, kind: str, rounds: int = 300, parts: int = CALIBRATION_FOLDS) -> CalibratedModel:
-    """Base model on the other parts, sigmoid on the part left out.
-
-    The sigmoid is a logistic regression on the margin with smoothed targets:
-    every row enters as a positive and a negative with the target as weight.
-    """
-    split = cut(inner_folds(train, parts))
-    bases, sigmoids = [], []
-    for i in range(parts):
-        base = fit_base(split.filter(F.col("_part") != i), kind, rounds)
-        held = _margin(base.transform(split.filter(F.col("_part") == i)), "margin")
-        sigmoids.append(_fit_sigmoid(held))
-        bases.append(base)
-    return CalibratedModel(bases, sigmoids)
-
-
-def _fit_sigmoid(held: DataFrame):
-    counts = held.agg(F.sum(F.col("label").cast("double")).alias("_p"), F.count("*").alias("_n"))
-    target = F.when(F.col("label") == 1, (F.col("_p") + 1) / (F.col("_p") + 2)).otherwise(
-        1 / (F.col("_n") - F.col("_p") + 2)
-    )
-    pairs = attach_row(held, counts).select(
-        F.col("margin"),
-        F.explode(F.array(
-            F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))
-        )).alias("t"),
-    ).select("margin", F.col("t.y").alias("y"), F.col("t.w").alias("w"))
-    vectors = VectorAssembler(inputCols=["margin"], outputCol="x").transform(pairs)
-    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, maxIter=100).fit(vectors)
+def score_folds(assigned: DataFrame, fitted: dict[int, CalibratedModel], names: list[str], kind: str) -> DataFrame:
+    """Every fold's train and test rows with the score of the fold's model."""
+    parts = [model.transform(assigned.filter(F.col("fold_id") == fold)) for fold, model in fitted.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.drop(*names).withColumn("model", F.lit(kind))
 
 
 def walk_forward_scores(
@@ -156,20 +65,23 @@ def walk_forward_scores(
 ) -> DataFrame:
     """Scores of every fold's train and test rows.
 
-    `assigned` has (symbol, bar_date, label, features..., fold_id, split) with
-    complete rows.  The scaler is fitted on train rows only.
+    `assigned` has (symbol, bar_date, label, features..., fold_id, split) with complete rows.  Scaler, base models and
+    sigmoids are fitted on train rows only.
     """
+    if calibrate:
+        return score_folds(assigned, fit_folds(assigned, fold_ids, names, kind, rounds), names, kind)
     scaled = apply_scaler(assigned, fit_scaler(assigned.filter("split = 'train'"), names), names)
-    vectors = cut(assemble(scaled, names))
-    parts = []
-    for fold in fold_ids:
+    vectors = cut(assemble(scaled, names)).drop(*names)
+
+    def score(fold: int) -> DataFrame:
         rows = vectors.filter(F.col("fold_id") == fold)
         train = rows.filter("split = 'train'")
-        if calibrate:
-            scored = fit_calibrated(train, kind, rounds).transform(rows)
-        else:
-            scored = fit_base(train, kind, rounds).transform(rows).withColumn("score", _probability()).drop(*_OUTPUTS)
-        parts.append(scored.drop("features"))
+        train = train.coalesce(max(1, math.ceil(train.count() / PARTITION_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+        base = fit_base(train, kind, rounds)
+        train.unpersist()
+        return base.transform(rows).withColumn("score", _probability()).drop(*_OUTPUTS, "features")
+
+    parts = side_by_side(assigned.sparkSession, [lambda f=f: score(f) for f in fold_ids], FOLDS_AT_ONCE, "fold")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -184,11 +96,9 @@ def with_decisions(scored: DataFrame) -> DataFrame:
     return test.withColumn("pred", F.col("score") >= F.col("threshold"))
 
 
-def coefficients(models: dict[int, object], names: list[str], spark) -> DataFrame:
-    """(fold_id, feature, coefficient) of fitted logistic models; one short list per fold."""
-    rows = [
-        (fold, name, float(value)) for fold, m in models.items() for name, value in zip(names, m.coefficients.toArray())
-    ]
+def coefficients(models: dict[int, CalibratedModel], spark) -> DataFrame:
+    """(fold_id, feature, coefficient): mean over the base models of each fold; one short list per fold."""
+    rows = [(fold, name, value) for fold, m in models.items() for name, value in m.coefficients().items()]
     return spark.createDataFrame(rows, "fold_id int, feature string, coefficient double")
 
 
@@ -201,23 +111,17 @@ def coefficient_stability(table: DataFrame) -> DataFrame:
     ).orderBy(F.desc("mean_abs"), "feature")
 
 
-def fit_final(rows: DataFrame, names: list[str], kind: str, path: str | None = None, rounds: int = 300) -> PipelineModel:
-    """Assembler and model on all complete rows; saved when a path is given."""
-    clean = class_weights(rows.na.drop(subset=[*names, "label"]), "label", WEIGHTS[kind])
-    stages = [
-        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error"),
-        make_model(kind, clean.count() if kind == "logistic" else 0, rounds),
-    ]
-    model = Pipeline(stages=stages).fit(clean)
+def fit_final(rows: DataFrame, names: list[str], kind: str, path: str | None = None, rounds: int = 300) -> CalibratedModel:
+    """Scaler, base models and sigmoids on all complete rows; saved as one model when a path is given."""
+    model = CalibratedClassifier(names, kind, rounds).fit(rows)
     if path:
         model.write().overwrite().save(path)
     return model
 
 
-def score_batch(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score_batch(model: CalibratedModel, rows: DataFrame) -> DataFrame:
     """Probability of the positive class; works on tables and on streams.
 
     Rows with a missing feature are an error, as is a missing column.
     """
-    given = rows.columns
-    return model.transform(rows).withColumn("score", _probability()).select(*given, "score")
+    return model.transform(rows)

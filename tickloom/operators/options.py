@@ -9,7 +9,7 @@ from tickloom.functions.lineage import small
 from tickloom.functions.blocks import rolling
 from tickloom.functions.prefix import exact_percentiles
 from tickloom.functions.scalars import attach_row
-from tickloom.functions.pricing import implied_vol, is_call, with_greeks
+from tickloom.functions.pricing import BRACKET, implied_vol, is_call, with_greeks
 from tickloom.functions.rolling import lead
 
 GREEKS = ("delta", "gamma", "vega", "theta", "rho")
@@ -29,10 +29,12 @@ def chain_greeks(chain: DataFrame, rate: float = 0.05, years: Column | None = No
     )
 
 
-def with_implied_vol(chain: DataFrame, quote: Column, rate: float = 0.05, years: Column | None = None, out: str = "bs_iv") -> DataFrame:
+def with_implied_vol(
+    chain: DataFrame, quote: Column, rate: float = 0.05, years: Column | None = None, out: str = "bs_iv", bracket: tuple[float, float] = BRACKET
+) -> DataFrame:
     years = years_to_expiry(0.001) if years is None else years
     return chain.withColumn(
-        out, implied_vol(quote, F.col("spot"), F.col("strike"), years, F.lit(rate), is_call(F.col("option_type")))
+        out, implied_vol(quote, F.col("spot"), F.col("strike"), years, F.lit(rate), is_call(F.col("option_type")), bracket)
     )
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tickloom.functions.lineage import cut, shared_folder
 from tickloom.functions.scalars import attach_row
 from tickloom.operators import drift, evaluate, folds, frame, governance, labels, ledger, models
+from tickloom.operators.calibrated import CalibratedModel
 from tickloom.plans import views
+from tickloom.plans.evaluation_queries import _ALL_CTE, _ASSIGNED, _COMPLETE, _FOLDS, _LABEL
 from tickloom.plans.monitoring_queries import _LOG, decision_log, monitoring_results
 from tickloom.plans.registry import ORACLE, query, rounded
 from tickloom.sources.audit_log import append_audit, read_audit
@@ -60,6 +62,59 @@ _model_query("model_boosted_auto_weight", "boosted_b")
 _model_query("model_calibrated_logistic", "logistic")
 
 
+# What is known of a fit without fitting: rows and positives of every fold, the parts of its model, and which rules its
+# scores must keep.  Counts of rows that keep a rule stand beside the counts of rows.
+
+_DATASET_SQL = f"{_ALL_CTE}, {_LABEL}, bars AS (SELECT symbol, bar_date, transition AS label FROM fl WHERE {_COMPLETE})"
+_FOLD_ROWS_SQL = (
+    f"{_DATASET_SQL}{_FOLDS.removeprefix(views.BARS_SQL)}{_ASSIGNED}, fr AS (SELECT fold_id, split, symbol, bar_date, label FROM asg JOIN bars USING (symbol, bar_date) "
+    "WHERE fold_id IN (SELECT fold_id FROM asg GROUP BY fold_id HAVING count(*) FILTER (WHERE split = 'train') >= 100 AND count(*) FILTER (WHERE split = 'test') >= 50))"
+)
+#: Trees of a base model and their greatest depth.
+_TREES = {"logistic": (0, 0), "random_forest": (200, 6), "boosted_a": (300, 4), "boosted_b": (300, 4)}
+
+
+def _close(a, b):
+    return F.abs(a - b) <= 1e-12
+
+
+def _facts_sql(kind: str) -> str:
+    trees, _ = _TREES[kind]
+    return (
+        f"{_FOLD_ROWS_SQL} SELECT '{kind}' AS model, fold_id, count(*) FILTER (WHERE split = 'train') AS train_rows, CAST(sum(label) FILTER (WHERE split = 'train') AS BIGINT) AS train_positives, "
+        "count(*) FILTER (WHERE split = 'test') AS test_rows, CAST(sum(label) FILTER (WHERE split = 'test') AS BIGINT) AS test_positives, "
+        f"CAST(3 AS INTEGER) AS bases, CAST({3 * trees} AS INTEGER) AS trees, true AS within_depth, count(*) AS in_range, count(*) AS mean_of_sigmoids FROM fr GROUP BY fold_id"
+    )
+
+
+def _facts_query(kind: str):
+    @query(f"model_facts_{kind}", _facts_sql(kind))
+    def run(spark, sf):
+        rows, fold_ids = assigned(spark, sf)
+        fitted = models.fit_folds(rows, fold_ids, NAMES, kind)
+        parts = []
+        for fold, model in fitted.items():
+            own = rows.filter(F.col("fold_id") == fold)
+            # The same rows once more through each base and its own sigmoid.
+            each = [1 / (1 + F.exp(-(F.lit(slope) * F.col(f"_m{i}") + F.lit(shift)))) for i, (slope, shift) in enumerate(model.sigmoids)]
+            again = model.transform(model.margins(own)).withColumn("mean", sum(each) / len(each))
+            trees = model.trees()
+            parts.append(again.groupBy("fold_id").agg(
+                F.count_if(F.col("split") == "train").alias("train_rows"), F.sum(F.when(F.col("split") == "train", F.col("label").cast("long"))).alias("train_positives"),
+                F.count_if(F.col("split") == "test").alias("test_rows"), F.sum(F.when(F.col("split") == "test", F.col("label").cast("long"))).alias("test_positives"),
+                F.lit(len(model.bases)).alias("bases"), F.lit(sum(n for n, _ in trees)).alias("trees"),
+                F.lit(all(depth <= _TREES[kind][1] for _, depth in trees)).alias("within_depth"),
+                F.count_if(F.col("score").between(0, 1)).alias("in_range"), F.count_if(_close(F.col("score"), F.col("mean"))).alias("mean_of_sigmoids")))
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.unionByName(part)
+        return table.withColumn("model", F.lit(kind))
+
+
+for _kind in _TREES:
+    _facts_query(_kind)
+
+
 @query("batch_scoring")
 def batch_scoring(spark, sf):
     rows = dataset(spark, sf)
@@ -67,27 +122,51 @@ def batch_scoring(spark, sf):
     return rounded(models.score_batch(model, rows), {"score": 6}, ("symbol", "bar_date", "label"))
 
 
+def _saved(spark, rows):
+    """A final model, and the same model saved and loaded."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    return models.fit_final(rows, NAMES, "logistic", path), CalibratedModel.load(path)
+
+
 @query("final_model")
 def final_model(spark, sf):
     """Fit on everything, save, load, score."""
-    from pyspark.ml import PipelineModel
+    rows = dataset(spark, sf)
+    return rounded(models.score_batch(_saved(spark, rows)[1], rows), {"score": 6}, ("symbol", "bar_date"))
+
 
+@query("final_model_facts", f"{_DATASET_SQL} SELECT symbol, bar_date, label, true AS in_range, true AS same_when_loaded FROM bars")
+def final_model_facts(spark, sf):
+    """Every complete row gets a probability, and the saved model gives the same one."""
     rows = dataset(spark, sf)
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    models.fit_final(rows, NAMES, "logistic", path)
-    return rounded(models.score_batch(PipelineModel.load(path), rows), {"score": 6}, ("symbol", "bar_date"))
+    made, loaded = _saved(spark, rows)
+    both = models.score_batch(loaded, models.score_batch(made, rows).withColumnRenamed("score", "first"))
+    return both.select("symbol", "bar_date", "label", F.col("score").between(0, 1).alias("in_range"), _close(F.col("score"), F.col("first")).alias("same_when_loaded"))
+
+
+def _fold_models(spark, sf):
+    rows, fold_ids = assigned(spark, sf)
+    return models.fit_folds(rows, fold_ids, NAMES, "logistic")
 
 
 @query("coefficient_stability")
 def coefficient_stability(spark, sf):
-    rows, fold_ids = assigned(spark, sf)
-    scaled = frame.apply_scaler(rows, frame.fit_scaler(rows.filter("split = 'train'"), NAMES), NAMES)
-    vectors = cut(models.assemble(scaled.filter("split = 'train'"), NAMES))
-    fitted = {f: models.fit_base(vectors.filter(F.col("fold_id") == f), "logistic") for f in fold_ids}
-    table = models.coefficient_stability(models.coefficients(fitted, NAMES, spark))
+    table = models.coefficient_stability(models.coefficients(_fold_models(spark, sf), spark))
     return rounded(table, {c: 6 for c in ("mean", "mean_abs", "std", "positive_fraction")}, ("feature",))
 
 
+@query(
+    "coefficient_facts",
+    f"{_FOLD_ROWS_SQL} SELECT feature, fold_id, CAST(3 AS INTEGER) AS bases, true AS mean_of_bases FROM (SELECT DISTINCT fold_id FROM fr), (VALUES {', '.join(f'({n!r})' for n in NAMES)}) AS v(feature)",
+)
+def coefficient_facts(spark, sf):
+    """A fold's coefficient lies at the mean of its base models' coefficients."""
+    fitted = _fold_models(spark, sf)
+    each = [(f, n, float(b.coefficients[i])) for f, m in fitted.items() for b in m.bases for i, n in enumerate(NAMES)]
+    means = spark.createDataFrame(each, "fold_id int, feature string, value double").groupBy("fold_id", "feature").agg(F.avg("value").alias("value"), F.count("*").cast("int").alias("bases"))
+    return models.coefficients(fitted, spark).join(means, ["fold_id", "feature"]).select("feature", "fold_id", "bases", _close(F.col("value"), F.col("coefficient")).alias("mean_of_bases"))
+
+
 @query("walk_forward_ledger")
 def walk_forward_ledger(spark, sf):
     """Train scores give the Kelly fraction of each fold, test scores its ledger."""
@@ -170,6 +249,16 @@ def stream_scoring(spark, sf):
     return rounded(scored, {"score": 6}, ("symbol", "bar_date"))
 
 
+@query("stream_scoring_facts", f"{_DATASET_SQL} SELECT symbol, bar_date, label, true AS in_range, true AS same_as_batch FROM bars")
+def stream_scoring_facts(spark, sf):
+    """The loaded model gives a stream the scores that it gives the table."""
+    rows = dataset(spark, sf)
+    _, model = _saved(spark, rows)
+    first = models.score_batch(model, rows).withColumnRenamed("score", "first")
+    scored = run_to_table(models.score_batch(model, _stream(spark, first)), spark)
+    return scored.select("symbol", "bar_date", "label", F.col("score").between(0, 1).alias("in_range"), _close(F.col("score"), F.col("first")).alias("same_as_batch"))
+
+
 _STREAM_DRIFT = f"""WITH {views.PERIODS_SQL},
 w AS (SELECT model, time_bucket(INTERVAL 30 DAY, CAST(bar_date AS TIMESTAMP), TIMESTAMP '1970-01-01') AS batch, count(*) FILTER (WHERE pred) AS predicted, count(*) FILTER (WHERE pred AND label = 1) AS hits FROM sp GROUP BY 1, 2),
 v AS (SELECT model, CAST(batch AS DATE) AS batch, coalesce(hits / nullif(predicted, 0)::DOUBLE, 0.0) AS value FROM w

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import cut
-from tickloom.functions.pricing import greeks_sql
+from tickloom.functions.pricing import greeks_sql, implied_vol_sql
 from tickloom.operators import implied, intraday, options
 from tickloom.plans import views
 from tickloom.plans.registry import query, rounded
@@ -46,9 +46,12 @@ def implied_vol(spark, sf):
     return rounded(solved, {"bs_iv": 4}, _KEY)
 
 
-@query("implied_vol_chain")
+_IV = f"WITH RECURSIVE {_G}, iq AS (SELECT {_KEYS}, s, k, t, c, price AS q FROM g)" + implied_vol_sql("iq")
+
+
+@query("implied_vol_chain", f"{_IV} SELECT {_KEYS}, round(root, 4) + 0.0 AS bs_iv FROM iv")
 def implied_vol_chain(spark, sf):
-    """Every contract; NULL where the quote does not determine a volatility (needs a root finder, so no SQL twin)."""
+    """Every contract; NULL where the quote does not determine a volatility."""
     priced = options.chain_greeks(views.chain(spark, sf))
     solved = options.with_implied_vol(priced, F.col("price"), years=options.years_to_expiry())
     return rounded(solved, {"bs_iv": 4}, _KEY)
@@ -75,9 +78,14 @@ def validate_chain_report(spark, sf):
     return rounded(table, {"T": 4, "market_mid": 4, "bs_price": 4, "pricing_error_pct": 6}, (*_KEY, "within_tolerance"))
 
 
-@query("validate_chain_iv")
+@query(
+    "validate_chain_iv",
+    f"WITH RECURSIVE {_ERR}, iq AS (SELECT symbol, as_of, pe, implied_volatility AS v, s, k, t, c, mid AS q FROM er)" + implied_vol_sql("iq")
+    + " SELECT symbol, as_of, count(*) AS n_contracts, round(avg(pe), 6) + 0.0 AS avg_pricing_error_pct, round(avg(CASE WHEN pe <= 0.1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS within_tolerance_pct, "
+    "round(avg(abs(root - v) / (v + 1e-6)), 4) + 0.0 AS avg_iv_error_pct FROM iv GROUP BY 1, 2",
+)
 def validate_chain_iv(spark, sf):
-    """The full report with implied-volatility errors (needs a root finder, so no SQL twin)."""
+    """The full report with implied-volatility errors."""
     table = options.validate_chain(views.chain(spark, sf))
     return rounded(
         table, {"avg_pricing_error_pct": 6, "within_tolerance_pct": 6, "avg_iv_error_pct": 4}, ("symbol", "as_of", "n_contracts")
@@ -93,7 +101,7 @@ def nearest_expiry(spark, sf):
 
 
 _PAIRS = """,
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT symbol, as_of, expiration_date, strike, min(bid) FILTER (WHERE option_type = 'call') AS cb, min(bid) FILTER (WHERE option_type = 'put') AS pb,
          min(ask) FILTER (WHERE option_type = 'call') AS ca, min(ask) FILTER (WHERE option_type = 'put') AS pa
   FROM chain GROUP BY 1, 2, 3, 4),
@@ -121,7 +129,7 @@ sig AS (
   SELECT symbol, as_of, spot AS spot_entry, coalesce(lead(as_of, {hold}) OVER w, last_value(as_of) OVER f) AS exit_date,
          coalesce(lead(spot, {hold}) OVER w, last_value(spot) OVER f) AS spot_exit
   FROM spot WINDOW w AS (PARTITION BY symbol ORDER BY as_of), f AS (PARTITION BY symbol ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-trades AS (
+trades AS MATERIALIZED (
   SELECT g.symbol, g.as_of, g.exit_date, a.expiration_date, a.strike, g.spot_entry, g.spot_exit, a.ca + a.pa AS entry_debit,
          CASE WHEN g.exit_date < a.expiration_date THEN x.cb + x.pb ELSE abs(g.spot_exit - a.strike) END AS exit_value,
          CASE WHEN a.strike IS NULL THEN 'no eligible expiry' WHEN g.exit_date < a.expiration_date AND x.strike IS NULL THEN 'no exit quotes' ELSE 'traded' END AS status
