@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.blocks import gather, rolling, spread
-from tickloom.functions.prefix import average_ranks, exact_percentiles, number_rows, order_cell, running, top_rows
+from tickloom.functions.prefix import average_ranks, exact_percentiles, fine_cells, number_rows, order_cell, running, top_rows
 from tickloom.functions.rolling import mean_n
 
 
@@ -92,3 +92,53 @@ def test_blocks_equal_one_window(spark, block_rows):
     want = pdf.sort_values(["symbol", "day"]).groupby("symbol")["x"].rolling(30).mean().to_numpy()
     assert len(got) == len(pdf)
     np.testing.assert_allclose(got["m"].astype(float), want, rtol=1e-9, atol=1e-12)
+
+
+# --- cells that hold very many values ---------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Distinct values that share one cell of a 1024th of an octave, most of them close to its lower end, and some others."""
+    rng = np.random.default_rng(5)
+    near = 1.0 + 2.0**-11 * 10.0 ** rng.uniform(-9, 0, 4000)
+    values = np.unique(np.concatenate([near, rng.normal(0, 1, 300), -near, [1e308, -1e308, 0.0]]))
+    rng.shuffle(values)
+    pdf = pd.DataFrame({"key": np.where(rng.random(len(values)) < 0.7, "hot", "other"), "value": values, "label": (rng.random(len(values)) < 0.2).astype(int)})
+    pdf = pd.concat([pdf, pdf.sample(500, random_state=1)], ignore_index=True)
+    return pdf, spark.createDataFrame(pdf).repartition(5).cache()
+
+
+def test_full_cells_are_split_until_none_is_full(crowded):
+    _, df = crowded
+    distinct = df.select("key", "value").distinct()
+    assert distinct.groupBy("key", order_cell(F.col("value"))).count().agg(F.max("count")).first()[0] > 1_000
+    cells = fine_cells(distinct, ["key"], "value", rows=100)
+    assert cells.groupBy("key", "_cell").count().agg(F.max("count")).first()[0] <= 100
+    assert cells.count() == distinct.count()
+    for rows in cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("value", "_cell"))).alias("r")).collect():
+        paths = [tuple(x._cell) for x in rows.r]
+        assert paths == sorted(paths)
+    same = df.select(F.lit("k").alias("key"), F.lit(2.5).alias("value"))
+    assert fine_cells(same, ["key"], "value", rows=10).select(F.size("_cell")).distinct().count() == 1
+
+
+def test_results_do_not_depend_on_the_bound(crowded, monkeypatch):
+    from tickloom.functions import prefix
+
+    pdf, df = crowded
+    monkeypatch.setattr(prefix, "CELL_ROWS", 50)
+    probs = [0.0, 0.2, 0.45, 0.5, 0.55, 0.9, 1.0]
+    want = pdf.groupby("key")["value"].apply(lambda v: np.quantile(v, probs))
+    for r in exact_percentiles(df, ["key"], "value", probs).collect():
+        np.testing.assert_allclose(r.q, want[r.key], rtol=1e-15)
+    ranks = pdf.groupby("key")["value"].rank()
+    got = {(r.key, r.value): r.avg_rank for r in average_ranks(df, ["key"], "value", {"pos": F.col("label")}).collect()}
+    assert all(got[k, v] == n for k, v, n in zip(pdf.key, pdf.value, ranks))
+    top = top_rows(df, ["key"], "value", {"ten": F.lit(10), "tenth": F.ceil(F.col("group_size") / 10)}, F.col("label"), [F.col("label")])
+    sizes = pdf.key.value_counts()
+    found = top.groupBy("key", "list").agg(F.count("*").alias("n"), F.min("value").alias("low")).collect()
+    assert len(found) == 4
+    for r in found:
+        k = 10 if r.list == "ten" else -(-sizes[r.key] // 10)
+        assert r.n == k and r.low == pdf.value[pdf.key == r.key].nlargest(k).min()

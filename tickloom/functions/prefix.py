@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import small
+from tickloom.functions.lineage import cut, small
 
 CELLS_PER_OCTAVE = 1024
+#: Rows of an ordered cell above which it is split by its own range of values.
+CELL_ROWS = 100_000
 
 
 def order_cell(value: Column) -> Column:
@@ -34,6 +36,28 @@ def order_cell(value: Column) -> Column:
     )
 
 
+def fine_cells(df: DataFrame, keys: list[str], value: str, out: str = "_cell", rows: int | None = None) -> DataFrame:
+    """Add ordered cells of a written table's `value`, none of which has more than `rows` rows unless they all are equal.
+
+    A cell is the path of a tree: first the cell of `order_cell`, then, where that is too full, an equal part of the range
+    of values that it really holds, and so on until no cell is too full.  Paths are arrays, which compare like the values.
+    Each level is one aggregate over the table, combined before its shuffle; usually the first finds nothing to split.
+    """
+    most = CELL_ROWS if rows is None else rows
+    celled = df.withColumn(out, F.array(order_cell(F.col(value))))
+    while True:
+        full = celled.groupBy(*keys, out).agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        full = full.filter((F.col("_n") > most) & (F.col("_low") < F.col("_high")))
+        split = cut(full.select(*keys, out, "_low", "_high", (2 * F.ceil(F.col("_n") / most)).alias("_parts")))
+        if split.isEmpty():
+            return celled
+        # Halved, so that the range of a cell cannot overflow.
+        place = (F.col(value) / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * F.col("_parts")
+        part = F.least(F.floor(place), F.col("_parts") - 1)
+        path = F.when(F.col("_parts").isNotNull(), F.array_append(out, part)).otherwise(F.col(out))
+        celled = celled.join(small(split), [*keys, out], "left").withColumn("_path", path).select(*df.columns, F.col("_path").alias(out))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -129,17 +153,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         (F.col("_s.r") - F.col("_skip")).alias("_r"),
     )
     needed = targets.select(*keys, "_cell").distinct()
-    inside = (
-        rows.join(small(needed), [*keys, "_cell"], "left_semi")
-        .groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_upto",
-            F.sum("_n").over(
-                Window.partitionBy(*keys, "_cell").orderBy("_v")
-                .rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-    )
+    counted = cut(rows.join(small(needed), [*keys, "_cell"], "left_semi").groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n")))
+    inside = running(fine_cells(counted, [*keys, "_cell"], "_v", "_fine"), [*keys, "_cell"], F.col("_fine"), [F.col("_v")], sums={"_upto": F.col("_n")})
     found = inside.join(targets, [*keys, "_cell"]).filter("_r >= _upto - _n AND _r < _upto")
     picks = []
     for i in range(len(probs)):
@@ -158,13 +173,13 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str,
     the rows) and summed up to it as `<name>_upto`.  Adds `n` (rows with the
     value), `upto` (rows up to it) and `avg_rank` (1-based).
     """
-    table = df.groupBy(*keys, value).agg(
+    table = cut(df.groupBy(*keys, value).agg(
         F.count("*").alias("n"), *[F.sum(w).alias(name) for name, w in weights.items()]
-    )
+    ))
     ranked = running(
-        table, keys, order_cell(F.col(value)), [F.col(value)],
+        fine_cells(table, keys, value), keys, F.col("_cell"), [F.col(value)],
         sums={"upto": F.col("n"), **{f"{name}_upto": F.col(name) for name in weights}},
-    )
+    ).drop("_cell")
     return ranked.withColumn("avg_rank", F.col("upto") - F.col("n") / 2.0 + 0.5)
 
 
@@ -185,8 +200,8 @@ def top_rows(
     `tie_bucket` so that a score shared by very many rows stays parallel.
     Returns the rows with `list` (label), `k` and `group_size`.
     """
-    hist = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    cum = running(hist, keys, -order_cell(F.col(score)), [F.desc(score)], sums={"_upto": F.col("_n")})
+    hist = cut(df.groupBy(*keys, score).agg(F.count("*").alias("_n")).withColumn("_down", -F.col(score).cast("double")))
+    cum = running(fine_cells(hist, keys, "_down"), keys, F.col("_cell"), [F.desc(score)], sums={"_upto": F.col("_n")})
     sizes = df.groupBy(*keys).agg(F.count("*").alias(size))
     lists = sizes.select(
         *keys, size,
