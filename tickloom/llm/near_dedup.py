@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.lineage import cut
 from tickloom.llm.arrow import byte_column, in_slices, once
-from tickloom.llm.components import components
+from tickloom.llm.components import components, counted, merge_join
 from tickloom.llm.hashing import Rolling, Words, mixed
 
 SAMPLES, BANDS, BITS = 128, 32, 256
@@ -253,10 +253,15 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after new links between nodes."""
-    ends = links.join(of.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a").join(of.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b")
-    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return cut(of.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    ends = merge_join(links, of.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a")
+    ends = merge_join(ends, of.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b")
+    return _moved(of, components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+
+
+def _moved(of: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component) after components have become part of others."""
+    moved = joined.filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(merge_join(of, moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,37 +283,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id:
     classes = cut(linked.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch"), F.min("n").alias("n"), F.min_by("bands", "id").alias("bands")))
     banded = classes.select(F.explode("bands").alias("key"), "node")
     buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(banded.join(buckets, "key"))
+    members = cut(merge_join(banded, buckets, "key"))
     of = cut(members.select("node").distinct().withColumn("component", F.col("node")))
-    features = cut(classes.select("node", "sketch", "n", "bands").join(of.select("node"), "node"))
+    features = cut(merge_join(classes.select("node", "sketch", "n", "bands"), of.select("node"), "node"))
     sets = cut(slim.join(of.select(F.col("node").alias("id")), "id").select(F.col("id").alias("node"), "text").mapInArrow(_sets(words), "node bigint, shingles binary"))
 
     star = members.filter("node <> first").groupBy("node").agg(F.min("first").alias("b")).select(F.col("node").alias("a"), "b")
-    of = _merged(of, _links(star, sets, percent))
+    of = _moved(of, components(_links(star, sets, percent)))  # every node is its own component so far
     for last in (False, False, True):
-        placed = members.select("key", "node", "size").join(of, "node")
+        placed = merge_join(members.select("key", "node", "size"), of, "node")
         # Buckets that still have two components; larger ones in tiles of two blocks, all of whose pairs meet once.
         split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         blocks = F.ceil(F.col("size") / (SET_TILE if last else TILE)).cast("int")
-        open_ = placed.join(split, "key").withColumn("blocks", blocks)
+        open_ = merge_join(placed, split, "key").withColumn("blocks", blocks)
         open_ = open_.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
         tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("side")).cast("long") * F.col("blocks") + F.greatest(j, F.col("side")))
-        open_ = open_.withColumn("tile", F.explode(tiles)).select("key", "tile", "side", "node", "component").join(features if last else features.drop("bands"), "node")
+        open_ = merge_join(open_.withColumn("tile", F.explode(tiles)).select("key", "tile", "side", "node", "component"), features if last else features.drop("bands"), "node")
         open_ = open_.join(sets, "node") if last else open_
         dealt = open_.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile", "node")
         found = dealt.mapInArrow(_in_tiles(_joined if last else _partners, percent), "a bigint, b bigint")
         if last:
             with _batches_of(spark, SET_ROWS):
-                links = cut(found)
+                links, many = counted(found)
         else:
-            links = cut(_links(found.distinct(), sets, percent))
-        if not links.isEmpty():
+            links, many = counted(_links(found.distinct(), sets, percent))
+        if many:
             of = _merged(of, links)
 
-    grouped = classes.select("d1", "d2", "node").join(of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    grouped = merge_join(classes.select("d1", "d2", "node"), of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n", "d1", "d2")
     # Copies of one text share a key here: narrow rows, whose join adaptive execution splits.
-    result = rows.filter("n > 0 AND id IS NOT NULL").join(grouped, ["d1", "d2"]).select("id", "n", "component")
+    result = merge_join(rows.filter("n > 0 AND id IS NOT NULL"), grouped, ["d1", "d2"]).select("id", "n", "component")
     alone = rows.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     kind: T.DataType = docs.schema[doc_id].dataType
     return result.unionByName(alone).select(
