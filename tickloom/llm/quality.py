@@ -23,16 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import cut
 from tickloom.llm.arrow import byte_column, in_slices, once
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the labelled sample: rows for each dictionary, rows for the curve, and bytes of a text to be in it."""
+    """Bounds of the labelled sample: rows for each dictionary, rows for the curve, bytes of a text to be in it, and bytes
+    of all texts of a list (about a hundred times a dictionary, as zstandard advises): the driver holds one list at a time.
+    """
 
     dictionary_rows: int = 2_000
     curve_rows: int = 4_000
     most_bytes: int = 100_000
+    list_bytes: int = 12_000_000
     dictionary_bytes: int = 112_640
     part: int = 1_000
     level: int = 3
@@ -104,26 +108,42 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         take(marked.filter("fold IN (1, 2, 3) AND y = 0"), fit.dictionary_rows)).unionByName(take(marked.filter("fold = 4"), fit.curve_rows))
     chosen = chosen.dropDuplicates(["id"])
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text").between(1, fit.most_bytes))
-    # `chosen` has a fixed number of rows at most (4 x dictionary_rows + 2 x curve_rows), so it may be broadcast.
-    sample = texts.join(F.broadcast(chosen), "id")
-    cells = {}
-    for name, where, n in (("good", "fold <> 4 AND y = 1", fit.dictionary_rows), ("bad", "fold <> 4 AND y = 0", fit.dictionary_rows), ("curve", "fold = 4", fit.curve_rows)):
-        cells[name] = sample.filter(where).orderBy("h", "id", "text").limit(n).collect()
+    # `chosen` has a fixed number of rows at most (4 x dictionary_rows + 2 x curve_rows), so it may be broadcast, and the
+    # sample is written once.
+    sample = cut(texts.join(F.broadcast(chosen), "id").select("id", "y", "fold", "h", "text", F.octet_length("text").alias("size")))
+    sizes = sample.select("fold", "y", "h", "id", "size").collect()
     content = []
-    for name in ("good", "bad"):
-        parts = [r["text"].encode()[i:i + fit.part] for r in cells[name] for i in range(0, len(r["text"].encode()), fit.part)]
+    for y in (1, 0):
+        own = _list(sample, sizes, lambda r, y=y: r["fold"] != 4 and r["y"] == y, (F.col("fold") != 4) & (F.col("y") == y), fit.dictionary_rows, fit.list_bytes)
+        parts = [t[i:i + fit.part] for _, t in own for i in range(0, len(t), fit.part)]
         try:
             content.append(zstandard.train_dictionary(fit.dictionary_bytes, parts).as_bytes())
         except zstandard.ZstdError:
             content.append(b"\n".join(parts)[-fit.dictionary_bytes:])
-    y = np.array([r["y"] for r in cells["curve"]], float)
+        del own, parts
+    curve = _list(sample, sizes, lambda r: r["fold"] == 4, F.col("fold") == 4, fit.curve_rows, fit.list_bytes)
+    y = np.array([label for label, _ in curve], float)
     share = float(y.mean()) if len(y) else 0.5
     if not content[0] or not content[1] or len(set(y)) < 2:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(content[0] or b" " * 8, content[1] or b" " * 8, math.log(share / (1 - share)), 0.0, fit)
-    sizes = Sizes(*content, fit)
-    x = np.array([sizes.difference(r["text"].encode()) for r in cells["curve"]])
-    return Model(*content, *_logistic(x, y), fit)
+    ratio = Sizes(*content, fit)
+    return Model(*content, *_logistic(np.array([ratio.difference(t) for _, t in curve]), y), fit)
+
+
+def _list(sample: DataFrame, sizes: list, mine, where: Column, rows: int, most: int) -> list[tuple[int, bytes]]:
+    """(label, text) of the sample's rows with the smallest hashes, up to a number of rows and of bytes; whole texts."""
+    ordered, last, total = sorted((r["h"], r["id"], r["size"]) for r in sizes if mine(r)), None, 0
+    for h, i, size in ordered[:rows]:
+        total += size
+        if total > most:
+            break
+        last = (h, i)
+    if last is None:
+        return []
+    upto = (F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("id") <= last[1]))
+    found = sample.filter(where & upto).select("h", "id", "y", F.col("text").cast("binary").alias("text")).collect()
+    return [(r["y"], bytes(r["text"])) for r in sorted(found, key=lambda r: (r["h"], r["id"], r["text"]))]
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, keep_row: bool = False) -> DataFrame:
