@@ -59,6 +59,57 @@ def test_alert_positions_expire(spark, tmp_path):
     assert got == {("A", 1): True, ("B", 1): False, ("D", 2): True, ("C", 2): False, ("B", 8): True, ("E", 8): False}
 
 
+ALERTS = "book string, symbol string, sector string, bar_date date, score double"
+
+
+def walk(rows, capacity=10, hold=5):
+    """The plain sequential walk: date, then score descending, then symbol."""
+    held, out = {}, {}
+    for book, symbol, sector, day, score in sorted(rows, key=lambda r: (r[0], r[3], -r[4], r[1])):
+        near = [h for h in held.get(book, []) if 0 <= (day - h[2]).days < hold]
+        same, overlap = sum(h[0] == symbol and (day - h[2]).days < 5 for h in near), sum(h[1] == sector for h in near)
+        ok = score >= 0.55 and len(near) < capacity and same < 3 and score - 0.15 * overlap >= 0.55
+        if ok:
+            held.setdefault(book, []).append((symbol, sector, day))
+        out[book, symbol, day] = ok
+    return out
+
+
+def random_alerts(seed, days=12):
+    import random
+
+    rng = random.Random(seed)
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    return [(b, f"S{k}", f"sec{k % 12}", d(n), round(rng.uniform(0.4, 1.0), 3)) for b in "xy" for n in range(days) for k in rng.sample(range(60), 25)]
+
+
+def test_batches_decide_like_the_sequential_walk(spark, tmp_path, monkeypatch):
+    from tickloom.operators import alerts as batch
+
+    rows = random_alerts(1)
+    monkeypatch.setattr(batch, "_SHORTLIST", 8)  # many rounds
+    split = [[r for r in rows if lo <= r[3].toordinal() - dt.date(2024, 1, 1).toordinal() < lo + 6] for lo in (0, 6)]
+    for name, batches in (("one", [rows]), ("two", split)):
+        table = alerts.decide_batches(steps(spark, tmp_path, ALERTS, batches, name), spark, str(tmp_path / f"{name}-out"))
+        got = table.collect()
+        assert len(got) == len(rows) and {(r.book, r.symbol, r.bar_date): r.approved for r in got} == walk(rows)
+        assert all((r.reason == "approved") == r.approved and r.approved == (r.adjusted_score != r.score or r.approved) for r in got)
+
+
+def test_late_alerts_get_a_row_and_repeated_batches_change_nothing(spark, tmp_path):
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[("b", "A", "s", d(60), 0.9)], [("b", "B", "t", d(20), 0.9), ("b", "C", "s", d(58), 0.9), ("b", "D", "u", d(20), 0.1), ("b", "E", "s", d(61), 0.6)]]
+    folder = str(tmp_path / "out")
+    decider = alerts.batch_decider(folder)
+    for k in (0, 1, 1):
+        decider(spark.createDataFrame(batches[k], ALERTS), k)
+    got = {r.symbol: (r.approved, r.reason) for r in spark.read.parquet(f"{folder}/decisions/batch=*").collect()}
+    assert got == {"A": (True, "approved"), "B": (False, "Too late (before 2024-01-31)"), "C": (True, "approved"), "D": (False, "Too late (before 2024-01-31)"), "E": (False, "Adjusted score 0.300 < min 0.550 (sector_overlap_2)")}
+    assert spark.read.parquet(f"{folder}/positions/batch=1").count() == 2
+    decider(spark.createDataFrame([], ALERTS), 2)
+    assert spark.read.parquet(f"{folder}/positions/batch=2").count() == 2 and spark.read.parquet(f"{folder}/newest/batch=2").first()[0] == d(61)
+
+
 def test_audit_append_is_sealed_and_repeatable(spark, tmp_path):
     rows = spark.createDataFrame([("X", dt.date(2024, 1, 2), 0.7)], "symbol string, bar_date date, score double")
     records = governance.prediction_records(rows, F.lit("v1"), F.col("bar_date").cast("timestamp"))

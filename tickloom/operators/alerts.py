@@ -140,6 +140,102 @@ def _explain(alerts: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
     )
 
 
+# --- decisions in the order of dates, with positions that expire ------------------------
+
+_HELD = "array<struct<d:date,s:double,symbol:string,sector:string>>"
+_STOP = "struct<d:date,s:double,symbol:string>"
+
+
+def _in_time() -> Column:
+    """Position in the order of dates: date, then score descending, then symbol."""
+    return F.struct(F.col("bar_date").alias("d"), (-F.col("score")).alias("s"), F.col("symbol").alias("symbol"))
+
+
+def _open_at(held: Column, day: Column, hold_days: int) -> Column:
+    return F.filter(held, lambda a: (F.datediff(day, a["d"]) >= 0) & (F.datediff(day, a["d"]) < hold_days))
+
+
+def _crowd(held: Column, symbol: Column, day: Column) -> Column:
+    return F.size(F.filter(held, lambda a: (a["symbol"] == symbol) & (a["d"] > F.date_sub(day, WINDOW_DAYS))))
+
+
+def decide_by_date(alerts: DataFrame, positions: DataFrame, capacity: int = CAPACITY, hold_days: int = 5) -> DataFrame:
+    """Approval in the order of dates, by score within a date, against positions that are open for `hold_days`.
+
+    Input: (book, symbol, sector, bar_date, score), and open positions (book, symbol, sector, bar_date) from before.
+    Adds `approved`, `reason` and `adjusted_score`.
+
+    Positions open at an alert's date only grow while it waits, so an alert that fails once fails for good.  A round takes
+    the first few alerts of each book and date that still pass (a row-number limit, which Spark applies before the shuffle)
+    and walks these lists date by date, up to a date whose list was cut off before the book was full; the next round goes
+    on there.  A list's first alert always passes, so every round makes progress; usually one or two are enough.
+    """
+    alerts = cut(alerts)
+    candidates = alerts.filter(F.col("score") >= MIN_SCORE).withColumn("place", _in_time())
+    before = positions.groupBy("book").agg(F.sort_array(F.collect_list(
+        F.struct(F.col("bar_date").alias("d"), F.lit(float("-inf")).alias("s"), "symbol", "sector"))).cast(_HELD).alias("held"))
+    state = cut(candidates.select("book").distinct().join(before, "book", "left").select(
+        "book", F.coalesce("held", F.array().cast(_HELD)).alias("held"), F.lit(None).cast(_STOP).alias("done"), F.lit(True).alias("open")))
+    while True:
+        state = cut(_walk_dates(candidates, state, capacity, hold_days))
+        if state.filter("open").isEmpty():
+            return _explain_by_date(alerts, state, capacity, hold_days)
+
+
+def _walk_dates(candidates: DataFrame, state: DataFrame, capacity: int, hold_days: int) -> DataFrame:
+    """One round: extend the positions of every open book by the lists of its dates."""
+    after = F.col("done").isNull() | (F.col("place") > F.col("done"))
+    there = _open_at(F.col("held"), F.col("bar_date"), hold_days)
+    passing = candidates.join(state.filter("open"), "book").filter(after).withColumn("there", there).filter(
+        (F.size("there") < capacity) & (_crowd(F.col("there"), F.col("symbol"), F.col("bar_date")) < PER_SYMBOL)
+        & (F.col("score") - SECTOR_PENALTY * _same_sector(F.col("there"), F.col("sector")) >= MIN_SCORE))
+    rank = F.row_number().over(Window.partitionBy("book", "bar_date").orderBy("place"))
+    first = passing.select("book", "bar_date", "place", "sector", "score", rank.alias("n")).filter(F.col("n") <= _SHORTLIST)
+    lists = first.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("place", "sector", "score", "n"))).alias("list"))
+
+    def step(acc, alert):
+        place, sector = alert["place"], alert["sector"]
+        near = _open_at(acc["near"], place["d"], hold_days)
+        fits = (
+            (F.size(near) < capacity) & (_crowd(near, place["symbol"], place["d"]) < PER_SYMBOL)
+            & (alert["score"] - SECTOR_PENALTY * _same_sector(near, sector) >= MIN_SCORE))
+        ok = acc["stop"].isNull() & fits
+        new = F.array(F.struct(place["d"].alias("d"), place["s"].alias("s"), place["symbol"].alias("symbol"), sector.alias("sector"))).cast(_HELD)
+        room = F.size(near) + F.when(ok, 1).otherwise(0) < capacity
+        stops = acc["stop"].isNull() & (alert["n"] == _SHORTLIST) & room
+        # Dates ascend: what has expired at one date stays expired.
+        kept = F.filter(acc["near"], lambda a: F.datediff(place["d"], a["d"]) < hold_days)
+        return F.struct(
+            F.when(ok, F.concat(kept, new)).otherwise(kept).alias("near"),
+            F.when(ok, F.concat(acc["added"], new)).otherwise(acc["added"]).alias("added"),
+            F.when(stops, place.cast(_STOP)).otherwise(acc["stop"]).alias("stop"))
+
+    start = F.struct(F.col("held").alias("near"), F.array().cast(_HELD).alias("added"), F.lit(None).cast(_STOP).alias("stop"))
+    walked = state.join(lists, "book", "left").withColumn("walked", F.aggregate(F.coalesce("list", F.array().cast(lists.schema["list"].dataType)), start, step))
+    stop = F.col("walked.stop")
+    return walked.select("book", F.concat("held", "walked.added").alias("held"), F.coalesce(stop, "done").alias("done"), (F.col("open") & stop.isNotNull()).alias("open"))
+
+
+def _explain_by_date(alerts: DataFrame, state: DataFrame, capacity: int, hold_days: int) -> DataFrame:
+    """Each alert beside the positions open at its date that were taken before it: at most `capacity`, and those of its date."""
+    taken = state.select("book", F.explode("held").alias("a"))
+    open_on = taken.select("book", "a", F.explode(F.sequence(F.lit(0), F.lit(hold_days - 1))).alias("age")).groupBy(
+        "book", F.date_add(F.col("a.d"), F.col("age")).alias("bar_date")).agg(F.collect_list("a").alias("there"))
+    rows = alerts.withColumn("place", _in_time()).join(open_on, ["book", "bar_date"], "left")
+    mine = F.exists("there", lambda a: F.struct(a["d"].alias("d"), a["s"].alias("s"), a["symbol"].alias("symbol")) == F.col("place"))
+    earlier = F.filter("there", lambda a: F.struct(a["d"].alias("d"), a["s"].alias("s"), a["symbol"].alias("symbol")) < F.col("place"))
+    rows = rows.withColumns({"ok": F.coalesce(mine, F.lit(False)), "near": F.coalesce(earlier, F.array().cast(_HELD))})
+    rows = rows.withColumns({"_crowd": _crowd(F.col("near"), F.col("symbol"), F.col("bar_date")), "_sector": _same_sector(F.col("near"), F.col("sector"))})
+    adjusted = F.col("score") - SECTOR_PENALTY * F.col("_sector")
+    reason = (
+        F.when(F.col("score") < MIN_SCORE, F.format_string(LOW_SCORE, "score", F.lit(MIN_SCORE)))
+        .when(F.size("near") >= capacity, F.lit(FULL % capacity))
+        .when(F.col("_crowd") >= PER_SYMBOL, F.format_string(CROWDED, "_crowd", F.lit(WINDOW_DAYS), F.lit(PER_SYMBOL)))
+        .when(F.col("ok"), "approved")
+        .otherwise(F.format_string(LOW_ADJUSTED, adjusted, F.lit(MIN_SCORE), F.col("_sector"))))
+    return rows.select(*alerts.columns, F.col("ok").alias("approved"), reason.alias("reason"), F.when(F.col("ok"), adjusted).otherwise(F.col("score")).alias("adjusted_score"))
+
+
 def open_positions(decided: DataFrame, day, hold_days: int = 5) -> DataFrame:
     """Approved alerts younger than hold_days at a date."""
     return decided.filter("approved").filter(F.datediff(F.lit(day).cast("date"), "bar_date") < hold_days)

@@ -299,7 +299,8 @@ UNION ALL SELECT CAST(year(bar_date) AS VARCHAR), symbol, bar_date, false, print
 def stream_alert_decisions(spark, sf):
     rows = views.scored(spark, sf).select(
         "symbol", "bar_date", "score", F.substring("symbol", 1, 1).alias("sector"), F.year("bar_date").cast("string").alias("book"))
-    return rounded(run_to_table(stream_alerts.decide(_stream(spark, rows)), spark), {"score": 6, "adjusted_score": 6}, ("book", "symbol", "bar_date", "approved", "reason"))
+    decided = stream_alerts.decide_batches(_stream(spark, rows), spark, f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}")
+    return rounded(decided, {"score": 6, "adjusted_score": 6}, ("book", "symbol", "bar_date", "approved", "reason"))
 
 
 @query("stream_audit", _INTACT)
