@@ -214,13 +214,13 @@ def fold_summary(scored: DataFrame, keys: list[str], baseline: str | None = "cur
     return summary.join(repeats.select(*keys, F.col("f1").alias("baseline_f1")), keys)
 
 
-def compare_models(summary: DataFrame) -> DataFrame:
-    """Mean metrics per model and whether it has the best mean F1."""
-    means = summary.groupBy("model").agg(
+def compare_models(summary: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Mean metrics per model (and horizon, say) and whether it has the best mean F1."""
+    means = summary.groupBy(*keys).agg(
         *[F.avg(c).alias(f"mean_{c}") for c in ("f1", "pr_auc", "brier", "baseline_f1")]
     )
-    best = means.agg(F.max_by("model", F.struct("mean_f1", "model")).alias("_best"))
-    return attach_row(means, best).withColumn("best", F.col("model") == F.col("_best")).drop("_best")
+    best = means.agg(F.max_by(F.struct(*keys), F.struct("mean_f1", *keys)).alias("_best"))
+    return attach_row(means, best).withColumn("best", F.struct(*keys) == F.col("_best")).drop("_best")
 
 
 def pooled_highlights(summary: DataFrame, alerts: DataFrame, rules: DataFrame) -> DataFrame:

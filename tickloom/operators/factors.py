@@ -50,9 +50,10 @@ def size_proxy(bars: DataFrame, window: int = 252) -> DataFrame:
     """Average-rank percentile of the current volatility in its own window."""
     history = "_history"
     bars = sorted_history(with_volatility(bars), "Volatility_20d", window, history)
-    below = F.size(F.filter(history, lambda v: v < F.col("Volatility_20d")))
-    equal = F.size(F.filter(history, lambda v: v == F.col("Volatility_20d")))
-    rank = F.when(F.col(history).isNotNull(), (below + (equal + 1) / 2) / window)
+    # In an ordered window the first place from either end counts what is below and what is above; no pass per element.
+    below = F.array_position(history, F.col("Volatility_20d")) - 1
+    above = F.array_position(F.reverse(history), F.col("Volatility_20d")) - 1
+    rank = F.when(F.col(history).isNotNull(), (below + (window - below - above + 1) / 2) / window)
     return bars.withColumn("Size_Factor", rank).drop(history)
 
 

@@ -42,6 +42,25 @@ def transition_target(bars: DataFrame, horizon: int = 1, percentile: float = 0.7
     return _tidy(bars.withColumn("transition", label), given)
 
 
+@rolling(lookback=_LOOKBACK, lookahead=lambda p: max(p["horizons"]))
+def transition_targets(bars: DataFrame, horizons: tuple[int, ...] = (1, 5), percentile: float = 0.75, window: int = 252) -> DataFrame:
+    """`transition_target` for several horizons over one layout, as `transition_<horizon>`."""
+    given = bars.columns
+    bars = _threshold(bars, percentile, window)
+    bars = bars.withColumn("_high", F.coalesce(F.col("Volatility_20d") > F.col("_threshold"), F.lit(False)))
+    bars = bars.withColumns({f"_ahead_{h}": lead(F.col("_high"), h) for h in horizons})
+    known = F.col("_threshold").isNotNull()
+    targets = {f"transition_{h}": F.when(known & F.col(f"_ahead_{h}").isNotNull(), (~F.col("_high") & F.col(f"_ahead_{h}")).cast("int")) for h in horizons}
+    return _tidy(bars.withColumns(targets), given)
+
+
+def stack_horizons(rows: DataFrame, horizons: tuple[int, ...] = (1, 5), out: str = "label") -> DataFrame:
+    """One row per known label: `horizon` and its label in place of the columns of `transition_targets`."""
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"transition_{h}").alias(out)) for h in horizons])
+    names = [f"transition_{h}" for h in horizons]
+    return rows.withColumn("_h", F.explode(each)).filter(F.col(f"_h.{out}").isNotNull()).select(*[c for c in rows.columns if c not in names], "_h.horizon", f"_h.{out}")
+
+
 @rolling(lookback=lambda p: p["window"] + 22, lookahead=lambda p: p["horizon"])
 def sigma_breakout(bars: DataFrame, window: int = 20, k: float = 1.5, horizon: int = 0) -> DataFrame:
     """Volatility crosses above its rolling mean plus k deviations.

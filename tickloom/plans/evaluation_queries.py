@@ -404,6 +404,79 @@ def pooled_highlights(spark, sf):
     )
 
 
+# The horizon as a dimension: labels of all horizons laid out once and stacked, metrics by (model, horizon, period).
+
+_FM_NAMES = ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in _FM_DIGITS)
+
+
+@query("fold_summary_horizons", f"WITH {views.HORIZON_SQL} SELECT model, period, horizon, rows, positives, {_FM_NAMES} FROM fm")
+def fold_summary_horizons(spark, sf):
+    return rounded(views.horizon_metrics(spark, sf), _FM_DIGITS, ("model", "period", "horizon", "rows", "positives"))
+
+
+@query(
+    "compare_models_horizons",
+    f"WITH {views.HORIZON_SQL}, a AS (SELECT model, horizon, " + ", ".join(f"avg({c}) AS mean_{c}" for c in _MEANS) + " FROM fm GROUP BY 1, 2) "
+    "SELECT model, horizon, " + ", ".join(f"round(mean_{c}, 6) + 0.0 AS mean_{c}" for c in _MEANS) + ", row_number() OVER (ORDER BY mean_f1 DESC, model DESC, horizon DESC) = 1 AS best FROM a",
+)
+def compare_models_horizons(spark, sf):
+    table = ev.compare_models(views.horizon_metrics(spark, sf), ("model", "horizon"))
+    return rounded(table, {f"mean_{c}": 6 for c in _MEANS}, ("model", "horizon", "best"))
+
+
+@query(
+    "pooled_dataset_horizons",
+    f"{_ALL_CTE}, l AS (" + " UNION ALL ".join(f"SELECT symbol, bar_date, {h} AS horizon, transition AS label FROM ({ORACLE[name]})" for h, name in ((1, "transition_target"), (5, "transition_target_5d")))
+    + ") SELECT * FROM f JOIN l USING (symbol, bar_date) WHERE label IS NOT NULL",
+)
+def pooled_dataset_horizons(spark, sf):
+    """Features once, one row for each horizon whose label is known."""
+    built = frame.build_features(views.bars_daily(spark, sf), labels=(partial(labels.transition_targets, horizons=views.HORIZONS),), lookahead=max(views.HORIZONS))
+    whole = _rounded_frame(built, *[f"transition_{h}" for h in views.HORIZONS]).withColumns({n: F.col(n).cast("double") for n in _INTS})
+    return labels.stack_horizons(whole, views.HORIZONS)
+
+
+_H_AT_K = " UNION ALL ".join(
+    f"SELECT model, horizon, period, {f}::DOUBLE AS fraction, greatest(1, CAST(ceil(n * {f}) AS BIGINT)) AS alerts, sum(label) AS hits FROM {views.top_sql('ss', 'model, horizon, period', f'greatest(1, ceil(n * {f}))')} x GROUP BY model, horizon, period, n"
+    for f in ev.ALERT_FRACTIONS
+)
+_H_RULES = f""",
+rf AS (
+  SELECT symbol, bar_date, vol - {_lag('vol', 5)} AS slope, {_full('max(abs(returns))', 'returns', 5)} AS shock, w - {_lag('w', 5)} AS widening
+  FROM (SELECT *, 4 * ({_full('stddev_samp(close)', 'close', 20)}) / ({_full('avg(close)', 'close', 20)}) AS w FROM hi) t),
+rt AS (SELECT *, quantile_cont(shock, 0.9) OVER (PARTITION BY horizon, period) AS p90 FROM (
+  SELECT rf.*, horizon, label, CAST(year(bar_date) AS INTEGER) AS period FROM rf JOIN (SELECT symbol, bar_date, horizon, label FROM lab) x USING (symbol, bar_date) WHERE label IS NOT NULL) y),
+rr AS (SELECT horizon, period, 'volatility_slope_positive' AS rule, label, slope > 0 AS pred FROM rt
+       UNION ALL SELECT horizon, period, 'return_shock_high', label, shock >= p90 FROM rt
+       UNION ALL SELECT horizon, period, 'bb_width_expanding', label, widening > 0 FROM rt),
+rs AS (SELECT horizon, period, rule, label, coalesce(pred, false) AS pred, CAST(coalesce(pred, false) AS DOUBLE) AS score FROM rr)
+"""
+
+
+@query(
+    "pooled_highlights_horizons",
+    f"WITH {views.HORIZON_SQL}{_H_RULES}" + views.metrics_sql("rs", "horizon, period, rule", "rm") + f", k AS ({_H_AT_K}), "
+    "al AS (SELECT model, horizon, period, fraction, coalesce(hits / alerts::DOUBLE / nullif(positive_rate, 0), 0.0) AS lift FROM k JOIN fm USING (model, horizon, period)), "
+    "b1 AS (SELECT model AS best_model, horizon, period, f1 AS best_f1 FROM fm ORDER BY f1 DESC, model DESC, horizon DESC, period DESC LIMIT 1), "
+    "b2 AS (SELECT lift AS best_lift, model AS lift_model, fraction AS lift_fraction FROM al ORDER BY lift DESC, model DESC, period DESC, fraction DESC LIMIT 1), "
+    "b3 AS (SELECT rule AS best_rule, f1 AS best_rule_f1 FROM rm WHERE (horizon, period) = (SELECT (horizon, period) FROM b1) ORDER BY f1 DESC, rule DESC LIMIT 1), "
+    "pr AS (SELECT period, avg(positive_rate) AS r FROM fm GROUP BY 1), b4 AS (SELECT min_by(r, period) AS first_positive_rate, max_by(r, period) AS last_positive_rate FROM pr) "
+    "SELECT best_model, horizon, period, round(best_f1, 6) AS best_f1, round(best_lift, 6) AS best_lift, lift_model, lift_fraction, best_rule, round(best_rule_f1, 6) AS best_rule_f1, "
+    "round(first_positive_rate, 6) AS first_positive_rate, round(last_positive_rate, 6) AS last_positive_rate FROM b1, b2, b3, b4",
+)
+def pooled_highlights_horizons(spark, sf):
+    rows = views.horizon_scored(spark, sf)
+    summary = views.horizon_metrics(spark, sf, rows)
+    alerts = ev.alerts_at_k(rows, ["model", "horizon", "period"])
+    built = frame.build_features(views.bars_daily(spark, sf), ("transition",), labels=(partial(labels.transition_targets, horizons=views.HORIZONS),), lookahead=max(views.HORIZONS))
+    wanted = built.select("symbol", "bar_date", F.year("bar_date").alias("period"), "Volatility_Slope_5d", "Return_Shock_5d", "BB_Width_Change_5d", *[f"transition_{h}" for h in views.HORIZONS])
+    rules = ev.rule_baselines(cut(labels.stack_horizons(wanted, views.HORIZONS)), ["horizon", "period"])
+    return rounded(
+        ev.pooled_highlights(summary, alerts, rules), {c: 6 for c in ("best_f1", "best_lift", "best_rule_f1", "first_positive_rate", "last_positive_rate")},
+        ("best_model", "horizon", "period", "lift_model", "lift_fraction", "best_rule"),
+    )
+
+
 _REGIMES = f"""WITH {views.FOLD_METRICS_SQL},
 fv AS (SELECT model, period, stddev_samp(returns) * sqrt(252.0) AS v FROM ss GROUP BY 1, 2),
 fr AS (SELECT *, CASE WHEN v <= (SELECT quantile_cont(v, 0.3333) FROM fv) THEN 'Low' WHEN v <= (SELECT quantile_cont(v, 0.6667) FROM fv) THEN 'Medium' ELSE 'High' END AS regime FROM fv)

@@ -15,7 +15,7 @@ from tickloom.functions.lineage import cut
 from tickloom.functions.prefix import number_rows
 from tickloom.operators.evaluate import fold_summary
 from tickloom.operators.factors import market_returns
-from tickloom.operators.labels import current_state, transition_target
+from tickloom.operators.labels import current_state, stack_horizons, transition_target, transition_targets
 from tickloom.sources.bars import trades_to_bars
 
 
@@ -320,3 +320,47 @@ fm AS (
   FROM m JOIN t5 USING (model, period) JOIN t1 USING (model, period) JOIN pb USING (model, period))
 """
 )
+
+
+# --- the same with the horizon as a dimension --------------------------------------
+
+HORIZONS = (1, 5)
+
+
+def horizon_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """`state_scored` with one row per horizon whose label is known."""
+    frame = spread(bars_daily(spark, sf), 252 + 23, max(HORIZONS))
+    frame = current_state(transition_targets(frame, HORIZONS)).filter("home")
+    rows = stack_horizons(frame.select(
+        "symbol", "bar_date", "close", "returns", "Volatility_20d", "current_transition", "rn", *[f"transition_{h}" for h in HORIZONS]), HORIZONS)
+    return cut(rows.withColumn("score", pseudo_score()).withColumns({
+        "pred": F.col("score") >= 0.9, "model": F.col("symbol"), "period": F.year("bar_date"),
+    }))
+
+
+def horizon_metrics(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return cut(fold_summary(horizon_scored(spark, sf) if rows is None else rows, ["model", "horizon", "period"]))
+
+
+_EACH_HORIZON = " UNION ALL ".join(
+    f"SELECT *, {h} AS horizon, CASE WHEN q75 IS NOT NULL AND lead(is_high, {h}) OVER w IS NOT NULL THEN CAST(NOT is_high AND lead(is_high, {h}) OVER w AS INTEGER) END AS label "
+    "FROM hi WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)" for h in HORIZONS
+)
+HORIZON_SQL = VOL_SQL + thresholds_sql(0.75) + f""",
+hi AS (SELECT *, coalesce(vol > q75, false) AS is_high FROM thr),
+lab AS MATERIALIZED ({_EACH_HORIZON}),
+sp AS (
+  SELECT *, score >= 0.9 AS pred, symbol AS model, CAST(year(bar_date) AS INTEGER) AS period FROM (
+    SELECT symbol, bar_date, close, returns, vol, horizon, label, rn,
+           CAST((rn * 7919 + ascii(substr(symbol, 1, 1)) * 104729 + ascii(substr(symbol, 2, 1)) * 1299709) % 10007 AS DOUBLE) / 10007.0 AS score
+    FROM lab WHERE label IS NOT NULL) t),
+st AS (SELECT symbol, bar_date, coalesce(greatest(CAST(is_high AS INTEGER) - lag(CAST(is_high AS INTEGER)) OVER (PARTITION BY symbol ORDER BY bar_date), 0), 0) AS state FROM hi),
+ss AS MATERIALIZED (SELECT sp.*, st.state FROM sp JOIN st USING (symbol, bar_date)),
+ps AS (SELECT model, horizon, period, symbol, label, CAST(state AS DOUBLE) AS score, state = 1 AS pred FROM ss)""" + metrics_sql("ss", "model, horizon, period", "m") + metrics_sql("ps", "model, horizon, period", "pb") + f""",
+t5 AS (SELECT model, horizon, period, avg(label) AS precision_at_5pct FROM {top_sql('ss', 'model, horizon, period', 'greatest(1, ceil(n * 0.05))')} x GROUP BY 1, 2, 3),
+t1 AS (SELECT model, horizon, period, avg(label) AS p1 FROM {top_sql('ss', 'model, horizon, period', 'greatest(1, ceil(n * 0.01))')} x GROUP BY 1, 2, 3),
+fm AS MATERIALIZED (
+  SELECT m.*, precision_at_5pct, coalesce(p1 / nullif(m.positives / m.rows::DOUBLE, 0), 0.0) AS lift_1pct,
+         m.positives / m.rows::DOUBLE AS positive_rate, pb.f1 AS baseline_f1
+  FROM m JOIN t5 USING (model, horizon, period) JOIN t1 USING (model, horizon, period) JOIN pb USING (model, horizon, period))
+"""
