@@ -9,7 +9,7 @@ from tickloom.llm.divergence import source_divergence
 from tickloom.llm.exact_dedup import exact_groups
 from tickloom.llm.fingerprints import fingerprints
 from tickloom.llm.license_texts import KNOWN
-from tickloom.llm.licenses import canonical_sql, scan_licenses
+from tickloom.llm.licenses import canonical_sql, scan_licenses, variants
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.pieces import encode_decode
@@ -65,14 +65,28 @@ def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf))
 
 
-_KNOWN = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN.items())
-ORACLE["op5_license_scan"] = f"""
-WITH k AS (SELECT min(license) AS license, digest FROM (
-    SELECT license, sha256({canonical_sql('t')}) AS digest FROM (VALUES {_KNOWN}) AS v(license, t)) GROUP BY digest),
-d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM documents)
-SELECT doc_id, length(form) AS n_canonical, sha256(form) AS canonical_sha256, license
-FROM d LEFT JOIN k ON k.digest = sha256(form)
-"""
+#: Every text that the scan knows, as rows of SQL.
+_TEXTS = [*KNOWN.items(), *variants()]
+_QUOTED = [(name, text.replace("'", "''")) for name, text in _TEXTS]
+_LICENSES = f"""
+known AS MATERIALIZED (SELECT * FROM (VALUES {', '.join(f"('{name}', '{text}')" for name, text in _QUOTED)}) AS v(license, t)),
+k AS (SELECT min(license) AS license, digest FROM (SELECT license, sha256(form) AS digest FROM (SELECT license, {canonical_sql('t')} AS form FROM known) WHERE form <> '') GROUP BY digest)"""
+_SCAN = "SELECT doc_id, length(form) AS n_canonical, sha256(form) AS canonical_sha256, license FROM d LEFT JOIN k ON k.digest = sha256(form)"
+ORACLE["op5_license_scan"] = f"WITH {_LICENSES}, d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM documents) {_SCAN}"
+
+
+@_query
+def license_scan_of_mixed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan over all documents and all known texts, these in capitals, with other breaks and another copyright line."""
+    known = [(-1 - i, f"Copyright (c) 2001 Somebody Else\n\n{text.upper()}\n\n") for i, (_, text) in enumerate(_TEXTS)]
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return scan_licenses(docs.unionByName(spark.createDataFrame(known, "doc_id bigint, text string")))
+
+
+ORACLE["license_scan_of_mixed_texts"] = f"""WITH {_LICENSES}, m AS (
+    SELECT doc_id, text FROM documents
+    UNION ALL SELECT -row_number() OVER (), 'Copyright (c) 2001 Somebody Else' || chr(10) || chr(10) || upper(t) || chr(10) || chr(10) FROM known),
+d AS (SELECT doc_id, {canonical_sql('text')} AS form FROM m) {_SCAN}"""
 
 
 @_query
