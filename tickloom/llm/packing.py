@@ -266,11 +266,14 @@ def bin_completion(lengths: list[int], capacity: int, steps: int = STEPS, fillin
 def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFrame:
     """Pieces with a sequence and a place in it: adds sequence_id and offset (tokens before it in its sequence).
 
-    Ties are packed in the order of doc_id and piece.  Repeated rows are packed like any other.  `pieces` has the columns of
+    Ties are packed in the order of doc_id and piece.  Repeated rows and null ids are packed like any other; which rows share
+    a block follows the layout of the table.  `pieces` has the columns of
     `token_pieces`, lengths of 1 to `capacity`.  An empty table gives an empty table.
     """
-    columns, schema = pieces.columns, pieces.schema
-    waiting, done, level = cut(pieces), [], 0
+    # Blocks are dealt by the number of a written row: rows of one id, or without any, spread over all of them.
+    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
+    columns, schema = numbered.columns, numbered.schema
+    waiting, done, level = cut(numbered), [], 0
     while True:
         # A block hands on one sequence at most.  Two sequences of tokens for each block halve what waits in every round; as a
         # piece has a token at least, a block of short pieces averages at most 4 * capacity rows.
@@ -296,10 +299,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFra
             group["offset"] = offset
             return group[[*columns, "sequence_id", "offset", "again"]]
 
-        dealt = waiting.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(blocks)))
+        dealt = waiting.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks)))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         result = cut(dealt.groupBy("block").applyInPandas(packed, f"{fields}, sequence_id bigint, offset bigint, again boolean"))
-        done.append(result.filter("NOT again").drop("again"))
+        done.append(result.filter("NOT again").drop("again", "row"))
         if last:
             break
         waiting, level = result.filter("again").select(*columns), level + 1
