@@ -7,7 +7,8 @@ there; a word keeps the part of the table that its common prefix with the word
 before it has filled, and computes the rest.
 
 What "best" means depends on the kind of model.  Unigram models: the largest sum
-of scores.  BPE models, such as the vocabulary used here, have no such sum: a sum
+of scores (where two ways have exactly one sum, the library's choice hangs on how it
+rounds sums over the whole text; here the longer last piece stays).  BPE models, such as the vocabulary used here, have no such sum: a sum
 of merge ranks would give other pieces than the library.  There, the encoding of
 a prefix ends in the only piece that stays apart from the piece before it when
 both are merged together, and the encoding before that piece is again that of a
@@ -23,6 +24,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,8 @@ class Pieces:
         self._apart: dict[tuple[str, str], bool] = {}
         # A model of merges scores its pieces by their order, in whole numbers.
         self._merges = all(s == int(s) and s <= 0 for s in self._score.values())
+        # The library's score of a character that is no piece: 10 below the lowest score (fixed value).
+        self._unknown = min(self._score.values(), default=0.0) - 10
         # Lengths of pieces by their last two characters, the longest first.  A piece that merging never makes is none.
         by_end: dict[str, set[int]] = {}
         for t in list(self._id):
@@ -89,8 +93,8 @@ class Pieces:
         """Fill the forward table from prefix length start + 1 on: end[j] is the last piece of the best way to word[:j]."""
         ids, lengths, apart, merges = self._id, self._lengths, self._stay_apart, self._merges
         for j in range(start + 1, len(word) + 1):
-            chosen = word[j - 1]  # a character without a piece stands alone
-            best = total[j - 1] + self._score.get(chosen, -1e6)
+            chosen, best = word[j - 1], -inf  # a character without a piece stands alone
+            alone = total[j - 1] + self._score.get(chosen, self._unknown)
             for size in lengths.get(word[max(0, j - 2):j], ()):
                 if size > j:
                     continue
@@ -104,6 +108,10 @@ class Pieces:
                         break
                 elif total[i] + self._score[piece] > best:
                     chosen, best = piece, total[i] + self._score[piece]
+            if alone > best:  # of equal sums the longer last piece stays
+                best = alone
+                if not merges:
+                    chosen = word[j - 1]
             end.append(chosen)
             total.append(best)
 
