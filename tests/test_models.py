@@ -111,3 +111,24 @@ def test_side_by_side_keeps_order_and_raises(spark):
     assert side_by_side(spark, []) == []
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+
+
+def test_the_ledger_sizes_trades_by_unscaled_volatility(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for symbol in "AB":
+        for i in range(4 * 53):
+            x = rng.gauss(0, 1)
+            rows.append((symbol, dt.date(2020, 1, 1) + dt.timedelta(days=7 * i), 100.0 + 20 * (i % 2), int(x + rng.gauss(0, 0.3) > 0), x, 0.01 + 0.001 * (i % 3)))
+    built = spark.createDataFrame(rows, "symbol string, bar_date date, close double, label int, x double, Volatility_20d double")
+    monkeypatch.setattr(model_queries, "dataset", lambda spark, sf: built)
+    monkeypatch.setattr(model_queries, "NAMES", ["x", "Volatility_20d"])
+    got = {r.symbol: r for r in QUERIES["walk_forward_ledger"](spark, "").collect()}
+    assert sorted(got) == ["A", "B"]
+    for r in got.values():
+        # Closes move by 16 to 20 % each week, far above volatility and costs: every trade wins.
+        assert r.model == "logistic" and r.fold_id == 1 and 10 < r.total_trades <= 52
+        assert r.win_rate == 1.0 and r.total_return > 0 and r.max_drawdown == 0

@@ -58,13 +58,14 @@ def trade_candidates(
 
 def run_ledger(
     scored: DataFrame, keys: list[str], kelly: Column | None = None, method: str = "kelly",
-    account: float = ACCOUNT, max_drawdown: float = MAX_DRAWDOWN,
+    account: float = ACCOUNT, max_drawdown: float = MAX_DRAWDOWN, vol: str = "Volatility_20d",
 ) -> DataFrame:
     """Trades with the equity curve, stopped once the account lost max_drawdown.
 
+    `vol` names the column of unscaled daily volatility.
     """
     kelly = F.lit(FIXED_POSITION) if kelly is None else kelly
-    return apply_stop(trade_candidates(scored, keys, kelly, method, account=account), keys, account, max_drawdown)
+    return apply_stop(trade_candidates(scored, keys, kelly, method, vol, account), keys, account, max_drawdown)
 
 
 def apply_stop(

@@ -35,7 +35,8 @@ def dataset(spark, sf):
 
 
 def assigned(spark, sf):
-    rows = dataset(spark, sf)
+    # Scored rows hold no features; the ledger needs the plain volatility, so a copy goes along.
+    rows = dataset(spark, sf).withColumn("volatility", F.col("Volatility_20d"))
     windows = folds.walk_forward_windows(folds.date_bounds(rows), 3, 1, 1)
     split = cut(folds.keep_large_folds(folds.assign_folds(rows, windows)))
     # One row per test year.
@@ -174,9 +175,9 @@ def walk_forward_ledger(spark, sf):
     scored = cut(_scores(spark, sf, "logistic", True))
     thresholds = evaluate.optimize_threshold(scored.filter("split = 'train'"), ["model", "fold_id"])
     decided = cut(scored.join(thresholds, ["model", "fold_id"]).withColumn("pred", F.col("score") >= F.col("threshold")))
-    train = ledger.run_ledger(decided.filter("split = 'train'"), keys)
+    train = ledger.run_ledger(decided.filter("split = 'train'"), keys, vol="volatility")
     sized = decided.filter("split = 'test'").join(ledger.kelly_fraction(train, keys), keys, "left")
-    trades = ledger.run_ledger(sized, keys, kelly=F.coalesce("kelly", F.lit(ledger.FIXED_POSITION)))
+    trades = ledger.run_ledger(sized, keys, kelly=F.coalesce("kelly", F.lit(ledger.FIXED_POSITION)), vol="volatility")
     table = ledger.ledger_metrics(cut(trades), keys)
     return rounded(table, {c: 6 for c in ("win_rate", "total_return", "sharpe_ratio", "max_drawdown")}, (*keys, "total_trades"))
 
