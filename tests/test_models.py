@@ -132,3 +132,17 @@ def test_the_ledger_sizes_trades_by_unscaled_volatility(spark, monkeypatch):
         # Closes move by 16 to 20 % each week, far above volatility and costs: every trade wins.
         assert r.model == "logistic" and r.fold_id == 1 and 10 < r.total_trades <= 52
         assert r.win_rate == 1.0 and r.total_return > 0 and r.max_drawdown == 0
+
+
+def test_models_score_in_a_session_that_has_observed_a_table(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    rows = labelled(spark)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 240
+    folds = rows.withColumn("fold_id", F.lit(1)).withColumn("split", F.when(F.dayofyear("bar_date") <= 160, "train").otherwise("test"))
+    for kind, calibrate in (("logistic", True), ("logistic", False), ("random_forest", True)):
+        scored = models.walk_forward_scores(folds, [1], ["x", "y"], kind, calibrate=calibrate)
+        assert scored.filter("score BETWEEN 0 AND 1").count() == 240

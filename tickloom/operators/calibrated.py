@@ -9,6 +9,7 @@ mean of the calibrated probabilities.  Both are plain pipeline stages.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
@@ -16,10 +17,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import cut, small
+from tickloom.functions.lineage import cut, remove, shared_folder, small
 from tickloom.functions.parallel import side_by_side
 from tickloom.functions.prefix import number_rows
 from tickloom.functions.scalars import attach_row
@@ -48,10 +49,26 @@ def inner_folds(train: DataFrame, parts: int = CALIBRATION_FOLDS) -> DataFrame:
     return numbered.join(small(sizes), "label").withColumn("_part", part).drop("_at", "_n")
 
 
+def without_summary(model, spark: SparkSession):
+    """The same model without its training summary.
+
+    A summary holds the session and travels with the model to the tasks that score; a session that has observed a table
+    (`DataFrame.observe`) cannot be serialised.  Saved models have no summary.
+    """
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = f"{shared_folder(spark)}/base-{uuid.uuid4().hex}"
+    model.write().save(path)
+    loaded = type(model).load(path)
+    remove(spark, [path])
+    return loaded
+
+
 def fit_base(train: DataFrame, kind: str, rounds: int = 300):
     """Fit on (features, label) rows with the weights of the kind."""
     weighted = class_weights(train, "label", WEIGHTS[kind])
-    return make_model(kind, weighted.count() if kind == "logistic" else 0, rounds).fit(weighted)
+    fitted = make_model(kind, weighted.count() if kind == "logistic" else 0, rounds).fit(weighted)
+    return without_summary(fitted, train.sparkSession)
 
 
 def fit_sigmoid(held: DataFrame) -> tuple[float, float]:
