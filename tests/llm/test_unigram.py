@@ -59,3 +59,36 @@ def test_unigram_pieces_equal_the_library():
         assert abs(total(mine) - total(theirs)) <= 1e-5 * (1 + abs(total(theirs))), repr(t)
         assert ours.decode(ids) == library.decode(theirs)
     assert same >= 0.75 * len(texts), same / len(texts)
+
+
+def merge_model():
+    """A model of merges whose pieces overlap, so that the longest piece is often not the library's."""
+    rng = random.Random(11)
+    m = proto.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = proto.TrainerSpec.BPE, True
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix = "identity", True
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = False, True
+    kinds = proto.ModelProto.SentencePiece
+    listed = [("<unk>", 0, kinds.UNKNOWN), ("<s>", 0, kinds.CONTROL), ("</s>", 0, kinds.CONTROL)]
+    listed += [(f"<0x{b:02X}>", 0, kinds.BYTE) for b in range(256)]
+    known, made = ["▁", *"abcé"], []
+    while len(made) < 120:
+        piece = rng.choice(known) + rng.choice(known)
+        if piece not in known and "▁" not in piece[1:] and len(piece) < 9:
+            known.append(piece)
+            made.append(piece)
+    listed += [(p, -i, kinds.NORMAL) for i, p in enumerate(made)] + [(c, -len(made) - i, kinds.NORMAL) for i, c in enumerate("▁abcé")]
+    for piece, score, kind in listed:
+        p = m.pieces.add()
+        p.piece, p.score, p.type = piece, score, kind
+    return m.SerializeToString()
+
+
+def test_merged_pieces_equal_the_library():
+    model = merge_model()
+    library, ours = sentencepiece.SentencePieceProcessor(model_proto=model), Pieces(model, memo=400)
+    assert ours._merges
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aabbccé x漢") for _ in range(rng.randint(0, 60))) for _ in range(3_000)] + ["", " ", "  a", "abcé" * 300]
+    for t, ids in zip(texts, ours.encode(texts)):
+        assert array("I", ids).tolist() == library.encode(t), repr(t)

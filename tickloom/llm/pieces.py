@@ -35,6 +35,7 @@ from tickloom.llm.arrow import in_slices, once
 #: Words and pairs of pieces that a worker remembers; longest word that shares its table (longer ones are encoded alone).
 MEMO, LONGEST = 600_000, 200
 MARK = "▁"
+_TWO = (2,)
 
 
 class Pieces:
@@ -65,19 +66,28 @@ class Pieces:
             elif len(t) > 1:
                 by_end.setdefault(t[-2:], set()).add(len(t))
         self._lengths = {e: sorted(n, reverse=True) for e, n in by_end.items()}
+        # For merges: lengths by the last three characters, so that few of them are tried in vain.
+        by_three: dict[str, set[int]] = {}
+        for t in self._id:
+            if len(t) > 2:
+                by_three.setdefault(t[-3:], {2} if t[-2:] in self._id else set()).add(len(t))
+        self._lengths_by_three = {e: sorted(n, reverse=True) for e, n in by_three.items()}
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """Merging from the definition: the best-scored neighbours first, of equal ones the leftmost."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                score = self._score.get(symbols[i] + symbols[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
+        symbols, score = list(symbols), self._score.get
+        scores = [score(a + b, -inf) for a, b in zip(symbols, symbols[1:])]
+        while scores:
+            best = max(scores)
+            if best == -inf:
                 break
+            at = scores.index(best)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del scores[at]  # only the pairs beside the new symbol change
+            if at:
+                scores[at - 1] = score(symbols[at - 1] + symbols[at], -inf)
+            if at < len(scores):
+                scores[at] = score(symbols[at] + symbols[at + 1], -inf)
         return symbols
 
     def _stay_apart(self, left: str, right: str) -> bool:
@@ -91,7 +101,10 @@ class Pieces:
 
     def _extend(self, word: str, end: list[str], total: list[float], start: int) -> None:
         """Fill the forward table from prefix length start + 1 on: end[j] is the last piece of the best way to word[:j]."""
-        ids, lengths, apart, merges = self._id, self._lengths, self._stay_apart, self._merges
+        if self._merges:
+            self._extend_merges(word, end, start)
+            return
+        ids, lengths = self._id, self._lengths
         for j in range(start + 1, len(word) + 1):
             chosen, best = word[j - 1], -inf  # a character without a piece stands alone
             alone = total[j - 1] + self._score.get(chosen, self._unknown)
@@ -102,21 +115,39 @@ class Pieces:
                 piece = word[i:j]
                 if piece not in ids:
                     continue
-                if merges:
-                    if i == 0 or apart(end[i], piece):
-                        chosen = piece
-                        break
-                elif total[i] + self._score[piece] > best:
+                if total[i] + self._score[piece] > best:
                     chosen, best = piece, total[i] + self._score[piece]
             if alone > best:  # of equal sums the longer last piece stays
-                best = alone
-                if not merges:
-                    chosen = word[j - 1]
+                chosen, best = word[j - 1], alone
             end.append(chosen)
             total.append(best)
 
+    def _extend_merges(self, word: str, end: list[str], start: int) -> None:
+        """The same for a model of merges, whose table needs no sums: the longest last piece that stays apart."""
+        ids, by_three, known, add = self._id, self._lengths_by_three, self._apart.get, end.append
+        for j in range(start + 1, len(word) + 1):
+            chosen = word[j - 1]  # a character without a piece stands alone
+            for size in by_three.get(word[j - 3:j], _TWO) if j > 2 else _TWO:
+                if size > j:
+                    continue
+                i = j - size
+                piece = word[i:j]
+                if piece in ids:
+                    if i == 0:
+                        chosen = piece
+                        break
+                    left = end[i]
+                    apart = known((left, piece))
+                    if apart or (apart is None and self._stay_apart(left, piece)):
+                        chosen = piece
+                        break
+            add(chosen)
+
     def _packed(self, pieces: list[str]) -> bytes:
-        out = array("I")
+        try:
+            return array("I", [self._id[p] for p in pieces]).tobytes()
+        except KeyError:  # a character without a piece
+            out = array("I")
         for p in pieces:
             i = self._id.get(p)
             if i is not None:
@@ -128,26 +159,27 @@ class Pieces:
     def _learn(self, words: set[str]) -> None:
         if len(self._young) > self._limit:
             self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        new = words.difference(young)
+        back = old.keys() & new
+        young.update(zip(back, map(old.__getitem__, back)))
         before, end, total = "", [""], [0.0]
-        for word in sorted(words.difference(self._young)):
-            known = self._old.get(word)
-            if known is None:
-                if len(word) > LONGEST and self._merges:
-                    known = self._packed(self._merged_long(word))
-                else:
-                    common = 0
-                    for a, b in zip(before, word):
-                        if a != b:
-                            break
-                        common += 1
-                    del end[common + 1:], total[common + 1:]
-                    self._extend(word, end, total, common)
-                    pieces, at = [], len(word)
-                    while at:
-                        pieces.append(end[at])
-                        at -= len(end[at])
-                    known, before = self._packed(pieces[::-1]), word
-            self._young[word] = known
+        for word in sorted(new - back):
+            if len(word) > LONGEST and self._merges:
+                young[word] = self._packed(self._merged_long(word))
+                continue
+            common = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                common += 1
+            del end[common + 1:], total[common + 1:]  # a model of merges fills no sums
+            self._extend(word, end, total, common)
+            pieces, at = [], len(word)
+            while at:
+                pieces.append(end[at])
+                at -= len(end[at])
+            young[word], before = self._packed(pieces[::-1]), word
 
     def _merged_long(self, word: str) -> list[str]:
         """A very long word by the same table, not shared with others."""
