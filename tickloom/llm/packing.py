@@ -64,23 +64,25 @@ class WordIds:
         """Encode the words that are not remembered; a word and the marks at its end are encoded apart."""
         if len(self._young) > self._limit:
             self._old, self._young = self._young, {}
-        young, old, split = self._young, self._old, []
-        for word in words.difference(young):
-            known = old.get(word)
-            if known is not None:
-                young[word] = known
-                continue
+        young, old = self._young, self._old
+        new = words.difference(young)
+        back = old.keys() & new
+        young.update(zip(back, map(old.__getitem__, back)))
+        whole, split = [], []
+        for word in new - back if back else new:
             base = word.rstrip(_TAIL)
-            if not base or len(base) == len(word) or not 97 <= base[-1] <= 122:
-                base = word
-            split.append((word, base, word[len(base):]))
-        parts = {x for _, base, tail in split for x in (base, tail) if x and x not in young}
-        parts = sorted(parts)
-        for part, found in zip(parts, self._encode([x.decode() for x in parts], add_special_tokens=False)):
-            young[part] = array("I", found.ids).tobytes()
-        for word, base, tail in split:
-            if tail:
-                young[word] = young[base] + young[tail]
+            if len(base) == len(word) or not base or not 97 <= base[-1] <= 122:
+                whole.append(word)
+            else:
+                split.append((word, base, word[len(base):]))
+        parts = set(whole)
+        parts.update([base for _, base, _ in split], [tail for _, _, tail in split])
+        parts = list(parts.difference(young))
+        young.update([
+            (part, array("I", found.ids).tobytes())
+            for part, found in zip(parts, self._encode([x.decode() for x in parts], add_special_tokens=False))
+        ])
+        young.update([(word, young[base] + young[tail]) for word, base, tail in split])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         lists = []
