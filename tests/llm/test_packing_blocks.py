@@ -15,3 +15,32 @@ def test_null_and_repeated_ids_spread_over_blocks(spark):
         assert len(blocks) >= 8 and max(r["count"] for r in blocks) < 6_000
         per = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top"), F.count("*").alias("rows"))
         assert per.filter("n <> top OR n > 4096").count() == 0 and per.agg(F.sum("rows")).first()[0] == 30_000
+
+
+def test_texts_reach_the_workers_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from tickloom.llm.arrow import TEXT_ROWS
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array([0] * n, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def longest(limit):
+        spark.conf.set(name, str(limit))
+        pieces = spark.range(3_000).coalesce(1).mapInArrow(sizes, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+        packed = pack(pieces, capacity=4096)
+        assert packed.count() == 3_000 and spark.conf.get(name) == str(limit)
+        return packed.agg({"length": "max"}).first()[0]
+
+    before = spark.conf.get(name)
+    try:
+        assert longest(10_000) == longest(0) == TEXT_ROWS
+        assert longest(200) == 200  # the session's own lower limit holds
+    finally:
+        spark.conf.set(name, before)

@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[application]
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for the jobs that run inside; the session's own limit holds where it is lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    if rows is None or 0 < own <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(own))
+
+
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """`batch` bounds the rows of an Arrow batch: a task holds a batch several times, on both sides of its Python worker."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,11 @@ import pyarrow as pa
 ASCII_SPACE = " \t\n\r\x0b\f"
 
 
+#: Rows of an Arrow batch of whole texts.  The session's 10,000 rows of text would be held several times by each task: as a
+#: buffer that doubles while it is filled, as it is sent, and in the Python worker.
+TEXT_ROWS = 1_000
+
+
 def byte_column(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,6 @@ number of classes are compared in tiles of two blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.lineage import cut
-from tickloom.llm.arrow import byte_column, in_slices, once
+from tickloom.functions.lineage import batches_of, cut
+from tickloom.llm.arrow import TEXT_ROWS, byte_column, in_slices, once
 from tickloom.llm.components import components, counted, merge_join
 from tickloom.llm.hashing import Rolling, Words, mixed
 
@@ -232,18 +231,6 @@ def _confirmed(percent: int):
     return made
 
 
-@contextmanager
-def _batches_of(spark, rows: int):
-    """Smaller Arrow batches for the jobs inside, whose rows are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
@@ -278,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = cut(slim.mapInArrow(_signatures(words), "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"))
+    signed = cut(slim.mapInArrow(_signatures(words), "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"), TEXT_ROWS)
     linked = signed.filter("n > 0 AND id IS NOT NULL")
     classes = cut(linked.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch"), F.min("n").alias("n"), F.min_by("bands", "id").alias("bands")))
     banded = classes.select(F.explode("bands").alias("key"), "node")
@@ -286,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id:
     members = cut(merge_join(banded, buckets, "key"))
     of = cut(members.select("node").distinct().withColumn("component", F.col("node")))
     features = cut(merge_join(classes.select("node", "sketch", "n", "bands"), of.select("node"), "node"))
-    sets = cut(slim.join(of.select(F.col("node").alias("id")), "id").select(F.col("id").alias("node"), "text").mapInArrow(_sets(words), "node bigint, shingles binary"))
+    sets = cut(slim.join(of.select(F.col("node").alias("id")), "id").select(F.col("id").alias("node"), "text").mapInArrow(_sets(words), "node bigint, shingles binary"), TEXT_ROWS)
 
     star = members.filter("node <> first").groupBy("node").agg(F.min("first").alias("b")).select(F.col("node").alias("a"), "b")
     of = _moved(of, components(_links(star, sets, percent)))  # every node is its own component so far
@@ -303,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, doc_id:
         dealt = open_.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile", "node")
         found = dealt.mapInArrow(_in_tiles(_joined if last else _partners, percent), "a bigint, b bigint")
         if last:
-            with _batches_of(spark, SET_ROWS):
+            with batches_of(spark, SET_ROWS):
                 links, many = counted(found)
         else:
             links, many = counted(_links(found.distinct(), sets, percent))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.lineage import cut
-from tickloom.llm.arrow import byte_column, in_slices, once
+from tickloom.llm.arrow import TEXT_ROWS, byte_column, in_slices, once
 from tickloom.llm.hashing import BASES, Rolling, Words, mixed, sliding_min
 
 #: Words of an anchor; words of a text hashed at once; windows counted at once in a task.
@@ -199,7 +199,7 @@ def _repeats(docs: DataFrame, doc_id: str, text: str, window: int, whole: bool)
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")] if whole else []
     base = docs.select(
         F.col(doc_id).alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *kept)
-    anchors = cut(base.select("doc", "text").mapInArrow(_anchors(window), "anchor bigint, doc bigint"))
+    anchors = cut(base.select("doc", "text").mapInArrow(_anchors(window), "anchor bigint, doc bigint"), TEXT_ROWS)
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("anchor")
     of_doc = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
     if whole:
