@@ -146,3 +146,24 @@ def test_models_score_in_a_session_that_has_observed_a_table(spark):
     for kind, calibrate in (("logistic", True), ("logistic", False), ("random_forest", True)):
         scored = models.walk_forward_scores(folds, [1], ["x", "y"], kind, calibrate=calibrate)
         assert scored.filter("score BETWEEN 0 AND 1").count() == 240
+
+
+def test_parts_of_a_fold_are_fitted_on_rows_without_their_plan(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import calibrated
+
+    plans = []
+    fit = calibrated.fit_base
+
+    def seen(train, *rest):
+        plans.append((train._jdf.queryExecution().executedPlan().toString(), train.rdd.getNumPartitions(), train.count()))
+        return fit(train, *rest)
+
+    monkeypatch.setattr(calibrated, "fit_base", seen)
+    model = models.fit_final(labelled(spark).withColumn("x", F.col("x") * 2), ["x", "y"], "boosted_a", rounds=2)
+    assert [n for n, _ in model.trees()] == [2, 2, 2] and len(plans) == 3
+    for plan, partitions, rows in plans:
+        assert "Scan ExistingRDD" in plan and "InMemoryTableScan" not in plan and "FileScan" not in plan
+        assert partitions == 1
+    assert sum(rows for _, _, rows in plans) == 2 * 240  # each row is left out of one part's fit

@@ -69,6 +69,18 @@ def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions, written to the shared folder, without the plan that made them.
+
+    For rows that feed many small jobs: every stage carries the plan behind its rows to its tasks.  Unlike a cached table it
+    binds no task to the executor that holds it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """An aggregate that is about to be joined to many rows: written first, and broadcast only if it has few rows.
 

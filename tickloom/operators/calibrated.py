@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import cut, remove, shared_folder, small
+from tickloom.functions.lineage import checkpointed, cut, remove, shared_folder, small
 from tickloom.functions.parallel import side_by_side
 from tickloom.functions.prefix import number_rows
 from tickloom.functions.scalars import attach_row
@@ -174,14 +173,13 @@ class _Reader(MLReader):
 def fit_parts(model: CalibratedModel, vectors: DataFrame, rounds: int, parts: int, workers: int) -> CalibratedModel:
     """Fill a model with base models and sigmoids from rows with (symbol, bar_date, label, features)."""
     split = cut(inner_folds(vectors, parts))
-    train = split.coalesce(max(1, math.ceil(split.count() / PARTITION_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+    train = checkpointed(split.coalesce(max(1, math.ceil(split.count() / PARTITION_ROWS))))
 
     def fit(part: int):
         base = fit_base(train.filter(F.col("_part") != part), model.kind, rounds)
         return base, fit_sigmoid(margin(base.transform(train.filter(F.col("_part") == part)), "margin"))
 
     fitted = side_by_side(vectors.sparkSession, [lambda p=p: fit(p) for p in range(parts)], workers, "fit")
-    train.unpersist()
     model.bases, model.sigmoids = [b for b, _ in fitted], [s for _, s in fitted]
     return model
 
