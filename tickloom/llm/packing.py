@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.lineage import cut
+from tickloom.functions.lineage import batches_of, cut
 from tickloom.llm.arrow import TEXT_ROWS, byte_column, in_slices, once
 
 #: Pieces of a block; words that a worker remembers.
@@ -275,7 +275,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFra
     # Blocks are dealt by the number of a written row: rows of one id, or without any, spread over all of them.
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())
     columns, schema = numbered.columns, numbered.schema
-    waiting, done, level = cut(numbered, TEXT_ROWS), [], 0
+    with batches_of(pieces.sparkSession, TEXT_ROWS):
+        waiting, done, level = cut(numbered), [], 0
     while True:
         # A block hands on one sequence at most.  Two sequences of tokens for each block halve what waits in every round; as a
         # piece has a token at least, a block of short pieces averages at most 4 * capacity rows.
