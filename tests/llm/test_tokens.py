@@ -107,3 +107,25 @@ def test_packing_of_empty_texts_ends(spark, monkeypatch):
         assert got.groupby("sequence_id").length.sum().max() <= 4096
         if rows is not nearly:
             assert got.sequence_id.nunique() == 2
+
+
+def test_words_are_encoded_in_runs_with_the_ids_of_whole_texts():
+    import pyarrow as pa
+    from tickloom.llm.packing import RUN, WordIds
+
+    spec = open(WORDS, encoding="utf-8").read()
+    words, asked = WordIds(spec), []
+    library = words._encode
+    words._encode = lambda texts, **more: asked.extend(texts) or library(texts, **more)
+    many = [f"w{i}x." for i in range(2_000)]
+    words.ids(pa.array([" ".join(many), " ".join(reversed(many))]))
+    assert 0 < len(asked) <= 2_001 / RUN + 1  # a word for a word before
+    texts = [*mixtures(4_000, 4), "\x01", "a\x01 \x01b \x01\x01", "x\x0by\x0cz", "e ́ ᄀ ᅡ", None, ""]
+    for ours in (words, WordIds(spec, memo=100)):
+        got = [x for i in range(0, len(texts), 300) for x in ours.ids(pa.array(texts[i:i + 300], pa.string()))]
+        for t, ids in zip(texts, got, strict=True):
+            assert array("I", ids).tolist() == words_of(t), repr(t)
+
+
+def words_of(text, library=Tokenizer.from_file(WORDS)):
+    return library.encode(text or "", add_special_tokens=False).ids

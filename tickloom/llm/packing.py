@@ -26,27 +26,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import batches_of, cut
-from tickloom.llm.arrow import TEXT_ROWS, byte_column, in_slices, once
+from tickloom.llm.arrow import TEXT_ROWS, in_slices, once
 
 #: Pieces of a block; words that a worker remembers.
 BLOCK, MEMO = 4_000, 800_000
+#: Bytes of texts that are taken apart at once, on average; words that are one text for the tokenizer library.
+SLICE_BYTES, RUN = 4_000_000, 100
 #: Steps of a block's search (lengths tried in fillings), and fillings of a node.  They set effort: a search that reaches its
 #: limit keeps its best solution, which is always complete.
 STEPS, FILLINGS = 100_000, 64
 
 #: Marks that end a word and never join another token of the split pattern.
 _TAIL = b".,!?;:*#%&$"
+#: Stands between words that are encoded as one text; words that hold it are encoded alone.
+_MARK = b"\x01"
 
 
 class WordIds:
-    """Token ids of a text as little-endian 32-bit numbers, for a vocabulary that drops white space between words.
+    """Token ids of texts as little-endian 32-bit numbers, for a vocabulary that drops white space between words.
 
     Such a vocabulary never joins text across white space, so each word is encoded once and remembered.  It lower-cases
     text, so ASCII capitals are lowered first, unless special strings, which it finds before, could come from that.
+    Arrow splits the texts and numbers their distinct words; only these become Python objects.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO):
@@ -55,21 +61,41 @@ class WordIds:
 
         tokenizer = Tokenizer.from_str(vocabulary)
         self._encode = tokenizer.encode_batch_fast
-        self._special = [t["content"].encode().lower() for t in json.loads(vocabulary)["added_tokens"]]
+        self._special = [t["content"].lower() for t in json.loads(vocabulary)["added_tokens"]]
+        self._mark = tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
         self._limit = memo // 2
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not remembered; a word and the marks at its end are encoded apart."""
+    def _encoded(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part.  Many parts are one text for the library, with a mark of one known id between them."""
+        apart = [_MARK, *[s.encode() for s in self._special]] if len(self._mark) == 1 else [b""]
+        together = b" ".join(parts).lower()
+        alone = [x for x in parts if any(s in x.lower() for s in apart)] if any(s in together for s in apart) else []
+        found = dict(zip(alone, [array("I", f.ids).tobytes() for f in self._encode([x.decode() for x in alone], add_special_tokens=False)]))
+        rest = [x for x in parts if x not in found] if alone else parts
+        runs = [rest[i:i + RUN] for i in range(0, len(rest), RUN)]
+        between = b" " + _MARK + b" "
+        for run, f in zip(runs, self._encode([between.join(run).decode() for run in runs], add_special_tokens=False)):
+            ids = np.array(f.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self._mark[0]).tolist(), len(ids)]
+            held, start = ids.tobytes(), 0
+            for part, end in zip(run, ends, strict=True):
+                found[part] = held[4 * start:4 * end]
+                start = end + 1
+        return [found[x] for x in parts]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode distinct words that are not in the young generation; a word and the marks at its end are encoded apart."""
         if len(self._young) > self._limit:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
-        new = words.difference(young)
-        back = old.keys() & new
-        young.update(zip(back, map(old.__getitem__, back)))
         whole, split = [], []
-        for word in new - back if back else new:
+        for word in words:
+            ids = old.get(word)
+            if ids is not None:
+                young[word] = ids
+                continue
             base = word.rstrip(_TAIL)
             if len(base) == len(word) or not base or not 97 <= base[-1] <= 122:
                 whole.append(word)
@@ -78,19 +104,40 @@ class WordIds:
         parts = set(whole)
         parts.update([base for _, base, _ in split], [tail for _, _, tail in split])
         parts = list(parts.difference(young))
-        young.update([
-            (part, array("I", found.ids).tobytes())
-            for part, found in zip(parts, self._encode([x.decode() for x in parts], add_special_tokens=False))
-        ])
+        young.update(zip(parts, self._encoded(parts)))
         young.update([(word, young[base] + young[tail]) for word, base, tail in split])
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        lists = []
-        for text in texts:
-            lowered = text.lower()
-            lists.append((text if any(s in lowered for s in self._special) else lowered).split())
-        self._learn(set().union(*lists))
-        return [b"".join(map(self._young.__getitem__, words)) for words in lists]
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self._young.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            self._learn([words[i] for i in new])
+            for i in new:
+                found[i] = self._young[words[i]]
+        return found
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text of a string column; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        lowered = pc.ascii_lower(texts)
+        for s in self._special:
+            lowered = pc.if_else(pc.match_substring(lowered, s, ignore_case=False), texts, lowered)
+        lists = pc.ascii_split_whitespace(lowered)
+        words = lists.flatten().dictionary_encode()
+        found = self._known(words.dictionary.cast(pa.binary()).to_pylist())
+        held = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = words.indices.to_numpy(zero_copy_only=False)
+        each = size[at]
+        ends = np.cumsum(each)
+        # The ids of word w take the places before ends[w]; in `held` they end at the sum of the sizes up to its number.
+        place = np.repeat(np.cumsum(size)[at] - ends, each)
+        place += np.arange(len(place))
+        every = held[place]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        bounds = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        return [every[start:end].tobytes() for start, end in zip(bounds, bounds[1:])]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -106,9 +153,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = once(lambda: WordIds(spec), "ids", hash(spec))
-        for batch in in_slices(batches, 256):
+        # Slices of few bytes: of a word its number is held, and of an id its place among those of the distinct words.
+        for batch in (part for b in batches for part in in_slices([b], max(1, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))):
             of, number, length, check, kept = [], [], [], [], []
-            for i, ids in enumerate(words.ids(byte_column(batch.column(1)))):
+            for i, ids in enumerate(words.ids(batch.column(1))):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k:k + 4 * capacity]
