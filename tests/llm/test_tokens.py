@@ -129,3 +129,24 @@ def test_words_are_encoded_in_runs_with_the_ids_of_whole_texts():
 
 def words_of(text, library=Tokenizer.from_file(WORDS)):
     return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_a_packing_worker_remembers_a_bounded_share_of_memory():
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tickloom.llm.packing import WordIds
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        words = WordIds(file.read())
+    tracemalloc.start()
+    try:
+        for first in range(0, 500_000, 20_000):
+            words.ids(pa.array([" ".join(f"w{i}x" for i in range(first, first + 20_000))]))
+        assert tracemalloc.get_traced_memory()[0] < 50e6  # 76 MB with a memo of 800,000 words
+    finally:
+        tracemalloc.stop()
+    once_more = words.ids(pa.array(["w7x w499999x"]))  # one forgotten, one still known
+    assert once_more == WordIds(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()).ids(pa.array(["w7x w499999x"]))

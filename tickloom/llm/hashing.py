@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tickloom.llm.arrow import BoundedCache
-
-#: Words that a worker remembers with their hashes.
-MEMO = 400_000
 #: Bases of two independent rolling hashes (odd, so that they have an inverse).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -21,13 +17,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """64-bit hashes of the words of a text, equal in every worker."""
-
-    def __init__(self, memo: int = MEMO):
-        self._of = BoundedCache(xxhash.xxh3_64_intdigest, memo)
+    """64-bit hashes of the words of a text, equal in every worker.  A hash takes less time than a memo of it."""
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._of.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 class Rolling:

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from tickloom.functions.lineage import batches_of, cut
 from tickloom.llm.arrow import TEXT_ROWS, in_slices, once
 
-#: Pieces of a block; words that a worker remembers.
-BLOCK, MEMO = 4_000, 800_000
+#: Pieces of a block; words that a worker remembers, some 150 bytes each: two workers share an executor with its whole heap.
+BLOCK, MEMO = 4_000, 200_000
 #: Bytes of texts that are taken apart at once, on average; words that are one text for the tokenizer library.
-SLICE_BYTES, RUN = 4_000_000, 100
+SLICE_BYTES, RUN = 2_000_000, 100
 #: Steps of a block's search (lengths tried in fillings), and fillings of a node.  They set effort: a search that reaches its
 #: limit keeps its best solution, which is always complete.
 STEPS, FILLINGS = 100_000, 64
@@ -125,7 +125,8 @@ class WordIds:
             lowered = pc.if_else(pc.match_substring(lowered, s, ignore_case=False), texts, lowered)
         lists = pc.ascii_split_whitespace(lowered)
         words = lists.flatten().dictionary_encode()
-        found = self._known(words.dictionary.cast(pa.binary()).to_pylist())
+        # `to_numpy` makes the Python objects in one go, `to_pylist` a scalar for each.
+        found = self._known(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         held = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = words.indices.to_numpy(zero_copy_only=False)
@@ -169,6 +170,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
             columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(np.array(number, np.int64) * capacity),
                        pa.array(length, pa.int64()), pa.array(check, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names=names)
+            pa.default_memory_pool().release_unused()  # else the pool keeps what the largest slice took
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
