@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +45,15 @@ class BoundedCache(dict):
         return value
 
 
+def give_back() -> None:
+    """Memory that a Python worker no longer uses goes back to the machine: idle workers share it with the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 _TOOL: dict = {}
 
 
@@ -52,7 +63,10 @@ def once(build: Callable, *key):
     Only the last tool stays, with what it remembers: stages of one job share a worker's memory.
     """
     if key not in _TOOL:
-        _TOOL.clear()
+        if _TOOL:
+            _TOOL.clear()
+            gc.collect()
+            give_back()
         _TOOL[key] = build()
     return _TOOL[key]
 

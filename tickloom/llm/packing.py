@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.lineage import batches_of, cut
-from tickloom.llm.arrow import TEXT_ROWS, in_slices, once
+from tickloom.llm.arrow import TEXT_ROWS, give_back, in_slices, once
 
 #: Pieces of a block; words that a worker remembers, some 150 bytes each: two workers share an executor with its whole heap.
 BLOCK, MEMO = 4_000, 200_000
@@ -171,6 +171,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
                        pa.array(length, pa.int64()), pa.array(check, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names=names)
             pa.default_memory_pool().release_unused()  # else the pool keeps what the largest slice took
+        give_back()
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
